@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.numbers import let
 from foliospark.functions.text import SPACE
 
 # The accepted layouts, as the shape of the text and the pattern that reads it.
@@ -26,11 +27,14 @@ FIRST_YEAR_OF_1900S = 69
 def parse_date(c: Column) -> Column:
     """The date a text stands for, or NULL. The shape is checked first, so each text is parsed at most once."""
     outer_space = c.rlike(f"^[{SPACE}]|[{SPACE}]$")
-    text = F.regexp_replace(c, f"[{SPACE}]+", " ")
+    return F.when(~outer_space, let(F.regexp_replace(c, f"[{SPACE}]+", " "), _parse))
+
+
+def _parse(text: Column) -> Column:
     yy = F.right(text, F.lit(2))
     century = F.when(yy.try_cast("int") >= FIRST_YEAR_OF_1900S, "19").otherwise("20")
     full = F.concat(F.substring_index(text, "/", 2), F.lit("/"), century, yy)
     parsed = F.when(text.rlike(SHORT_YEAR), F.try_to_date(full, "M/d/yyyy"))
     for shape, pattern in LAYOUTS:
         parsed = parsed.when(text.rlike(shape), F.try_to_date(text, pattern))
-    return F.when(~outer_space, parsed)
+    return parsed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,29 +11,37 @@ from pyspark.sql import functions as F
 SPLITTER = 134217729.0
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` evaluated once, for bodies that mention a costly ``x`` many times."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def round_cents(x: Column) -> Column:
     """Round a double to two places by its exact binary value, ties to even.
 
     Spark's ``round`` works on the printed decimal digits, so 2.675 (which is stored a little below) becomes
-    2.68. The records are checked against amounts rounded by binary value, 2.67. ``x * 100`` is taken here
-    as an exact sum of two doubles, so that no tie is decided by a rounding error.
+    2.68. The records are checked against amounts rounded by binary value, 2.67. Only a product that looks like a
+    tie needs a second look: there ``x * 100`` is taken as an exact sum of two doubles.
     """
+    product = x * 100.0
     scaled = x * SPLITTER
     high = scaled - (scaled - x)
-    low = x - high
-    product = high * 100.0 + low * 100.0
-    error = (high * 100.0 - product) + low * 100.0
-    whole = F.floor(product).cast("double")
-    side = (product - whole - 0.5) + error
-    cents = F.when(side > 0, whole + 1).when(side < 0, whole).otherwise(whole + F.pmod(whole, F.lit(2.0)))
+    error = (high * 100.0 - product) + (x - high) * 100.0
+    nearest = F.rint(product)
+    tie = F.when(error > 0, F.ceil(product)).when(error < 0, F.floor(product)).otherwise(nearest)
+    cents = F.when(F.abs(product - nearest) != 0.5, nearest).otherwise(tie.cast("double"))
     return F.when(F.abs(x) < 1e13, cents / 100.0).otherwise(x)
 
 
 def number_text(x: Column) -> Column:
     """A double as its shortest decimal text: ``25.0``, ``10000000.0``, ``1e+16``."""
+    return let(x, _number_text)
+
+
+def _number_text(x: Column) -> Column:
     plain = x.cast("string")
     size = F.abs(x)
-    wide = F.regexp_replace(F.rtrim(F.regexp_replace(x.try_cast("decimal(38,20)").cast("string"), "0+$", "")), r"\.$", ".0")
+    wide = F.regexp_replace(F.regexp_replace(x.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
     mantissa = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", "")
     power = F.substring_index(plain, "E", -1).try_cast("int")
     exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))

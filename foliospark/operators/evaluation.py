@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.ordering import running_sums, with_value_bucket
+from foliospark.functions.rows import explode_rows
 from foliospark.schemas import CONFIDENCE_THRESHOLD, DOCUMENT_CLASSES
 
 # Probability floor, bins and places of the reports.
@@ -38,7 +39,7 @@ def predicted_label(proba: Column, classes: Column) -> Column:
 
 def binarize_labels(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """One row per (id, class): label 0/1 and the class's probability."""
-    return (preds.select("id", "y_true", F.posexplode("proba").alias("k", "p"))
+    return (explode_rows(preds, F.col("proba"), "p", "id", "y_true", position="k")
             .select("id", F.get(_literal(classes), F.col("k")).alias("class"), "p", "y_true")
             .select("id", "class", (F.col("y_true") == F.col("class")).cast("bigint").alias("y"), "p"))
 

@@ -155,72 +155,75 @@ _SPECS = {
 }
 
 
-def _read(v: Column, f: _Field) -> tuple[Column, Column]:
-    """Value and problem of one field of a variant object. NULL text for no problem."""
-    path = f"$.{f.name}"
-    raw = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(raw)
+_TYPES = {"text": "string", "number": "double", "texts": "array<variant>", "items": "array<variant>"}
+
+
+def _probe(v: Column, fields: list[_Field]) -> list[Column]:
+    """Kind and value of every field of a variant object, each read once. The kind is NULL for an absent key."""
+    out = []
+    for f in fields:
+        path = f"$.{f.name}"
+        out.append(F.schema_of_variant(F.try_variant_get(v, path, "variant")).alias(f"k_{f.name}"))
+        out.append(F.try_variant_get(v, path, _TYPES[f.kind]).alias(f"v_{f.name}"))
+    return out
+
+
+def _problem(f: _Field, kind: Column, value: Column) -> Column:
+    """What is wrong with a field, NULL if nothing."""
     null = kind == "VOID"
-    if f.kind == "text":
-        value = F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
-        wrong = ~null & (kind != "STRING")
-    elif f.kind == "number":
-        value = F.try_variant_get(v, path, "double")
-        wrong = ~null & value.isNull()
-    else:
-        parts = F.try_variant_get(v, path, "array<variant>")
-        wrong = ~null & parts.isNull()
-        if f.kind == "texts":
-            wrong = wrong | F.coalesce(F.exists(parts, lambda x: F.schema_of_variant(x) != "STRING"), F.lit(False))
-            value = F.transform(parts, lambda x: F.try_variant_get(x, "$", "string"))
-        else:
-            value = F.transform(parts, _read_item)
-    missing = raw.isNull()
-    if f.default is not None:
-        absent = F.array().cast("array<string>") if f.kind == "texts" else F.lit(f.default)
-        value = F.when(missing, absent).otherwise(value)
-    problem = F.when(wrong, F.lit(f"{f.name}: wrong type"))
-    if f.required or f.default is not None:
-        problem = F.when(null, F.lit(f"{f.name}: null")).otherwise(problem)
-    if f.required:
-        problem = F.when(missing, F.lit(f"{f.name}: missing")).otherwise(problem)
-    if f.positive:
-        problem = F.coalesce(problem, F.when(value <= 0, F.lit(f"{f.name}: not above 0")))
-    return value, problem
-
-
-def _read_item(x: Column) -> Column:
-    """One line item with its first problem."""
-    read = {f.name: _read(x, f) for f in _ITEM}
-    not_object = F.when(~F.schema_of_variant(x).startswith("OBJECT"), F.lit("line_items: not an object"))
+    wrong = (kind != "STRING") if f.kind == "text" else value.isNull()
+    if f.kind == "texts":
+        wrong = wrong | F.coalesce(F.exists(value, lambda x: F.schema_of_variant(x) != "STRING"), F.lit(False))
+    problem = F.when(null, F.lit(f"{f.name}: null") if f.required or f.default is not None else F.lit(None))
+    problem = problem.when(kind.isNull(), F.lit(f"{f.name}: missing") if f.required else F.lit(None))
+    problem = problem.when(wrong, F.lit(f"{f.name}: wrong type"))
+    return problem.when(value <= 0, F.lit(f"{f.name}: not above 0")) if f.positive else problem
+
+
+def _value(f: _Field, kind: Column, value: Column) -> Column:
+    """The field's value, or its default when the key is absent."""
+    if f.kind == "texts":
+        value = F.transform(value, lambda x: F.try_variant_get(x, "$", "string"))
+    if f.default is None:
+        return value
+    absent = F.array().cast("array<string>") if f.kind == "texts" else F.lit(f.default)
+    return F.when(kind.isNull(), absent).otherwise(value)
+
+
+def _probe_item(x: Column) -> Column:
+    return F.struct(F.schema_of_variant(x).alias("shape"), *_probe(x, _ITEM))
+
+
+def _read_item(p: Column) -> Column:
+    """A probed line item as a typed struct with its first problem."""
+    found = {f.name: (f, p[f"k_{f.name}"], p[f"v_{f.name}"]) for f in _ITEM}
+    not_object = F.when(~p["shape"].startswith("OBJECT"), F.lit("line_items: not an object"))
     return F.struct(
-        F.struct(*[read[n][0].alias(n) for n in LINE_ITEM.names]).alias("item"),
-        F.coalesce(not_object, *[problem for _, problem in read.values()]).alias("problem"))
+        F.struct(*[_value(*found[n]).alias(n) for n in LINE_ITEM.names]).alias("item"),
+        F.coalesce(not_object, *[_problem(*x) for x in found.values()]).alias("problem"))
 
 
 def parse_typed(df: DataFrame, doc_type: str, raw: str = "response") -> DataFrame:
     """Add ``record`` (the typed struct with defaults) and ``parse_error`` (NULL when the record is complete).
 
     The text goes through VARIANT once: only there can an explicit null be told from an absent key, and a string
-    from a number. Each field is a column first, the record is built from those columns.
+    from a number. Kinds and values are columns first; problems and the record are built from those columns.
     """
-    keep = df.columns
-    parsed = df.withColumn("_v", F.try_parse_json(raw))
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    fields = {f.name: _read(F.col("_v"), f) for f in _SPECS[doc_type]}
-    read = parsed.select(
-        *keep, is_object.alias("_object"),
-        *[value.alias(f"_f_{n}") for n, (value, _) in fields.items()],
-        F.coalesce(*[problem for _, problem in fields.values()]).alias("_problem"))
-    problem = F.coalesce(F.when(~F.col("_object"), F.lit("response is not a JSON object")), F.col("_problem"))
-    values = {n: F.col(f"_f_{n}") for n in fields}
+    keep, fields = df.columns, _SPECS[doc_type]
+    probed = df.withColumn("_v", F.try_parse_json(raw)).select(
+        *keep, F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)).alias("_object"),
+        *_probe(F.col("_v"), fields))
+    problem = F.coalesce(F.when(~F.col("_object"), F.lit("response is not a JSON object")),
+                         *[_problem(f, F.col(f"k_{f.name}"), F.col(f"v_{f.name}")) for f in fields])
+    values = {f.name: _value(f, F.col(f"k_{f.name}"), F.col(f"v_{f.name}")) for f in fields}
     if "line_items" in values:
-        items = F.col("_f_line_items")
-        problem = F.coalesce(problem, F.array_min(F.filter(F.transform(items, lambda x: x["problem"]), lambda p: p.isNotNull())))
-        values["line_items"] = F.transform(items, lambda x: x["item"])
-    schema = RECORD_TYPES[doc_type]
-    record = F.struct(*[values[n].alias(n) for n in schema.names]).cast(schema)
-    return (read.withColumn("parse_error", problem)
+        items = F.transform(F.transform("v_line_items", _probe_item), _read_item)
+        probed = probed.withColumn("_items", items)
+        bad = F.filter(F.transform("_items", lambda x: x["problem"]), lambda p: p.isNotNull())
+        problem = F.coalesce(problem, F.get(bad, F.lit(0)))
+        values["line_items"] = F.transform("_items", lambda x: x["item"])
+    record = F.struct(*[values[n].alias(n) for n in RECORD_TYPES[doc_type].names])
+    return (probed.withColumn("parse_error", problem)
             .withColumn("record", F.when(F.col("parse_error").isNull(), record))
             .select(*keep, "record", "parse_error"))
 

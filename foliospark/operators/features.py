@@ -6,6 +6,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.rows import explode_rows
 from foliospark.functions.text import bigrams, normalize_text, tokenize
 
 # Limits of the term table.
@@ -14,6 +15,18 @@ MAX_DF = 0.5
 MAX_FEATURES = 5000
 
 
+def _run_starts(terms: Column) -> Column:
+    """Positions in a sorted array where a new value starts."""
+    marks = F.transform(terms, lambda t, i: F.when((i == 0) | (t != F.get(terms, i - 1)), i))
+    return F.filter(marks, lambda i: i.isNotNull())
+
+
+def _runs(terms: Column, starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda p, j: F.struct(
+        F.get(terms, p).alias("term"), F.lit(n).alias("n"),
+        (F.coalesce(F.get(starts, j + 1), F.size(terms)) - p).alias("tf")))
+
+
 def with_term_counts(df: DataFrame, max_n: int = 2, text: str = "text") -> DataFrame:
     """Replace ``text`` by ``terms array<struct<term, n, tf>>``: unigrams, and bigrams when ``max_n`` is 2.
 
@@ -27,21 +40,16 @@ def with_term_counts(df: DataFrame, max_n: int = 2, text: str = "text") -> DataF
     if max_n == 2:
         step = step.withColumn("_t2", bigrams(F.col("_t1")))
     for n in range(1, max_n + 1):
-        terms = f"_t{n}"
-        step = step.withColumn(terms, F.sort_array(terms))
-        step = step.withColumn(f"_s{n}", F.filter(
-            F.transform(terms, lambda t, i, a=terms: F.when((i == 0) | (t != F.get(a, i - 1)), i)),
-            lambda i: i.isNotNull()))
-        counted.append(F.transform(f"_s{n}", lambda p, j, n=n, a=terms: F.struct(
-            F.get(a, p).alias("term"), F.lit(n).alias("n"),
-            (F.coalesce(F.get(f"_s{n}", j + 1), F.size(a)) - p).alias("tf"))))
+        step = step.withColumn(f"_t{n}", F.sort_array(f"_t{n}"))
+        step = step.withColumn(f"_s{n}", _run_starts(F.col(f"_t{n}")))
+        counted.append(_runs(F.col(f"_t{n}"), F.col(f"_s{n}"), n))
     return step.select(*keep, F.concat(*counted).alias("terms"))
 
 
 def term_rows(counted: DataFrame) -> DataFrame:
     """One row per (document, term)."""
     keep = [c for c in counted.columns if c != "terms"]
-    return counted.select(*keep, F.explode("terms").alias("x")).select(*keep, "x.term", "x.n", "x.tf")
+    return explode_rows(counted, F.col("terms"), "x", *keep).select(*keep, "x.term", "x.n", "x.tf")
 
 
 def ngrams(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
@@ -102,7 +110,7 @@ def tfidf_weights(counted: DataFrame, vocab: DataFrame) -> DataFrame:
     """Long form: one row per document and known term."""
     arrays = weight_arrays(counted, vocab)
     keep = [c for c in arrays.columns if c != "features"]
-    rows = arrays.select(*keep, F.explode("features").alias("x")).select(*keep, "x.idx", F.col("x.w").alias("weight"))
+    rows = explode_rows(arrays, F.col("features"), "x", *keep).select(*keep, "x.idx", F.col("x.w").alias("weight"))
     return rows.join(F.broadcast(vocab.select("idx", "term")), "idx")
 
 

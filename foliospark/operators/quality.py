@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.functions.dates import parse_date
 from foliospark.functions.ordering import hash_rank, seeded_order
+from foliospark.functions.rows import explode_rows
 
 # Thresholds of the quality checks.
 NEAR_DUPLICATE = 0.85
@@ -64,7 +65,7 @@ def near_duplicate_rate(df: DataFrame, pairs: int = SAMPLE_PAIRS, threshold: flo
 
 
 def _class_tokens(df: DataFrame) -> DataFrame:
-    return df.select("label", F.explode(T.token_set(F.col("text"))).alias("token"))
+    return explode_rows(df, T.token_set(F.col("text")), "token", "label")
 
 
 def vocabulary_size(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -77,8 +78,8 @@ def vocabulary_growth(df: DataFrame, small: int = 100, large: int = 500) -> Data
     """How much the vocabulary of a class grows from its first ``small`` to its first ``large`` samples."""
     few = first_n(df, small).select("id", F.lit(True).alias("early"))
     sample = first_n(df, large).join(F.broadcast(few), "id", "left")
-    tokens = (sample.select("label", F.coalesce("early", F.lit(False)).alias("early"),
-                            F.explode(T.token_set(F.col("text"))).alias("token"))
+    tokens = (explode_rows(sample, T.token_set(F.col("text")), "token", "label",
+                           F.coalesce("early", F.lit(False)).alias("early"))
               .groupBy("label", "token").agg(F.bool_or("early").alias("early")))
     counts = tokens.groupBy("label").agg(F.count_if("early").alias("small_vocabulary"),
                                          F.count(F.lit(1)).alias("large_vocabulary"))
@@ -199,6 +200,14 @@ def payment_consistency(df: DataFrame) -> DataFrame:
             .filter(F.col("problem").isNotNull()))
 
 
+def _filled(field: str):
+    return lambda x: F.size(x[field]) >= 1
+
+
+def _above_zero(field: str):
+    return lambda x: F.coalesce(x[field] > 0, F.lit(False))
+
+
 def nested_structure(df: DataFrame, minimum: dict[str, int], inner: dict[str, str] | None = None,
                      positive: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``well_formed``: arrays have their least size, inner arrays are not empty, listed item numbers are positive.
@@ -210,8 +219,8 @@ def nested_structure(df: DataFrame, minimum: dict[str, int], inner: dict[str, st
     for column, size in minimum.items():
         ok = ok & (F.coalesce(F.size(column), F.lit(0)) >= size)
     for column, field in (inner or {}).items():
-        ok = ok & F.coalesce(F.forall(column, lambda x, f=field: F.size(x[f]) >= 1), F.lit(True))
+        ok = ok & F.coalesce(F.forall(column, _filled(field)), F.lit(True))
     for column, fields in (positive or {}).items():
         for field in fields:
-            ok = ok & F.coalesce(F.forall(column, lambda x, f=field: F.coalesce(x[f] > 0, F.lit(False))), F.lit(True))
+            ok = ok & F.coalesce(F.forall(column, _above_zero(field)), F.lit(True))
     return df.withColumn("well_formed", ok)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import number_text
+from foliospark.functions.rows import explode_rows
 from foliospark.schemas import ERROR_TEXT_LIMIT, EXTRACTABLE_TYPES, SKIPPED_TYPES, STATUS_EVENT
 
 
@@ -121,7 +122,7 @@ def status_trail(outcomes: DataFrame) -> DataFrame:
         F.lit("classifying"), step("extracting", classified), step("validating", extracted),
         F.when(failed, F.lit("failed")).otherwise(F.lit("completed")))
     trail = F.filter(steps, lambda s: s.isNotNull())
-    return (outcomes.select("document_id", "doc_type", "error_message", F.posexplode(trail).alias("pos", "status"))
+    return (explode_rows(outcomes, trail, "status", "document_id", "doc_type", "error_message", position="pos")
             .select("document_id", (F.col("pos") + 1).alias("seq"), "status",
                     F.when(F.col("status") == "extracting", F.col("doc_type")).alias("doc_type"),
                     F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message")))

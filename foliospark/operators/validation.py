@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import parse_date
-from foliospark.functions.numbers import number_text, round_cents
+from foliospark.functions.numbers import let, number_text, round_cents
+from foliospark.functions.rows import explode_rows
 from foliospark.functions.text import strip
-from foliospark.schemas import LINE_ITEM_TOLERANCE, TOTAL_TOLERANCE, VALIDATION
+from foliospark.schemas import LINE_ITEM_TOLERANCE, TOTAL_TOLERANCE
 
 
 # --- rules on single values -------------------------------------------------------------------------------
@@ -26,10 +27,9 @@ def no_line_items(count: Column) -> Column:
     return F.when(F.coalesce(count, F.lit(0)) <= 0, F.lit("No line items found"))
 
 
-def line_problems(number: Column, quantity: Column, price: Column, amount: Column) -> dict[str, Column]:
-    """The three line rules by code, in message order."""
+def line_problems(number: Column, quantity: Column, price: Column, amount: Column, expected: Column) -> dict[str, Column]:
+    """The three line rules by code, in message order. ``expected`` is quantity times price in whole cents."""
     label = F.concat(F.lit("Line "), number.cast("string"), F.lit(": "))
-    expected = round_cents(quantity * price)
     return {
         "quantity_not_positive": F.when(
             quantity <= 0,
@@ -44,10 +44,11 @@ def line_problems(number: Column, quantity: Column, price: Column, amount: Colum
 
 
 def subtotal_mismatch(count: Column, line_sum: Column, subtotal: Column) -> Column:
-    rounded = round_cents(line_sum)
-    return F.when(
-        (count > 0) & (F.abs(rounded - subtotal) > TOTAL_TOLERANCE),
-        F.concat(F.lit("Line items sum "), number_text(rounded), F.lit(" != subtotal "), number_text(subtotal)))
+    def rule(rounded: Column) -> Column:
+        return F.when(
+            F.abs(rounded - subtotal) > TOTAL_TOLERANCE,
+            F.concat(F.lit("Line items sum "), number_text(rounded), F.lit(" != subtotal "), number_text(subtotal)))
+    return F.when((count > 0) & subtotal.isNotNull(), let(let(line_sum, round_cents), rule))
 
 
 def total_not_positive(total: Column) -> Column:
@@ -55,11 +56,12 @@ def total_not_positive(total: Column) -> Column:
 
 
 def total_mismatch(subtotal: Column, tax: Column, total: Column) -> Column:
-    expected = round_cents(subtotal + tax)
-    return F.when(
-        (total > 0) & (F.abs(total - expected) > TOTAL_TOLERANCE),
-        F.concat(F.lit("subtotal "), number_text(subtotal), F.lit(" + tax "), number_text(tax), F.lit(" = "),
-                 number_text(expected), F.lit(", but total is "), number_text(total)))
+    def rule(expected: Column) -> Column:
+        return F.when(
+            F.abs(total - expected) > TOTAL_TOLERANCE,
+            F.concat(F.lit("subtotal "), number_text(subtotal), F.lit(" + tax "), number_text(tax), F.lit(" = "),
+                     number_text(expected), F.lit(", but total is "), number_text(total)))
+    return F.when(total > 0, let(round_cents(subtotal + tax), rule))
 
 
 def unparsed_date(kind: str, text: Column) -> Column:
@@ -94,14 +96,16 @@ def _messages(*rules: Column) -> Column:
 
 
 def _result(errors: Column, warnings: Column) -> Column:
+    """A plain struct, no cast around it: reading one of its fields then computes only that field."""
     return F.struct(
-        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"),
-    ).cast(VALIDATION)
+        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
 def _line_warnings(items: Column) -> Column:
-    per_line = F.transform(items, lambda x, i: _messages(
-        *line_problems(i + 1, x["quantity"], x["unit_price"], x["amount"]).values()))
+    numbers = F.transform(items, lambda x: F.struct(
+        x["quantity"].alias("q"), x["unit_price"].alias("p"), x["amount"].alias("a"),
+        round_cents(x["quantity"] * x["unit_price"]).alias("e")))
+    per_line = F.transform(numbers, lambda x, i: _messages(*line_problems(i + 1, x["q"], x["p"], x["a"], x["e"]).values()))
     return F.coalesce(F.flatten(per_line), F.array().cast("array<string>"))
 
 
@@ -173,11 +177,12 @@ def validate(df: DataFrame, type_column: str = "record_type") -> DataFrame:
 
 def line_findings(lines: DataFrame) -> DataFrame:
     """Line rules over ``(document_id, item_no, quantity, unit_price, amount)``: one row per message, no shuffle."""
-    rules = line_problems(F.col("item_no"), F.col("quantity"), F.col("unit_price"), F.col("amount"))
+    lines = lines.withColumn("expected", round_cents(F.col("quantity") * F.col("unit_price")))
+    rules = line_problems(F.col("item_no"), F.col("quantity"), F.col("unit_price"), F.col("amount"), F.col("expected"))
     found = F.filter(
         F.array(*[F.struct(F.lit(code).alias("rule"), message.alias("message")) for code, message in rules.items()]),
         lambda x: x["message"].isNotNull())
-    return (lines.select("document_id", "item_no", F.explode(found).alias("f"))
+    return (explode_rows(lines, found, "f", "document_id", "item_no")
             .select("document_id", "item_no", F.lit("warning").alias("severity"), "f.rule", "f.message"))
 
 
@@ -209,4 +214,4 @@ def header_findings(headers: DataFrame, lines: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(code).alias("rule"), m.alias("message"))
                   for s, code, m in rules]),
         lambda x: x["message"].isNotNull())
-    return h.select("document_id", F.explode(found).alias("f")).select("document_id", "f.*")
+    return explode_rows(h, found, "f", "document_id").select("document_id", "f.*")

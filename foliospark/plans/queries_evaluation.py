@@ -48,7 +48,7 @@ def coverage(spark, sf):
     return _rounded(E.coverage_at_threshold(_p(spark, sf)))
 
 
-@query("brier", with_views("binary", "SELECT class, round(avg((y - p) * (y - p)), 6) AS brier FROM binary GROUP BY class"))
+@query("brier", with_views("onehot", "SELECT class, round(avg((y - p) * (y - p)), 6) AS brier FROM onehot GROUP BY class"))
 def brier(spark, sf):
     return _rounded(E.brier_per_class(_p(spark, sf), t.LANGS))
 
@@ -84,25 +84,25 @@ def conf_hist(spark, sf):
     return _rounded(E.confidence_histogram(_p(spark, sf)))
 
 
-@query("prob_hist", with_views("binary", "SELECT class, least(floor(p * 20), 19)::INT AS bin, count(*) AS n FROM binary GROUP BY class, bin"))
+@query("prob_hist", with_views("onehot", "SELECT class, least(floor(p * 20), 19)::INT AS bin, count(*) AS n FROM onehot GROUP BY class, bin"))
 def prob_hist(spark, sf):
     return E.probability_histogram(_p(spark, sf), t.LANGS)
 
 
-@query("calibration", with_views("binary", """
-SELECT class, least(floor(p * 10), 9)::INT AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS fraction_positive, count(*) AS n FROM binary GROUP BY class, bin"""))
+@query("calibration", with_views("onehot", """
+SELECT class, least(floor(p * 10), 9)::INT AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS fraction_positive, count(*) AS n FROM onehot GROUP BY class, bin"""))
 def calibration(spark, sf):
     return _rounded(E.calibration_curve(_p(spark, sf), t.LANGS))
 
 
-@query("ece", with_views("binary", """
+@query("ece", with_views("onehot", """
 SELECT class, round(sum(CASE WHEN bin < 10 THEN n * abs(acc - conf) ELSE 0 END) / sum(n), 6) AS ece FROM (
-  SELECT class, floor(p * 10) AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM binary GROUP BY class, bin) GROUP BY class"""))
+  SELECT class, floor(p * 10) AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM onehot GROUP BY class, bin) GROUP BY class"""))
 def ece(spark, sf):
     return _rounded(E.expected_calibration_error(_p(spark, sf), t.LANGS))
 
 
-@query("binarized", with_views("binary", "SELECT id, class, y::BIGINT AS y, round(p, 6) AS p FROM binary"))
+@query("binarized", with_views("onehot", "SELECT id, class, y::BIGINT AS y, round(p, 6) AS p FROM onehot"))
 def binarized(spark, sf):
     return _rounded(E.binarize_labels(_p(spark, sf), t.LANGS))
 
@@ -120,10 +120,10 @@ def pr(spark, sf):
 
 
 _AUC = """SELECT class, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc
-  FROM (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY p) + (count(*) OVER (PARTITION BY class, p) - 1) / 2.0::DOUBLE AS r FROM binary) GROUP BY class"""
+  FROM (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY p) + (count(*) OVER (PARTITION BY class, p) - 1) / 2.0::DOUBLE AS r FROM onehot) GROUP BY class"""
 
 
-@query("auc", with_views("binary", f"SELECT class, round(auc, 6) AS auc FROM ({_AUC} UNION ALL SELECT 'macro', avg(auc) FROM ({_AUC}))"))
+@query("auc", with_views("onehot", f"SELECT class, round(auc, 6) AS auc FROM ({_AUC} UNION ALL SELECT 'macro', avg(auc) FROM ({_AUC}))"))
 def auc(spark, sf):
     """Counts below each score here, average ranks in the SQL: two ways to the same area."""
     return _rounded(E.roc_auc_ovr(_p(spark, sf), t.LANGS))
@@ -137,12 +137,12 @@ def average_precision(spark, sf):
     return _rounded(E.average_precision(_p(spark, sf), t.LANGS))
 
 
-@query("all_metrics", with_views("binary report", f"""
+@query("all_metrics", with_views("onehot report", f"""
 SELECT metric, round(value, 4) AS value FROM (
   SELECT 'accuracy' AS metric, avg((y_true = y_pred)::INT) AS value FROM preds UNION ALL SELECT 'macro_f1', avg(f1) FROM report
   UNION ALL SELECT 'weighted_f1', sum(f1 * support) / sum(support) FROM report UNION ALL SELECT 'log_loss', v FROM ({_LOSS})
   UNION ALL SELECT 'roc_auc_ovr', avg(auc) FROM ({_AUC}) UNION ALL SELECT 'coverage_at_threshold', avg((list_max(proba) >= 0.75)::INT) FROM preds
   UNION ALL SELECT class || '_precision', precision FROM report UNION ALL SELECT class || '_recall', recall FROM report
-  UNION ALL SELECT class || '_f1', f1 FROM report UNION ALL SELECT class || '_brier', avg((y - p) * (y - p)) FROM binary GROUP BY class)"""))
+  UNION ALL SELECT class || '_f1', f1 FROM report UNION ALL SELECT class || '_brier', avg((y - p) * (y - p)) FROM onehot GROUP BY class)"""))
 def all_metrics(spark, sf):
     return E.compute_metrics(_p(spark, sf), t.LANGS)

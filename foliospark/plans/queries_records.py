@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.functions.dates import parse_date
+from foliospark.functions.rows import explode_rows
 from foliospark.operators import derivations as D
 from foliospark.operators import quality as Q
 from foliospark.operators import storage as S
@@ -121,7 +122,7 @@ def contract_validation(spark, sf):
 SELECT document_id, message FROM (SELECT document_id, unnest(string_split(errors, '; ')) AS message FROM ({INVOICE_RESULT}) WHERE errors <> '')""")
 def invoice_errors_exploded(spark, sf):
     checked = V.validate_invoice(t.invoices(spark, sf))
-    return checked.select("document_id", F.explode("validation.errors").alias("message"))
+    return explode_rows(checked, F.col("validation.errors"), "message", "document_id")
 
 
 @query("line_math_violations", with_views("plain_lines", "SELECT document_id, item_no, rule, message FROM found",
@@ -444,7 +445,7 @@ def sample_per_group(spark, sf):
 
 
 @query("sample_ids", """
-SELECT c_custkey AS n, ['inv', 'rec', 'con', 'oth'][c_custkey % 4 + 1] || '_' || lpad(c_custkey::VARCHAR, greatest(4, length(c_custkey::VARCHAR)), '0')
+SELECT c_custkey AS n, ['inv', 'rec', 'con', 'oth'][c_custkey % 4 + 1] || '_' || lpad(c_custkey::VARCHAR, greatest(4, length(c_custkey::VARCHAR))::INT, '0')
   || CASE WHEN c_custkey % 7 = 0 THEN '_ocr' ELSE '' END AS id FROM customer""")
 def sample_ids(spark, sf):
     kinds = F.array(*[F.lit(c) for c in ("invoice", "receipt", "contract", "other")])

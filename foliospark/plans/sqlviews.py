@@ -9,14 +9,12 @@ DATE_FORMATS = ["%m/%d/%Y", "%B %d, %Y", "%d-%b-%Y", "%Y-%m-%d", "%m/%d/%y", "%b
 
 def cents(x: str) -> str:
     """Round to two places by exact binary value, ties to even (see ``functions.numbers``)."""
+    p = f"(({x}) * 100.0::DOUBLE)"
     s = f"(({x}) * 134217729.0::DOUBLE)"
     hi = f"({s} - ({s} - ({x})))"
-    lo = f"(({x}) - {hi})"
-    p = f"({hi} * 100.0::DOUBLE + {lo} * 100.0::DOUBLE)"
-    side = f"({p} - floor({p}) - 0.5::DOUBLE + (({hi} * 100.0::DOUBLE - {p}) + {lo} * 100.0::DOUBLE))"
-    n = f"floor({p})"
-    return (f"(CASE WHEN {side} > 0 THEN {n} + 1 WHEN {side} < 0 THEN {n} "
-            f"ELSE {n} + abs({n} % 2) END / 100.0::DOUBLE)")
+    error = f"(({hi} * 100.0::DOUBLE - {p}) + (({x}) - {hi}) * 100.0::DOUBLE)"
+    return (f"(CASE WHEN {p} - floor({p}) <> 0.5::DOUBLE THEN floor({p} + 0.5::DOUBLE) WHEN {error} > 0 THEN ceil({p}) "
+            f"WHEN {error} < 0 THEN floor({p}) ELSE floor({p}) + abs(floor({p}) % 2) END / 100.0::DOUBLE)")
 
 
 def date(c: str) -> str:
@@ -121,11 +119,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     (doc_id * 9 + 3) % 101 + 1 + CASE WHEN doc_id % 10 < 7 AND lang = 'en' THEN 400 ELSE 0 END,
     (doc_id * 11 + 6) % 101 + 1 + CASE WHEN doc_id % 10 < 7 AND lang = 'es' THEN 400 ELSE 0 END,
     (doc_id * 13 + 9) % 101 + 1 + CASE WHEN doc_id % 10 < 7 AND lang = 'fr' THEN 400 ELSE 0 END] AS s FROM documents)"""),
-    "binary": (["preds"], """
+    "onehot": (["preds"], """
   SELECT id, c AS class, (y_true = c)::INT AS y, proba[list_position(['de', 'en', 'es', 'fr'], c)] AS p
   FROM preds CROSS JOIN (SELECT unnest(['de', 'en', 'es', 'fr']) AS c)"""),
-    "scores": (["binary"], """
-  SELECT class, p AS score, sum(y) AS pos, count(*) - sum(y) AS neg FROM binary GROUP BY class, p"""),
+    "scores": (["onehot"], """
+  SELECT class, p AS score, sum(y) AS pos, count(*) - sum(y) AS neg FROM onehot GROUP BY class, p"""),
     "curve": (["scores"], """
   SELECT class, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
          sum(pos) OVER (PARTITION BY class) AS pos_all, sum(neg) OVER (PARTITION BY class) AS neg_all
