@@ -22,10 +22,11 @@ from foliospark.operators.scoring import ClassifierModel
 from foliospark.schemas import CONFIDENCE_THRESHOLD, MIN_WORDS
 from foliospark.session import materialize
 
-# Folds, seed, solver limit and the search grid.
+# Folds, seed, solver limits and the search grid.
 FOLDS = 5
 SEED = 42
 MAX_ITER = 1000
+TOLERANCE = 1e-4
 MANIFEST = (
     "created_at timestamp, spark_version string, data_path string, data_md5 string, n_samples bigint, "
     "class_counts map<string,bigint>, cv_folds int, confidence_threshold double, random_state int, "
@@ -123,7 +124,7 @@ def train_logreg(vectors: DataFrame, c: float):
     total = vectors.agg(F.sum("weight")).first()[0]
     return LogisticRegression(
         featuresCol="vector", labelCol="y", weightCol="weight", family="multinomial", standardization=False,
-        maxIter=MAX_ITER, regParam=1.0 / (c * total), elasticNetParam=0.0, predictionCol="k",
+        maxIter=MAX_ITER, tol=TOLERANCE, regParam=1.0 / (c * total), elasticNetParam=0.0, predictionCol="k",
         probabilityCol="p", rawPredictionCol="margin").fit(vectors)
 
 
