@@ -105,14 +105,19 @@ def token_usage(spark, sf):
     return X.token_usage(t.attempts(spark, sf))
 
 
-def echo_factory():
-    """A stand-in client: answers with the length of the message, fails when that is a multiple of five."""
-    def client(request: dict) -> tuple[str, int, int]:
-        size = len(request["user_message"])
-        if size % 5 == 0:
-            raise RuntimeError(f"busy at {size}")
-        return f'{{"summary": "{size} characters"}}', size, 1
-    return client
+def echo_client():
+    """Factory of a stand-in client: answers with the length of the message, fails when that is a multiple of five.
+
+    The factory is a local function, so tasks get it by value and need not import this module.
+    """
+    def factory():
+        def client(request: dict) -> tuple[str, int, int]:
+            size = len(request["user_message"])
+            if size % 5 == 0:
+                raise RuntimeError(f"busy at {size}")
+            return f'{{"summary": "{size} characters"}}', size, 1
+        return client
+    return factory
 
 
 @query("run_stub_extractor", f"""
@@ -122,5 +127,5 @@ SELECT document_id, 1 AS attempt, n % 5 <> 0 AS ok, CASE WHEN n % 5 <> 0 THEN '{
 def run_stub_extractor(spark, sf):
     """One call per request through an injected client; refusals are rows."""
     requests = X.build_requests(_typed_documents(spark, sf), MODEL)
-    return X.run_extractor(requests.withColumn("document_id", F.col("document_id").cast("string")), echo_factory).select(
+    return X.run_extractor(requests.withColumn("document_id", F.col("document_id").cast("string")), echo_client()).select(
         F.col("document_id").cast("bigint").alias("document_id"), "attempt", "ok", "response", "error", "input_tokens")

@@ -180,8 +180,8 @@ def model_round_trip(spark, sf):
 KINDS = {"de": "invoice", "en": "receipt", "es": "contract", "fr": "other"}
 
 
-def record_factory():
-    """A stand-in client that answers with a small record of the type asked for, sometimes an incomplete one."""
+def record_client():
+    """Factory of a stand-in client that answers with a small record of the type asked for, sometimes incomplete."""
     def client(request: dict) -> tuple[str, int, int]:
         size = len(request["user_message"])
         item = {"description": "Text", "quantity": 1, "unit_price": size / 4, "amount": size / 4}
@@ -192,7 +192,7 @@ def record_factory():
         if size % 11 == 0:
             record = {"line_items": []}
         return json.dumps(record), size, 1
-    return client
+    return lambda: client
 
 
 def _kinds(samples):
@@ -206,7 +206,7 @@ def process_outcomes(spark, sf):
     samples = _kinds(t.samples(spark, sf))
     model = R.fit_classifier(samples, R.Candidate(5000, 1, 10.0))
     texts = samples.select(F.col("id").cast("string").alias("document_id"), "text")
-    done = process_documents(texts, texts, model, record_factory, "extractor-1")
+    done = process_documents(texts, texts, model, record_client(), "extractor-1")
     return done.outcomes.groupBy("doc_type", "outcome", "error_message").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -219,7 +219,7 @@ def stream_process(spark, sf):
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     texts = arriving.select(F.col("doc_id").cast("string").alias("document_id"), "text")
     target = shared_folder(spark, "processed")
-    streams.stream_process(texts, lambda batch: process_documents(batch, batch, model, record_factory, "extractor-1"), target,
+    streams.stream_process(texts, lambda batch: process_documents(batch, batch, model, record_client(), "extractor-1"), target,
                            shared_folder(spark, "process-checkpoint")).awaitTermination()
     outcomes = spark.read.parquet(f"{target}/outcomes")
     return outcomes.groupBy("doc_type", "outcome", "error_message").agg(F.count(F.lit(1)).alias("n"))

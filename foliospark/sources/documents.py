@@ -10,6 +10,7 @@ KEY_PATTERN = r"documents/([^/]+)/([^/]+)$"
 PDF_GLOB = "*.[pP][dD][fF]"
 PDF_SUFFIX = ".pdf"
 REJECTED = "Only PDF files are accepted"
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 PAGES_PER_CHUNK = 64
 
 

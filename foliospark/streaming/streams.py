@@ -10,12 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.operators.registry import current_status
 from foliospark.plans.process import Processed
-from foliospark.sources.documents import PDF_GLOB, split_document_key
+from foliospark.sources.documents import BINARY_FILE, PDF_GLOB, split_document_key
 
 
 def stream_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New PDF objects below ``path`` with their document id and file name."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", PDF_GLOB)
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", PDF_GLOB)
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path))
     return split_document_key(files)
 
