@@ -25,10 +25,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Number of white-space separated words, counted without building an array."""
-    clean = normalize_text(F.coalesce(c, F.lit("")))
-    spaces = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
-    return F.when(clean == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
+    """Number of white-space separated words: one pass over the text."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("bigint")
 
 
 def is_short(c: Column, min_words: int = 10) -> Column:
@@ -49,7 +47,7 @@ def bigrams(tokens: Column) -> Column:
 def token_set(c: Column) -> Column:
     """Distinct lower-case words of more than two characters that are not plain numbers."""
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), f"[{SPACE}]+")
-    keep = F.filter(words, lambda w: (F.length(w) > 2) & ~F.translate(w, ".,", "").rlike(f"^[{DIGIT}]+$"))
+    keep = F.filter(words, lambda w: (F.length(w) > 2) & ~w.rlike(f"^[.,]*[{DIGIT}][{DIGIT}.,]*$"))
     return F.array_distinct(keep)
 
 
