@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step inside a task holds as arrays at once; a single longer text is held alone.
 CHUNK_CHARS = 2_000_000
+#: Texts of one step, so that short ones do not make a step wide.
+CHUNK_TEXTS = 1_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def chunks(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts in lists of about ``limit`` characters; a null text becomes the empty one."""
+def chunks(texts: Sequence[str | None], limit: int = CHUNK_CHARS, most: int = CHUNK_TEXTS) -> Iterator[list[str]]:
+    """Consecutive texts in lists of about ``limit`` characters and at most ``most`` texts; a null text becomes the empty one."""
     part: list[str] = []
     size = 0
     for text in texts:
         text = text if isinstance(text, str) else ""
-        if part and size + len(text) > limit:
+        if part and (size + len(text) > limit or len(part) == most):
             yield part
             part, size = [], 0
         part.append(text)

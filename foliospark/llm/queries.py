@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import byte_bpe, licenses, line_dedup, token_counts
+from foliospark.llm import byte_bpe, language, licenses, line_dedup, packing, pii, token_counts
 from foliospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,29 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents")).drop("matches")
 
 
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    terms = F.transform("terms", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return found.select(
+        F.col("id").alias("doc_id"), *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.sort_array(F.concat(base, terms))).alias("spans"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte-level sequences of 8,192; copies of a text are a cluster."""
+    docs = table(spark, sf, "documents")
+    return packing.pack(docs, F.octet_length("text"), 8192, cluster=F.xxhash64("text"))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
