@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import byte_bpe, language, licenses, line_dedup, packing, pii, token_counts
+from foliospark.llm import ann, byte_bpe, language, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
 from foliospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,11 +50,52 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+LINK_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sets AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM shingled) GROUP BY s HAVING len(s) > 0),
+items AS (SELECT rep, n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep
+          AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS root FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
+FROM shingled d LEFT JOIN sets ON sets.s = list_sort(d.s) LEFT JOIN roots r ON r.node = sets.rep
+"""
+
+
+@query("op3_near_duplicates", LINK_SQL)
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"), words=2)
+
+
 @query("op4_license_scan")
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents")).drop("matches")
 
 
+SCORE_SQL = """
+WITH vectors AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                 FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+           FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op5_exact_top_k", SCORE_SQL)
+def op5_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").filter(vafile.usable(F.col("embedding")))
+    whole = vectors.select("vec_id", vafile.scaled(F.col("embedding"), 64).alias("vec"))
+    return vafile.top_k(whole, F.col("vec_id") % 20 == 0)
+
+
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf, "documents"))
@@ -81,3 +122,8 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, vec_col="embedding")
