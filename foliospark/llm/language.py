@@ -71,6 +71,8 @@ def bundles(texts: list[str], dims: int, group: np.ndarray | None = None, groups
     owner, grams = trigrams(texts)
     owner, n = (owner, len(texts)) if group is None else (group[owner], groups)
     total = np.zeros((n, dims), np.float32)
+    if not len(grams):
+        return total, np.zeros(n, np.int64)
     distinct, at = _distinct(grams)
     if len(distinct) > GRAM_BLOCK:
         order = np.argsort(at, kind="stable")

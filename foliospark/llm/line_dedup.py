@@ -30,11 +30,11 @@ def keys(text: str | None, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def places(hashes: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+def places(hashes: np.ndarray, slices: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Slice of every hash and its bits inside that slice."""
     h = hashes.astype(np.uint64)
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(20)) | np.uint64(1)
-    bits = np.stack([(a + np.uint64(i) * b) % np.uint64(SLICE_BITS) for i in range(HASHES)], axis=1)
+    bits = np.stack([(a + np.uint64(i) * b) % np.uint64(slice_bits) for i in range(HASHES)], axis=1)
     return ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64), bits.astype(np.uint32)
 
 
@@ -42,7 +42,7 @@ def _line_hashes(texts: list[str | None], min_chars: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k) for text in texts for k in {k for k in keys(text, min_chars) if k is not None}]
 
 
-def _twice_filter(docs: DataFrame, text_col: str, min_chars: int, slices: int) -> np.ndarray:
+def _twice_filter(docs: DataFrame, text_col: str, min_chars: int, slices: int, slice_bits: int) -> np.ndarray:
     """The filter of hashes that occur in two documents or more, packed, ``slices`` rows.
 
     Each task sends, for each slice, the set bits of its own two filters; a slice's task ors them together and marks as
@@ -51,7 +51,7 @@ def _twice_filter(docs: DataFrame, text_col: str, min_chars: int, slices: int) -
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, n = np.unique(np.array(_line_hashes(batch["text"].tolist(), min_chars), np.uint64), return_counts=True)
-            part, bits = places(h, slices)
+            part, bits = places(h, slices, slice_bits)
             rows = []
             for s in np.unique(part).tolist():
                 once, twice = np.unique(bits[part == s]), np.unique(bits[(part == s) & (n > 1)])
@@ -62,7 +62,7 @@ def _twice_filter(docs: DataFrame, text_col: str, min_chars: int, slices: int) -
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for s, once_bits, twice_bits in zip(batch["slice"].tolist(), batch["once"], batch["twice"]):
-                once, twice = held.setdefault(s, (np.zeros(SLICE_BITS, bool), np.zeros(SLICE_BITS, bool)))
+                once, twice = held.setdefault(s, (np.zeros(slice_bits, bool), np.zeros(slice_bits, bool)))
                 bits = np.frombuffer(zlib.decompress(once_bits), np.uint32)
                 twice[bits[once[bits]]] = True
                 once[bits] = True
@@ -72,22 +72,22 @@ def _twice_filter(docs: DataFrame, text_col: str, min_chars: int, slices: int) -
 
     rows = (docs.select(F.col(text_col).alias("text")).mapInPandas(local, "slice int, once binary, twice binary")
             .repartition("slice").mapInPandas(merged, "slice int, twice binary"))
-    out = np.zeros((slices, SLICE_BITS // 8), np.uint8)
+    out = np.zeros((slices, slice_bits // 8), np.uint8)
     for row in rows.toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["twice"], np.uint8)
     return out
 
 
-def slices_for(docs: DataFrame, text_col: str, max_filter_bits: int) -> int:
+def slices_for(docs: DataFrame, text_col: str, max_filter_bits: int, slice_bits: int) -> int:
     """One bit for every 16 bytes of text, in whole slices, at most ``max_filter_bits``."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, min(-(-(size // 16) // SLICE_BITS), max_filter_bits // SLICE_BITS))
+    return max(1, min(-(-(size // 16) // slice_bits), max_filter_bits // slice_bits))
 
 
-def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_filter_bits: int) -> DataFrame:
+def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_filter_bits: int, slice_bits: int) -> DataFrame:
     """``(id, digest)`` of the distinct long lines of each row that the filter has seen twice."""
-    slices = slices_for(docs, text_col, max_filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(_twice_filter(docs, text_col, min_chars, slices))
+    slices = slices_for(docs, text_col, max_filter_bits, slice_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_twice_filter(docs, text_col, min_chars, slices, slice_bits))
 
     def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = shared.value
@@ -97,7 +97,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_fi
                 own = {k for k in keys(text, min_chars) if k is not None}
                 owner += [i] * len(own)
                 found += own
-            part, bits = places(np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64), slices)
+            part, bits = places(np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64), slices, slice_bits)
             seen = np.ones(len(found), bool)
             for i in range(HASHES):
                 seen &= (bitmap[part, bits[:, i] >> 3] >> (7 - (bits[:, i] & 7)).astype(np.uint8)) & 1 == 1
@@ -115,7 +115,7 @@ def digest(key: bytes) -> bytes:
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
-               max_filter_bits: int = 1 << 31) -> DataFrame:
+               max_filter_bits: int = 1 << 31, slice_bits: int = SLICE_BITS) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and ``n_lines``, ``n_dropped`` (bigint) beside.
 
     A line whose key has at least ``min_chars`` characters and is in at least ``min_docs`` rows goes everywhere but in the
@@ -125,7 +125,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id each count, and keep what either of them keeps. Other columns pass through. ``max_filter_bits`` bounds
     what is broadcast (256 MiB); past it more lines are suspected.
     """
-    found = materialize(suspects(docs, id_col, text_col, min_chars, max_filter_bits), "line-suspects")
+    found = materialize(suspects(docs, id_col, text_col, min_chars, max_filter_bits, slice_bits), "line-suspects")
     repeated = (found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
                 .filter(F.col("n") >= min_docs).select("digest", "last"))
     lost = (found.join(repeated, "digest").filter(F.col("id") != F.col("last"))

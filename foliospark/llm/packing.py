@@ -48,7 +48,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def pack(docs: DataFrame, size: Column, capacity: int, id_col: str = "doc_id", source_col: str | None = "source",
-         cluster: Column | None = None, shard_rows: int = 8192) -> DataFrame:
+         cluster: Column | None = None, shard_rows: int = 8192, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(bin_id, id, piece, start, size, bin_offset)``: every row in bins of ``capacity``, none cut off or dropped.
 
     A row larger than a bin becomes pieces of full bins and a rest (``piece`` from 0, ``start`` in units of ``size``). A bin
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, size: Column, capacity: int, id_col: str = "doc_id", s
                         yield close()
                     shard, used = s, 0
                 while len(rows):
-                    room = BLOCK_ROWS - sum(map(len, held))
+                    room = block_rows - sum(map(len, held))
                     held.append(rows.iloc[:room])
                     rows = rows.iloc[room:]
                     if room <= len(held[-1]):
