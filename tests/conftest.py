@@ -10,11 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from foliospark.session import get_session
     session = get_session(
         "tests", master="local[4]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
+        spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
