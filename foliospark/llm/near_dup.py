@@ -117,6 +117,28 @@ def components(edges: DataFrame) -> DataFrame:
         roots = jumped.select("node", "root")
 
 
+def likely_among(df: DataFrame, id_col: str, ids: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``df`` whose id may be among ``ids(id)``: all that are, and a few others.
+
+    A Bloom filter of 16 bits for each id, at most ``max_bits`` (32 MiB), is what every task gets; past that more rows pass.
+    """
+    bits = min(max(1 << 16, 1 << (16 * ids.count()).bit_length()), max_bits)
+    spots = lambda c: F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(4)])
+    words = ids.select(F.explode(spots(F.col("id"))).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("value")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            bit = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 4), np.int64)
+            yield pd.Series(((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1).all(axis=1))
+
+    return df.filter(F.col(id_col).isNotNull()).filter(passes(spots(F.col(id_col))))
+
+
 def linked(a: set, b: set, percent: int) -> bool:
     both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -234,7 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = first.select(F.col("rep").alias("id"), "bands")
     edges = materialize(stars(reps), "candidates")
     needed = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi").distinct()
+    needed = materialize(needed, "candidate-ids")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    texts = likely_among(texts, "id", needed).join(needed, "id", "left_semi").distinct()
     texts = materialize(texts, "candidate-texts")
     links = materialize(confirm(edges, texts, words, percent), "links")
     more = materialize(confirm(sweep(edges, links, texts, words, percent), texts, words, percent), "links")
