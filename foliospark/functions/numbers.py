@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: splits a double into two halves whose product with a small integer is exact.
 SPLITTER = 134217729.0
+# Fixed value: from here on doubles lie further apart than a cent, so each is its own rounding.
+COARSE = 2.0 ** 46
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,7 +32,16 @@ def round_cents(x: Column) -> Column:
     nearest = F.rint(product)
     tie = F.when(error > 0, F.ceil(product)).when(error < 0, F.floor(product)).otherwise(nearest)
     cents = F.when(F.abs(product - nearest) != 0.5, nearest).otherwise(tie.cast("double"))
-    return F.when(F.abs(x) < 1e13, cents / 100.0).otherwise(x)
+    return F.when(F.abs(x) < COARSE, cents / 100.0).otherwise(x)
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles that does not depend on their order: added as decimals of ten places, as a double.
+
+    NULL where a value or the sum does not fit decimal(38,10), as one row of 1e17 must not end a whole job.
+    """
+    wide = x.try_cast("decimal(28,10)")
+    return F.when(F.count_if(x.isNotNull() & wide.isNull()) == 0, F.try_sum(wide)).cast("double")
 
 
 def number_text(x: Column) -> Column:

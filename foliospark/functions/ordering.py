@@ -65,6 +65,38 @@ def with_value_bucket(df: DataFrame, group: list[str], value: str, depth: int =
     return df.join(F.broadcast(splits), group).withColumn("_bucket", position).drop("_splits")
 
 
+def with_even_bucket(df: DataFrame, group: list[str], value: str, depth: int = 6) -> DataFrame:
+    """Add ``_bucket``, which rises with the time ``value``: its place among quantiles of the whole table, then of its own group there.
+
+    For groups that are many, such as accounts. Each pass cuts by at most 2^depth - 1 points: the first by
+    one short array for the table, the second by one for each group and span that has more than 2^depth rows. A crowd of rows of one group in one span is so cut 2^depth ways.
+    """
+    cuts = [i / 2 ** depth for i in range(1, 2 ** depth)]
+    numbered = df.withColumn("_v", F.col(value).cast("timestamp").cast("double"))
+    points = numbered.agg(F.percentile_approx("_v", cuts, 4 * 2 ** depth)).first()[0] or []
+    place = lambda array: F.size(F.filter(array, lambda p: p <= F.col("_v")))
+    coarse = numbered.withColumn("_a", place(F.array(*[F.lit(x) for x in points])) if points else F.lit(0))
+    busy = (coarse.groupBy(*group, "_a").agg(F.count(F.lit(1)).alias("_c"), F.percentile_approx("_v", cuts, 4 * 2 ** depth).alias("_own"))
+            .filter(F.col("_c") > 2 ** depth).drop("_c"))
+    cut = coarse.join(busy, [*group, "_a"], "left")
+    fine = F.when(F.col("_own").isNull(), F.lit(0)).otherwise(place(F.col("_own")))
+    return cut.withColumn("_bucket", F.col("_a").cast("bigint") * 2 ** (depth + 1) + fine).drop("_v", "_a", "_own")
+
+
+def first_ranks(keys: DataFrame, group: list[str], order: str, n: int) -> DataFrame:
+    """The rows of ``keys`` among the first ``n`` of their group by ``order``; whole buckets beyond ``n`` are dropped unsorted.
+
+    Groups are few (classes); each is cut at its own quantiles.
+    """
+    cut = with_value_bucket(keys, group, order)
+    counts = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).filter(F.col("_before") < n).drop("_c")
+    local = Window.partitionBy(*group, "_bucket").orderBy(order)
+    ranked = cut.join(near, [*group, "_bucket"]).withColumn("_rank", F.row_number().over(local) + F.col("_before"))
+    return ranked.filter(F.col("_rank") <= n).select(*group, order)
+
+
 def running_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], sums: dict[str, str],
                  descending: bool = False) -> DataFrame:
     """Running sums inside ``group``: ``sums`` maps a value column to the name of its running total.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.numbers import line_amount, money_text, number_text, percent_of, round_cents
-from foliospark.functions.ordering import hash_rank, running_sums, seeded_order
+from foliospark.functions.numbers import exact_sum, line_amount, money_text, number_text, percent_of, round_cents
+from foliospark.functions.ordering import hash_rank, running_sums, seeded_order, with_even_bucket
 
 # Price and quantity ranges per category, and the range of every other category.
 ITEM_BANDS = {
@@ -40,14 +40,15 @@ def with_line_amount(lines: DataFrame) -> DataFrame:
     return lines.withColumn("amount", line_amount(F.col("quantity"), F.col("unit_price")))
 
 
-def _subtotals(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("document_id").agg(
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("subtotal"))
+def _with_subtotals(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Headers with the sum of their lines, 0 without any."""
+    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("subtotal"))
+    return headers.join(sums, "document_id", "left").withColumn("subtotal", F.coalesce("subtotal", F.lit(0.0)))
 
 
 def invoice_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Subtotal, tax, discount and total per invoice: ``headers(document_id, tax_rate, shipping, discount_pct)``."""
-    h = headers.join(_subtotals(lines), "document_id")
+    h = _with_subtotals(headers, lines)
     h = (h.withColumn("tax", percent_of(F.col("subtotal"), F.col("tax_rate")))
          .withColumn("discount", F.when(F.col("discount_pct") > 0, percent_of(F.col("subtotal"), F.col("discount_pct")))))
     total = (F.col("subtotal") + F.col("tax") + F.coalesce("shipping", F.lit(0.0)) - F.coalesce("discount", F.lit(0.0)))
@@ -56,7 +57,7 @@ def invoice_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 def receipt_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """As for invoices, with a flat ``discount`` and no shipping."""
-    h = headers.join(_subtotals(lines), "document_id")
+    h = _with_subtotals(headers, lines)
     h = h.withColumn("tax", percent_of(F.col("subtotal"), F.col("tax_rate")))
     return h.withColumn("total", round_cents(F.col("subtotal") + F.col("tax") - F.coalesce("discount", F.lit(0.0))))
 
@@ -64,24 +65,27 @@ def receipt_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
 def running_balance(transactions: DataFrame, opening: DataFrame) -> DataFrame:
     """Balance after every transaction: ``transactions(account, ts, id, amount, is_debit)``, ``opening(account, opening)``.
 
-    Sums run over months first and then inside one month, so that a very busy account is spread over many tasks.
-    Amounts are two-place decimals: rounding after each step and at the end is then the same.
+    Sums run over buckets first and then inside one bucket. A bucket is a span of time between two quantiles of all
+    transactions, and a busy span is cut again at its own account's quantiles, so one account in one month is spread over
+    many tasks too. An account without opening row starts at 0. Amounts are two-place decimals: rounding after each step and at the end is then the same.
     """
     signed = F.when(F.col("is_debit"), -F.col("amount")).otherwise(F.col("amount")).cast("decimal(18,2)")
-    t = transactions.withColumn("signed", signed).withColumn("_month", F.date_trunc("month", "ts"))
-    summed = running_sums(t, ["account"], "_month", [F.col("ts"), F.col("id")], {"signed": "moved"})
-    return (summed.join(opening.select("account", F.col("opening").cast("decimal(18,2)").alias("opening")), "account")
+    t = with_even_bucket(transactions.withColumn("signed", signed), ["account"], "ts")
+    summed = running_sums(t, ["account"], "_bucket", [F.col("ts"), F.col("id")], {"signed": "moved"})
+    return (summed.join(opening.select("account", F.col("opening").cast("decimal(18,2)").alias("opening")), "account", "left")
+            .withColumn("opening", F.coalesce("opening", F.lit(0).cast("decimal(18,2)")))
             .withColumn("balance", (F.col("opening") + F.col("moved")).cast("decimal(18,2)"))
-            .drop("_month", "moved", "signed"))
+            .drop("_bucket", "moved", "signed"))
 
 
 def closing_balance(transactions: DataFrame, opening: DataFrame) -> DataFrame:
-    """Opening and closing balance per account; only partial sums are shuffled."""
+    """Opening and closing balance of every account that has an opening row or a transaction; only partial sums are shuffled."""
     signed = F.when(F.col("is_debit"), -F.col("amount")).otherwise(F.col("amount")).cast("decimal(18,2)")
     moved = transactions.groupBy("account").agg(F.sum(signed).alias("moved"), F.count(F.lit(1)).alias("n"))
-    return (opening.join(moved, "account")
-            .select("account", "n", F.col("opening").cast("decimal(18,2)").alias("opening"),
-                    (F.col("opening").cast("decimal(18,2)") + F.col("moved")).cast("decimal(18,2)").alias("closing")))
+    start, change = (F.coalesce(F.col(c).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")) for c in ("opening", "moved"))
+    return (opening.join(moved, "account", "full")
+            .select("account", F.coalesce("n", F.lit(0)).alias("n"), start.alias("opening"),
+                    (start + change).cast("decimal(18,2)").alias("closing")))
 
 
 def debit_credit_columns(df: DataFrame) -> DataFrame:

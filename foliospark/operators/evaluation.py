@@ -169,8 +169,12 @@ def probability_histogram(preds: DataFrame, classes: list[str] | None = None) ->
 
 
 def calibration_curve(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Per class and bin: mean probability, share of positives and size; empty bins are absent."""
-    return (binarize_labels(preds, classes).groupBy("class", _bin(F.col("p"), CALIBRATION_BINS).alias("bin"))
+    """Per class and bin: mean probability, share of positives and size; empty bins are absent.
+
+    A bin is closed above here: 0.1 is in the first one, and so is 0.
+    """
+    edges = F.array(*[F.lit(i / CALIBRATION_BINS) for i in range(1, CALIBRATION_BINS)])
+    return (binarize_labels(preds, classes).groupBy("class", F.size(F.filter(edges, lambda e: e < F.col("p"))).alias("bin"))
             .agg(F.avg("p").alias("mean_predicted"), F.avg("y").alias("fraction_positive"),
                  F.count(F.lit(1)).alias("n")))
 
@@ -201,18 +205,29 @@ def _score_counts(preds: DataFrame, classes: list[str] | None, places: int | Non
     return running.join(F.broadcast(totals), "class").drop("_bucket")
 
 
+def _class_rows(preds: DataFrame, classes: list[str] | None) -> DataFrame:
+    """One row for each class."""
+    if classes is None:
+        return binarize_labels(preds, classes).select("class").distinct()
+    return preds.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+
+
 def roc_curve(preds: DataFrame, classes: list[str] | None = None, places: int | None = None) -> DataFrame:
-    """False and true positive rate at every distinct threshold of every class."""
-    return _score_counts(preds, classes, places).select(
+    """False and true positive rate at every distinct threshold of every class, and (0, 0) at an infinite one."""
+    points = _score_counts(preds, classes, places).select(
         "class", F.col("score").alias("threshold"),
         F.try_divide("fp", "neg_all").alias("fpr"), F.try_divide("tp", "pos_all").alias("tpr"))
+    return points.unionByName(_class_rows(preds, classes).select(
+        "class", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def pr_curve(preds: DataFrame, classes: list[str] | None = None, places: int | None = None) -> DataFrame:
-    """Precision and recall at every distinct threshold of every class."""
-    return _score_counts(preds, classes, places).select(
+    """Precision and recall at every distinct threshold of every class, and (1, 0) without a threshold."""
+    points = _score_counts(preds, classes, places).select(
         "class", F.col("score").alias("threshold"),
         F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "pos_all").alias("recall"))
+    return points.unionByName(_class_rows(preds, classes).select(
+        "class", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
 def roc_auc_ovr(preds: DataFrame, classes: list[str] | None = None, places: int | None = None) -> DataFrame:

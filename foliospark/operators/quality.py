@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.functions.dates import parse_date
-from foliospark.functions.ordering import hash_rank, seeded_order
+from foliospark.functions.numbers import exact_sum
+from foliospark.functions.ordering import first_ranks, hash_rank, seeded_order
 from foliospark.functions.rows import explode_rows
 
 # Thresholds of the quality checks.
@@ -20,14 +21,11 @@ CASH_LIKE = ["Cash", "Apple Pay", "Google Pay"]
 
 
 def first_n(df: DataFrame, n: int, order: str = "id") -> DataFrame:
-    """The first ``n`` samples of every class.
+    """The first ``n`` samples of every class, by the same plan for any ``n``.
 
-    Only keys are ranked, and each task keeps at most ``n`` of a class before the shuffle; the texts are then
-    picked by a semi join with those few keys.
+    Only keys are ranked, in buckets between quantiles of their class; the texts are then picked by a semi join.
     """
-    keys = df.select("label", order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("label").orderBy(order))).filter(F.col("_rank") <= n)
-    return df.join(keys.drop("_rank"), ["label", order], "left_semi")
+    return df.join(first_ranks(df.select("label", order), ["label"], order, n), ["label", order], "left_semi")
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -153,10 +151,10 @@ def non_printable(df: DataFrame, share: float = NON_PRINTABLE_SHARE) -> DataFram
 
 
 def totals_add_up(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Records whose line amounts do not add up to the subtotal within a cent."""
-    sums = lines.groupBy("document_id").agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("line_sum"))
-    return (headers.join(sums, "document_id")
-            .select("document_id", "subtotal", "line_sum")
+    """Records whose line amounts do not add up to the subtotal within a cent; without lines the sum is 0."""
+    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("line_sum"))
+    return (headers.join(sums, "document_id", "left")
+            .select("document_id", "subtotal", F.coalesce("line_sum", F.lit(0.0)).alias("line_sum"))
             .filter(~(F.abs(F.col("line_sum") - F.col("subtotal")) < 0.01)))
 
 

@@ -59,8 +59,15 @@ def query_by_status(state: DataFrame, status: str, limit: int = 20) -> DataFrame
     return state.filter(F.col("status") == status).orderBy(F.col("created_at").desc(), "document_id").limit(limit)
 
 
-def list_documents(state: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page, newest first. The offset is applied."""
+def list_documents(state: DataFrame, limit: int = 20, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """One page, newest first. The offset is applied.
+
+    ``after`` is the ``(created_at, document_id)`` of the last row seen: the page behind it costs the same at any depth,
+    while an offset makes the driver hold all rows before the page.
+    """
+    if after is not None:
+        created, key = F.lit(after[0]), F.lit(after[1])
+        state = state.filter((F.col("created_at") < created) | ((F.col("created_at") == created) & (F.col("document_id") > key)))
     return state.orderBy(F.col("created_at").desc(), "document_id").offset(offset).limit(limit)
 
 
@@ -69,8 +76,8 @@ def delete_documents(state: DataFrame, ids: DataFrame) -> DataFrame:
     return state.join(ids.select("document_id"), "document_id", "left_anti")
 
 
-def document_detail(state: DataFrame) -> DataFrame:
-    """The public view of a document: defaults filled in, the stored confidence text as a number."""
+def document_detail(state: DataFrame, error_chars: int = ERROR_TEXT_LIMIT) -> DataFrame:
+    """The public view of a document: defaults filled in, the stored confidence text as a number, ``error_chars`` of its error."""
     confidence = F.col("classification_confidence")
     return state.select(
         "document_id",
@@ -81,25 +88,27 @@ def document_detail(state: DataFrame) -> DataFrame:
         F.when(confidence != "", confidence.try_cast("double")).alias("classification_confidence"),
         F.coalesce(F.col("created_at").cast("string"), F.lit("")).alias("created_at"),
         F.coalesce(F.col("updated_at").cast("string"), F.lit("")).alias("updated_at"),
-        "error_message",
+        F.left("error_message", F.lit(error_chars)).alias("error_message"),
     )
 
 
 # --- outcome of processing --------------------------------------------------------------------------------
 
 def failure_message(errors: Column, exception: Column) -> Column:
-    """Why a document failed: the exception text (cut to 500 characters), else its validation errors."""
-    return (F.when(exception.isNotNull(), F.left(exception, F.lit(ERROR_TEXT_LIMIT)))
+    """Why a document failed: the whole exception text, else its validation errors."""
+    return (F.when(exception.isNotNull(), exception)
             .when(F.size(errors) > 0, F.concat(F.lit("Validation errors: "), F.array_join(errors, "; "))))
 
 
 def final_outcome(results: DataFrame, registry: DataFrame) -> DataFrame:
     """Outcome per processed document: ``results(document_id, doc_type, errors, exception)``.
 
-    Documents that the registry does not know are left out. ``other`` and ``unknown`` are completed unread.
+    ``errors`` is an array, empty for a record that passed. An extractable document with neither errors nor exception was
+    never checked, and fails. Documents that the registry does not know are left out. ``other`` and ``unknown`` are completed unread.
     """
     skipped = F.col("doc_type").isin(SKIPPED_TYPES) & F.col("exception").isNull()
-    message = F.when(~skipped, failure_message(F.col("errors"), F.col("exception")))
+    unchecked = F.col("doc_type").isin(EXTRACTABLE_TYPES) & F.col("errors").isNull() & F.col("exception").isNull()
+    message = F.when(~skipped, failure_message(F.col("errors"), F.when(unchecked, F.lit("No validation result")).otherwise(F.col("exception"))))
     known = results.join(registry.select("document_id"), "document_id", "left_semi")
     return (known.withColumn("error_message", message)
             .withColumn("outcome", F.when(F.col("error_message").isNull(), "completed").otherwise("failed"))

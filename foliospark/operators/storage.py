@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliospark.schemas import DECIMAL_COLUMNS, LENGTH_LIMITS, MONEY, QUANTITY, REQUIRED_COLUMNS
+from foliospark.schemas import DECIMAL_COLUMNS, LENGTH_LIMITS, MONEY, QUANTITY, RECORD_TYPES, REQUIRED_COLUMNS
 
 
 def to_money(c: Column) -> Column:
-    """numeric(12,2); NULL when it does not fit."""
+    """numeric(12,2); NULL when it does not fit, which ``unstorable`` finds before a record gets here."""
     return c.try_cast(MONEY)
 
 
@@ -67,9 +68,45 @@ def keep_raw(df: DataFrame, record: str = "record") -> DataFrame:
     return df.withColumn("raw_json", F.to_json(record))
 
 
+def _problems(table: str, value: Callable[[str], Column], known: Callable[[str], bool], label: str = "") -> list[Column]:
+    """One message or NULL for each width, number range and missing value of a stored table."""
+    text = [F.when(F.length(value(c)) > n, F.lit(f"{label}{c} longer than {n}")) for c, n in LENGTH_LIMITS[table].items() if known(c)]
+    size = [F.when(value(c).isNotNull() & value(c).try_cast(kind).isNull(), F.lit(f"{label}{c} out of range"))
+            for c, kind in DECIMAL_COLUMNS[table].items()]
+    gone = [F.when(value(c).isNull(), F.lit(f"{label}{c} missing")) for c in REQUIRED_COLUMNS[table] if known(c)]
+    return [*text, *size, *gone]
+
+
+def unstorable(doc_type: str, record: str) -> Column:
+    """Why a record cannot be stored as a whole, its lines included; NULL when it can."""
+    fields = RECORD_TYPES[doc_type].names
+    header = _problems(doc_type, lambda c: F.col(f"{record}.{c}"), lambda c: c in fields)
+    parts = [F.concat_ws("; ", *header)]
+    if "line_items" in fields:
+        names = RECORD_TYPES["invoice"]["line_items"].dataType.elementType.names
+        parts.append(F.array_join(F.array_distinct(F.flatten(F.transform(
+            F.coalesce(F.col(f"{record}.line_items"), F.array().cast(RECORD_TYPES["invoice"]["line_items"].dataType)),
+            lambda x: F.filter(F.array(*_problems("line_items", lambda c: x[c], lambda c: c in names, "line item ")), lambda m: m.isNotNull())))), "; "))
+    text = F.array_join(F.filter(F.array(*parts), lambda m: m != ""), "; ")
+    return F.when(text != "", F.concat(F.lit("Cannot be stored: "), text))
+
+
+def with_reject_reason(df: DataFrame) -> DataFrame:
+    """Add ``reject_reason`` to checked records of mixed type: NULL for what fits, and for types that are stored nowhere."""
+    kind, reason = F.col("record_type"), F.lit(None).cast("string")
+    for doc_type in ("invoice", "receipt", "contract"):
+        reason = F.when((kind == doc_type) & F.col("validation.is_valid"), unstorable(doc_type, doc_type)).otherwise(reason)
+    return df.withColumn("reject_reason", reason)
+
+
 def route_store(df: DataFrame) -> dict[str, DataFrame]:
-    """Valid records of mixed type to the four tables. Generic and unknown records are stored nowhere."""
-    valid = store_gate(df)
+    """Valid records of mixed type to the four tables, and ``rejected(document_id, record_type, reject_reason)``.
+
+    A record that violates a width, a number range or a required column is stored in no part. Generic and unknown records are
+    stored nowhere.
+    """
+    df = df if "reject_reason" in df.columns else with_reject_reason(df)
+    valid = store_gate(df).filter(F.col("reject_reason").isNull())
     of = {t: valid.filter(F.col("record_type") == t) for t in ("invoice", "receipt", "contract")}
     return {
         "invoice_extractions": invoice_rows(of["invoice"], "invoice"),
@@ -77,6 +114,7 @@ def route_store(df: DataFrame) -> dict[str, DataFrame]:
         "contract_extractions": contract_rows(of["contract"], "contract"),
         "line_items": line_item_rows(of["invoice"], "invoice", "invoice").unionByName(
             line_item_rows(of["receipt"], "receipt", "receipt")),
+        "rejected": df.filter(F.col("reject_reason").isNotNull()).select("document_id", "record_type", "reject_reason"),
     }
 
 
@@ -112,9 +150,3 @@ def orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Stored rows whose document the registry no longer knows."""
     return child.join(parent.select("document_id"), "document_id", "left_anti")
 
-
-def bounded_types(df: DataFrame, table: str) -> DataFrame:
-    """The table with ``varchar(n)`` columns, for a catalog table that enforces the widths itself."""
-    limits = LENGTH_LIMITS[table]
-    return df.select(*[F.col(c).cast(T.VarcharType(limits[c])).alias(c) if c in limits else F.col(c)
-                       for c in df.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import parse_date
-from foliospark.functions.numbers import let, number_text, round_cents
+from foliospark.functions.numbers import exact_sum, let, number_text, round_cents
 from foliospark.functions.rows import explode_rows
 from foliospark.functions.text import strip
 from foliospark.schemas import LINE_ITEM_TOLERANCE, TOTAL_TOLERANCE
@@ -51,6 +51,11 @@ def subtotal_mismatch(count: Column, line_sum: Column, subtotal: Column) -> Colu
     return F.when((count > 0) & subtotal.isNotNull(), let(let(line_sum, round_cents), rule))
 
 
+def line_sum_out_of_range(count: Column, line_sum: Column) -> Column:
+    """Only in the flat form: a sum that no decimal holds."""
+    return F.when((count > 0) & line_sum.isNull(), F.lit("Line items sum is out of range"))
+
+
 def total_not_positive(total: Column) -> Column:
     return F.when(total <= 0, F.concat(F.lit("Total amount must be positive, got "), number_text(total)))
 
@@ -191,13 +196,14 @@ def line_sums(lines: DataFrame) -> DataFrame:
     very many lines costs no more than any other."""
     return lines.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("line_count"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("line_sum"))
+        exact_sum(F.col("amount")).alias("line_sum"))
 
 
 def header_findings(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Header rules of an invoice over flat tables: one row per message.
 
-    Amounts are added as two-place decimals, so the sum does not depend on the order of the lines.
+    Amounts are added as decimals and rounded once, so the sum depends neither on the order of the lines nor on their number. A
+    document with an amount beyond any decimal is a finding of its own.
     """
     h = headers.join(line_sums(lines), "document_id", "left")
     rules = [
@@ -205,6 +211,7 @@ def header_findings(headers: DataFrame, lines: DataFrame) -> DataFrame:
         ("error", "no_line_items", no_line_items(F.col("line_count"))),
         ("error", "total_not_positive", total_not_positive(F.col("total_amount"))),
         ("warning", "subtotal_mismatch", subtotal_mismatch(F.col("line_count"), F.col("line_sum"), F.col("subtotal"))),
+        ("warning", "line_sum_out_of_range", line_sum_out_of_range(F.col("line_count"), F.col("line_sum"))),
         ("warning", "total_mismatch", total_mismatch(F.col("subtotal"), F.col("tax"), F.col("total_amount"))),
         ("warning", "invoice_date_unparsed", unparsed_date("invoice", F.col("invoice_date"))),
         ("warning", "due_date_unparsed", unparsed_date("due", F.col("due_date"))),

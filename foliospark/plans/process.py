@@ -27,7 +27,7 @@ def process_documents(texts: DataFrame, known: DataFrame, model: ClassifierModel
                       concurrency: int | None = None) -> Processed:
     """Run ``texts(document_id, text)`` against the registry ``known(document_id)``.
 
-    Failures are rows. Documents of no interest are filtered before the calls; the calls are written before their
+    Failures are rows; a record that its tables cannot hold fails as a whole, with the reason. Documents of no interest are filtered before the calls; the calls are written before their
     results fan out to the tables and the status log.
     """
     registered = texts.join(known.select("document_id"), "document_id", "left_semi")
@@ -42,11 +42,13 @@ def process_documents(texts: DataFrame, known: DataFrame, model: ClassifierModel
     first_ok = extraction.resolve_attempts(attempts, max_retries).select("document_id", "attempt")
     records = (attempts.filter("ok").join(first_ok, ["document_id", "attempt"])
                .withColumnRenamed("doc_type", "record_type"))
-    checked = materialize(validation.validate(records), "validated")
+    checked = materialize(storage.with_reject_reason(validation.validate(records)), "validated")
     too_short = (to_read.select("document_id", extraction.extractable_error(F.col("text")).alias("exception"))
                  .filter(F.col("exception").isNotNull()))
     failed = extraction.extraction_failures(attempts, max_retries).withColumnRenamed("error", "exception")
-    stopped = too_short.unionByName(failed).withColumn("stage", F.lit("extracting"))
+    rejected = checked.filter(F.col("reject_reason").isNotNull()).select(
+        "document_id", F.col("reject_reason").alias("exception"), F.lit("validating").alias("stage"))
+    stopped = too_short.unionByName(failed).withColumn("stage", F.lit("extracting")).unionByName(rejected)
 
     results = (labels.join(checked.select("document_id", F.col("validation.errors").alias("errors")), "document_id", "left")
                .join(stopped, "document_id", "left"))

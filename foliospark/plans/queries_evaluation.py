@@ -90,7 +90,7 @@ def prob_hist(spark, sf):
 
 
 @query("calibration", with_views("onehot", """
-SELECT class, least(floor(p * 10), 9)::INT AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS fraction_positive, count(*) AS n FROM onehot GROUP BY class, bin"""))
+SELECT class, len(list_filter([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE], lambda e: e < p))::INT AS bin, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS fraction_positive, count(*) AS n FROM onehot GROUP BY class, bin"""))
 def calibration(spark, sf):
     return _rounded(E.calibration_curve(_p(spark, sf), t.LANGS))
 
@@ -107,15 +107,15 @@ def binarized(spark, sf):
     return _rounded(E.binarize_labels(_p(spark, sf), t.LANGS))
 
 
-@query("roc", with_views("curve", "SELECT class, round(score, 9) AS threshold, round(fp::DOUBLE / neg_all, 6) AS fpr, round(tp::DOUBLE / pos_all, 6) AS tpr FROM curve"))
+@query("roc", with_views("curve", "SELECT class, round(score, 9) AS threshold, round(fp::DOUBLE / neg_all, 6) AS fpr, round(tp::DOUBLE / pos_all, 6) AS tpr FROM curve UNION ALL SELECT DISTINCT class, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM onehot"))
 def roc(spark, sf):
-    return _rounded(E.roc_curve(_p(spark, sf), t.LANGS).withColumn("threshold", F.round("threshold", 9).cast("decimal(12,9)"))).withColumn(
+    return _rounded(E.roc_curve(_p(spark, sf), t.LANGS).withColumn("threshold", F.round("threshold", 9).cast("string"))).withColumn(
         "threshold", F.col("threshold").cast("double"))
 
 
-@query("pr", with_views("curve", "SELECT class, round(score, 9) AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / pos_all, 6) AS recall FROM curve"))
+@query("pr", with_views("curve", "SELECT class, round(score, 9) AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / pos_all, 6) AS recall FROM curve UNION ALL SELECT DISTINCT class, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM onehot"))
 def pr(spark, sf):
-    return _rounded(E.pr_curve(_p(spark, sf), t.LANGS).withColumn("threshold", F.round("threshold", 9).cast("decimal(12,9)"))).withColumn(
+    return _rounded(E.pr_curve(_p(spark, sf), t.LANGS).withColumn("threshold", F.round("threshold", 9).cast("string"))).withColumn(
         "threshold", F.col("threshold").cast("double"))
 
 

@@ -317,19 +317,19 @@ def line_amount(spark, sf):
 
 def _rates(df: DataFrame) -> DataFrame:
     k = F.col("document_id")
-    rates = F.array(*[F.lit(x) for x in (6.0, 7.0, 7.5, 8.0, 8.25, 8.875, 9.0, 10.0)])
+    rates = F.array(*[F.lit(x) for x in (3.0, 4.75, 5.5, 11.0, 12.625, 17.0, 19.0, 21.25)])
     return (df.select(F.col("o_orderkey").alias("document_id"))
             .withColumn("tax_rate", F.get(rates, (k % 8).cast("int")))
-            .withColumn("shipping", F.when(k % 2 == 0, (k % 4500 + 500) / 100.0))
+            .withColumn("shipping", F.when(k % 2 == 0, (k % 7919 + 31) / 100.0))
             .withColumn("discount_pct", F.when(k % 5 == 0, 10.0).when(k % 7 == 0, 5.0).otherwise(0.0)))
 
 
 _TOTALS = """
-  SELECT document_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS subtotal,
-         [6.0, 7.0, 7.5, 8.0, 8.25, 8.875, 9.0, 10.0][document_id % 8 + 1]::DOUBLE AS tax_rate,
-         CASE WHEN document_id % 2 = 0 THEN (document_id % 4500 + 500) / 100.0::DOUBLE END AS shipping,
+  SELECT document_id, CAST(coalesce(sum(CAST(round(l_extendedprice * 100) AS BIGINT)), 0) AS BIGINT) / 100.0::DOUBLE AS subtotal,
+         [3.0, 4.75, 5.5, 11.0, 12.625, 17.0, 19.0, 21.25][document_id % 8 + 1]::DOUBLE AS tax_rate,
+         CASE WHEN document_id % 2 = 0 THEN (document_id % 7919 + 31) / 100.0::DOUBLE END AS shipping,
          CASE WHEN document_id % 5 = 0 THEN 10.0 WHEN document_id % 7 = 0 THEN 5.0 ELSE 0.0 END::DOUBLE AS discount_pct
-  FROM (SELECT o_orderkey AS document_id, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY document_id"""
+  FROM (SELECT o_orderkey AS document_id, l_extendedprice FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY document_id"""
 
 
 @query("invoice_totals", f"""
@@ -350,9 +350,9 @@ def receipt_totals(spark, sf):
 
 
 @query("totals_add_up", with_views("headers", """
-SELECT document_id, subtotal, line_sum FROM headers JOIN (
-  SELECT l_orderkey AS document_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS line_sum
-  FROM lineitem GROUP BY l_orderkey) USING (document_id) WHERE NOT abs(line_sum - subtotal) < 0.01"""))
+SELECT document_id, subtotal, coalesce(s, 0.0::DOUBLE) AS line_sum FROM headers LEFT JOIN (
+  SELECT l_orderkey AS document_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS s
+  FROM lineitem GROUP BY l_orderkey) USING (document_id) WHERE NOT abs(coalesce(s, 0.0::DOUBLE) - subtotal) < 0.01"""))
 def totals_add_up(spark, sf):
     return Q.totals_add_up(t.invoice_headers(spark, sf), t.plain_lines(spark, sf))
 
@@ -362,7 +362,7 @@ SELECT account, id, ts, is_debit, amount, opening + CAST(sum(CASE WHEN is_debit
   PARTITION BY account ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM (
   SELECT o_custkey AS account, o_orderkey AS id, o_orderdate AS ts, o_orderstatus = 'F' AS is_debit,
          CAST(round(o_totalprice * 100) AS BIGINT) AS c, CAST(round(o_totalprice * 100) AS BIGINT) / 100.0::DOUBLE AS amount,
-         CAST(round(c_acctbal * 100) AS BIGINT) AS opening FROM orders JOIN customer ON o_custkey = c_custkey)"""
+         CAST(round(coalesce(c_acctbal, 0) * 100) AS BIGINT) AS opening FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 
 
 @query("running_balance", f"SELECT account, id, balance / 100.0::DOUBLE AS balance FROM ({_BALANCE})")
@@ -381,10 +381,10 @@ def debit_credit(spark, sf):
 
 
 @query("closing_balance", """
-SELECT c_custkey AS account, count(*) AS n, CAST(round(c_acctbal * 100) AS BIGINT) / 100.0::DOUBLE AS opening,
-  (CAST(round(c_acctbal * 100) AS BIGINT) + CAST(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END
-   * CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT)) / 100.0::DOUBLE AS closing
-FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal""")
+SELECT coalesce(c_custkey, o_custkey) AS account, count(o_orderkey) AS n, CAST(round(coalesce(any_value(c_acctbal), 0) * 100) AS BIGINT) / 100.0::DOUBLE AS opening,
+  (CAST(round(coalesce(any_value(c_acctbal), 0) * 100) AS BIGINT) + coalesce(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END
+   * CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT), 0)) / 100.0::DOUBLE AS closing
+FROM orders FULL JOIN customer ON o_custkey = c_custkey GROUP BY coalesce(c_custkey, o_custkey)""")
 def closing_balance(spark, sf):
     return _as_doubles(D.closing_balance(t.transactions(spark, sf), t.openings(spark, sf)), "opening", "closing")
 
@@ -392,15 +392,15 @@ def closing_balance(spark, sf):
 @query("utility_total", f"""
 SELECT id, current_charges, {cents('current_charges + prev_balance - payments + fees')} AS total FROM (
   SELECT *, {cents('usage * rate')} AS current_charges FROM (
-    SELECT p_partkey AS id, (p_size * 37 + 20)::DOUBLE AS usage, (p_partkey % 2420 + 80) / 10000.0::DOUBLE AS rate,
+    SELECT p_partkey AS id, (p_size * 37 + 20)::DOUBLE AS usage, (p_partkey % 997 + 13) / 10000.0::DOUBLE AS rate,
       CASE WHEN p_partkey % 3 = 0 THEN p_retailprice ELSE 0.0 END AS prev_balance,
-      CASE WHEN p_partkey % 6 = 0 THEN p_retailprice ELSE 0.0 END AS payments, (p_partkey % 1300 + 200) / 100.0::DOUBLE AS fees FROM part))""")
+      CASE WHEN p_partkey % 6 = 0 THEN p_retailprice ELSE 0.0 END AS payments, (p_partkey % 389 + 7) / 100.0::DOUBLE AS fees FROM part))""")
 def utility_total(spark, sf):
     k = F.col("p_partkey")
     bills = t.table(spark, sf, "part").select(
-        k.alias("id"), (F.col("p_size") * 37 + 20).cast("double").alias("usage"), ((k % 2420 + 80) / 10000.0).alias("rate"),
+        k.alias("id"), (F.col("p_size") * 37 + 20).cast("double").alias("usage"), ((k % 997 + 13) / 10000.0).alias("rate"),
         F.when(k % 3 == 0, F.col("p_retailprice")).otherwise(0.0).alias("prev_balance"),
-        F.when(k % 6 == 0, F.col("p_retailprice")).otherwise(0.0).alias("payments"), ((k % 1300 + 200) / 100.0).alias("fees"))
+        F.when(k % 6 == 0, F.col("p_retailprice")).otherwise(0.0).alias("payments"), ((k % 389 + 7) / 100.0).alias("fees"))
     return D.utility_total(bills).select("id", "current_charges", "total")
 
 

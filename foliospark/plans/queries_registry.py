@@ -151,7 +151,7 @@ def document_detail(spark, sf):
 _OUTCOMES = f"""
   SELECT *, CASE WHEN error_message IS NULL THEN 'completed' ELSE 'failed' END AS outcome FROM (
     SELECT document_id, doc_type, stage, CASE WHEN doc_type IN ('other', 'unknown') AND exception IS NULL THEN NULL
-      WHEN exception IS NOT NULL THEN left(exception, 500) WHEN errors <> '' THEN 'Validation errors: ' || errors END AS error_message
+      WHEN exception IS NOT NULL THEN exception WHEN errors <> '' THEN 'Validation errors: ' || errors END AS error_message
     FROM (SELECT document_id, errors, CASE WHEN document_id % 8 = 0 THEN 'unknown' WHEN document_id % 8 = 1 THEN 'other' ELSE 'invoice' END AS doc_type,
             CASE WHEN document_id % 50 = 3 THEN repeat('timeout ', 90) END AS exception,
             CASE WHEN document_id % 50 = 3 THEN CASE WHEN document_id % 100 = 3 THEN 'classifying' ELSE 'extracting' END END AS stage

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliospark.functions.text import DIGIT, SPACE, WORD
 
+# The seven date layouts.
 DATE_FORMATS = ["%m/%d/%Y", "%B %d, %Y", "%d-%b-%Y", "%Y-%m-%d", "%m/%d/%y", "%b %d, %Y", "%d %B %Y"]
 
 
@@ -22,6 +23,7 @@ def date(c: str) -> str:
     t = f"regexp_replace({c}, '[{SPACE}]+', ' ', 'g')"
     full = "january|february|march|april|may|june|july|august|september|october|november|december"
     short = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+    # The same layouts as patterns.
     shapes = [
         (r"\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"), (rf"(?i)({full}) \d{{1,2}}, \d{{4}}", "%B %d, %Y"),
         (rf"(?i)\d{{1,2}}-({short})-\d{{4}}", "%d-%b-%Y"), (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"),
@@ -73,7 +75,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
          (CASE WHEN o_orderkey % 13 = 0 THEN -listed WHEN o_orderkey % 7 = 0 OR sub IS NULL THEN listed
                ELSE sub + tax_cents END) / 100.0::DOUBLE AS total_amount,
          'USD' AS currency,
-         ['Net 30', 'Net 15', 'Net 45', 'Due on Receipt', 'Net 60', '2/10 Net 30'][o_orderkey % 6 + 1] AS payment_terms,
+         ['14 days', 'end of month', 'prepaid', '90 days', 'on delivery', 'by instalments'][o_orderkey % 6 + 1] AS payment_terms,
          o_orderpriority AS payment_method, o_orderstatus, o_custkey, line_count, day
   FROM (SELECT *, (8 * sub + 50) // 100 AS tax_cents FROM (
     SELECT o.*, c.c_name, s.line_count, s.line_cents + CASE WHEN o_orderkey % 11 = 0 THEN 500 ELSE 0 END AS sub,

@@ -12,9 +12,10 @@ from foliospark.functions.numbers import number_text
 from foliospark.operators.derivations import render_text
 from foliospark.schemas import CONTRACT, INVOICE, RECEIPT
 
+# The seven date layouts.
 DATE_PATTERNS = ["MM/dd/yyyy", "MMMM dd, yyyy", "dd-MMM-yyyy", "yyyy-MM-dd", "MM/dd/yy", "MMM dd, yyyy", "dd MMMM yyyy"]
 LANGS = ["de", "en", "es", "fr"]
-TERMS = ["Net 30", "Net 15", "Net 45", "Due on Receipt", "Net 60", "2/10 Net 30"]
+TERMS = ["14 days", "end of month", "prepaid", "90 days", "on delivery", "by instalments"]
 CARDS = {"1-URGENT": "Visa", "2-HIGH": "Debit", "3-MEDIUM": "Cash", "4-NOT SPECIFIED": "Apple Pay", "5-LOW": "Google Pay"}
 
 
@@ -22,15 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The scan, dealt out to all cores when it comes in fewer splits than there are cores.
-
-    Only small tables do: a large one has far more splits and is read as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -64,7 +56,7 @@ def invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
 def plain_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with their own line number: row-wise, no shuffle."""
     used = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    return (spread(used)
+    return (used
             .withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
             .withColumn("q", F.col("l_quantity").cast("bigint"))
             .select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("item_no"),
@@ -176,7 +168,7 @@ def status_columns(events: DataFrame) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as training samples: the language is the label."""
-    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
 
 
 def preds(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,10 +72,10 @@ def test_process_documents(spark, model):
     assert trails(done.events) == EXPECTED
     state = {r["document_id"]: r for r in R.current_status(done.events).collect()}
     assert state["bad"]["error_message"] == "Validation errors: Vendor name is empty"
-    assert len(state["down"]["error_message"]) == 500 or state["down"]["error_message"].startswith("Extraction failed after 2")
+    assert state["down"]["error_message"].startswith("Extraction failed after 2")
     assert state["short"]["doc_type"] == "unknown" and state["good"]["doc_type"] == "invoice"
     counts = {n: df.count() for n, df in done.tables.items()}
-    assert counts == {"invoice_extractions": 1, "receipt_extractions": 0, "contract_extractions": 1, "line_items": 2}
+    assert counts == {"invoice_extractions": 1, "receipt_extractions": 0, "contract_extractions": 1, "line_items": 2, "rejected": 0}
 
 
 def test_stream_process_equals_batch(spark, model, tmp_path):
