@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.ordering import hash_rank, seeded_order
 from foliospark.functions.text import is_short
 from foliospark.operators import evaluation as E
-from foliospark.operators.features import as_vector, document_frequency, term_rows, vocabulary, weight_arrays, with_term_counts
+from foliospark.operators.features import document_frequency, term_rows, vocabulary, weight_arrays, with_term_counts, written_vectors
 from foliospark.operators.scoring import ClassifierModel
 from foliospark.schemas import CONFIDENCE_THRESHOLD, MIN_WORDS
 from foliospark.session import materialize
@@ -26,7 +26,7 @@ from foliospark.session import materialize
 FOLDS = 5
 SEED = 42
 MAX_ITER = 1000
-TOLERANCE = 1e-4
+TOLERANCE = 1e-10  # on the relative change of the loss, far tighter than a bound of 1e-4 on the gradient
 MANIFEST = (
     "created_at timestamp, spark_version string, data_path string, data_md5 string, n_samples bigint, "
     "class_counts map<string,bigint>, cv_folds int, confidence_threshold double, random_state int, "
@@ -128,14 +128,40 @@ def train_logreg(vectors: DataFrame, c: float):
         probabilityCol="p", rawPredictionCol="margin").fit(vectors)
 
 
+def optimality(df: DataFrame, candidate: Candidate = Candidate()) -> DataFrame:
+    """How far a fit on ``df`` is from its optimum: ``(class, intercept_residual, coef_residual)``, the largest absolute gradient.
+
+    At the optimum the weighted errors of a class add up to 0, and a coefficient is -C times the weighted errors times its feature.
+    """
+    counted = materialize(with_term_counts(df.select("id", "label", "text"), candidate.max_n), "terms")
+    n, classes = counted.count(), _classes(counted)
+    vocab = materialize(vocabulary(document_frequency(term_rows(counted), n), n, candidate.max_features), "vocabulary")
+    vectors = _weighted(_labelled(weight_arrays(counted, vocab), classes, vocab.count()))
+    fitted = train_logreg(vectors, candidate.c)
+    total = vectors.agg(F.sum("weight")).first()[0]
+    p = vector_to_array("p")
+    errors = [((p[k] - F.when(F.col("y") == k, 1.0).otherwise(0.0)) * F.col("weight") / total).alias(f"e{k}") for k in range(len(classes))]
+    scored = materialize(fitted.transform(vectors).select("features", *errors), "errors")
+    names = F.array(*[F.lit(c) for c in classes])
+    free = scored.select(F.posexplode(F.array(*[f"e{k}" for k in range(len(classes))])).alias("k", "e")).groupBy("k").agg(
+        F.abs(F.sum("e")).alias("intercept_residual"))
+    matrix = fitted.coefficientMatrix.toArray()
+    coef = df.sparkSession.createDataFrame([(i, matrix[:, i].tolist()) for i in range(matrix.shape[1])], "idx int, coef array<double>")
+    slope = (scored.select(F.explode("features").alias("x"), *[f"e{k}" for k in range(len(classes))])
+             .groupBy(F.col("x.idx").alias("idx")).agg(F.array(*[F.sum(F.col(f"e{k}") * F.col("x.w")) for k in range(len(classes))]).alias("g")))
+    bound = (coef.join(slope, "idx", "left").select(F.posexplode(F.zip_with(
+        "coef", F.coalesce("g", F.array_repeat(F.lit(0.0), len(classes))), lambda c, g: F.abs(c / (candidate.c * total) + g))).alias("k", "r"))
+        .groupBy("k").agg(F.max("r").alias("coef_residual")))
+    return free.join(bound, "k").select(F.get(names, "k").alias("class"), "intercept_residual", "coef_residual")
+
+
 def _weighted(vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(balanced_weights(vectors).select("label", "weight")), "label")
 
 
 def _labelled(vectors: DataFrame, classes: list[str], size: int) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
-    return vectors.select("*", (F.array_position(names, F.col("label")) - 1).cast("double").alias("y"),
-                          as_vector("features", size).alias("vector"))
+    return written_vectors(vectors.select("*", (F.array_position(names, F.col("label")) - 1).cast("double").alias("y")), size)
 
 
 def _predictions(fitted, held_out: DataFrame, classes: list[str]) -> DataFrame:
@@ -156,9 +182,8 @@ def fit_classifier(df: DataFrame, candidate: Candidate = Candidate()) -> Classif
     classes = _classes(counted)
     vocab = materialize(vocabulary(document_frequency(term_rows(counted), n), n, candidate.max_features), "vocabulary")
     size = vocab.count()
-    vectors = _labelled(_weighted(weight_arrays(counted, vocab)), classes, size).persist()
+    vectors = _weighted(_labelled(weight_arrays(counted, vocab), classes, size))
     fitted = train_logreg(vectors, candidate.c)
-    vectors.unpersist()
     matrix = fitted.coefficientMatrix.toArray()
     coef = spark.createDataFrame([(i, matrix[:, i].tolist()) for i in range(size)], "idx int, coef array<double>")
     terms = materialize(vocab.join(F.broadcast(coef), "idx").select("term", "idx", "idf", "coef"), "model")
@@ -227,7 +252,7 @@ def out_of_fold(df: DataFrame, candidate: Candidate = Candidate(), k: int = FOLD
     for fold in range(k):
         vectors, _ = samples.vectors(fold, candidate.max_features, candidate.max_n)
         parts.append(samples.held_out(fold, vectors, candidate.c))
-    return reduce(DataFrame.unionByName, parts)
+    return materialize(reduce(DataFrame.unionByName, parts), "held-out")
 
 
 def grid_search(df: DataFrame, candidates: list[Candidate] | None = None, k: int = FOLDS, seed: int = SEED,
@@ -243,12 +268,10 @@ def grid_search(df: DataFrame, candidates: list[Candidate] | None = None, k: int
     for max_features, max_n in sorted({(c.max_features, c.max_n) for c in candidates}):
         for fold in range(k):
             vectors, _ = samples.vectors(fold, max_features, max_n)
-            vectors = vectors.persist()
             for i, candidate in enumerate(candidates):
                 if (candidate.max_features, candidate.max_n) == (max_features, max_n):
                     score = evaluator.evaluate(samples.held_out(fold, vectors, candidate.c))
                     scores.append((i, max_features, max_n, candidate.c, fold, score))
-            vectors.unpersist()
     mean = {i: sum(s[5] for s in scores if s[0] == i) / k for i in range(len(candidates))}
     best = candidates[max(mean, key=lambda i: (mean[i], -i))]
     table = df.sparkSession.createDataFrame(

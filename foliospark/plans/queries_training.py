@@ -144,9 +144,21 @@ def grid_results(spark, sf):
     return R.grid_results(scores)
 
 
-@query("oof_predictions")
+@query("oof_predictions", "SELECT doc_id AS id, lang AS y_true, 4 AS classes, true AS is_distribution, true AS is_largest FROM documents")
 def oof_predictions(spark, sf):
-    return R.out_of_fold(t.samples(spark, sf), R.Candidate(5000, 1, 1.0), k=2)
+    """Every sample is predicted once, by a distribution over the classes whose largest entry names the class."""
+    rows = R.out_of_fold(t.samples(spark, sf), R.Candidate(5000, 1, 1.0), k=2)
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("id", "y_true", F.size("proba").alias("classes"), (F.abs(total - 1) < 1e-9).alias("is_distribution"),
+                       (F.get("proba", (F.array_position(F.array(*[F.lit(c) for c in t.LANGS]), F.col("y_pred")) - 1).cast("int"))
+                        == F.array_max("proba")).alias("is_largest"))
+
+
+@query("fit_optimality", "SELECT unnest(['de', 'en', 'es', 'fr']) AS class, 0.0::DOUBLE AS intercept_residual, 0.0::DOUBLE AS coef_residual")
+def fit_optimality(spark, sf):
+    """The gradient of a fit over all samples, to five places: nothing is left to gain."""
+    rows = R.optimality(t.samples(spark, sf), R.Candidate(5000, 1, 1.0))
+    return rows.select("class", F.round("intercept_residual", 5).alias("intercept_residual"), F.round("coef_residual", 5).alias("coef_residual"))
 
 
 @query("manifest")
