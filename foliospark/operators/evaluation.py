@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.ordering import running_sums, with_value_bucket
 from foliospark.functions.rows import explode_rows
 from foliospark.schemas import CONFIDENCE_THRESHOLD, DOCUMENT_CLASSES
+from foliospark.session import materialize
 
 # Probability floor, bins and places of the reports.
 EPSILON = 2.220446049250313e-16
@@ -99,8 +100,12 @@ def report_matrix(preds: DataFrame, classes: list[str] | None = None) -> DataFra
     return class_report(preds, classes).select("class", "precision", "recall", "f1")
 
 
+def _accuracy() -> Column:
+    return F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))
+
+
 def accuracy(preds: DataFrame) -> DataFrame:
-    return preds.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
+    return preds.agg(_accuracy().alias("accuracy"))
 
 
 def macro_f1(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -123,16 +128,24 @@ def confusion_matrix(preds: DataFrame, classes: list[str] | None = None) -> Data
 
 # --- scores of probabilities ------------------------------------------------------------------------------
 
-def log_loss(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Mean of -ln p(true class), probabilities scaled to sum 1 and kept off 0 and 1."""
+def _log_loss(classes: list[str] | None) -> Column:
     p = F.get("proba", F.array_position(_literal(classes), F.col("y_true")).cast("int") - 1)
     total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
     clipped = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1 - EPSILON))
-    return preds.agg((-F.avg(F.ln(clipped / total))).alias("log_loss"))
+    return -F.avg(F.ln(clipped / total))
+
+
+def log_loss(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """Mean of -ln p(true class), probabilities scaled to sum 1 and kept off 0 and 1."""
+    return preds.agg(_log_loss(classes).alias("log_loss"))
+
+
+def _coverage(threshold: float = CONFIDENCE_THRESHOLD) -> Column:
+    return F.avg((_top() >= threshold).cast("double"))
 
 
 def coverage_at_threshold(preds: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
-    return preds.agg(F.avg((_top() >= threshold).cast("double")).alias("coverage"))
+    return preds.agg(_coverage(threshold).alias("coverage"))
 
 
 def brier_per_class(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -199,6 +212,7 @@ def _score_counts(preds: DataFrame, classes: list[str] | None, places: int | Non
     p = F.col("p") if places is None else F.round("p", places)
     counts = (binarize_labels(preds, classes).groupBy("class", p.alias("score"))
               .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    counts = materialize(counts, "score-counts")  # splits, bucket totals and class totals read it, not the predictions
     cut = with_value_bucket(counts, ["class"], "score")
     running = running_sums(cut, ["class"], "_bucket", [F.col("score").desc()], {"pos": "tp", "neg": "fp"}, descending=True)
     totals = counts.groupBy("class").agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
@@ -240,7 +254,8 @@ def roc_auc_ovr(preds: DataFrame, classes: list[str] | None = None, places: int
     wins = F.col("pos") * (below + F.col("neg") * 0.5)
     auc = (_score_counts(preds, classes, places).groupBy("class")
            .agg(F.try_divide(F.sum(wins), F.first("pos_all").cast("double") * F.first("neg_all")).alias("auc")))
-    return auc.unionByName(auc.agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc")))
+    scopes = auc.select(F.explode(F.array(F.col("class"), F.lit("macro"))).alias("class"), "auc")
+    return scopes.groupBy("class").agg(F.avg("auc").alias("auc"))
 
 
 def average_precision(preds: DataFrame, classes: list[str] | None = None, places: int | None = None) -> DataFrame:
@@ -256,23 +271,24 @@ def round_metrics(df: DataFrame, places: int = PLACES) -> DataFrame:
 
 
 def compute_metrics(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Every logged metric as rows ``(metric, value)``, rounded to four places."""
-    def named(df: DataFrame, column: str) -> DataFrame:
-        return df.select(F.lit(column).alias("metric"), F.col(column).alias("value"))
+    """Every logged metric as rows ``(metric, value)``, rounded to four places.
+
+    The predictions are read three times: for the counts of label pairs, for all plain averages, and for the curve.
+    """
+    names = classes or DOCUMENT_CLASSES
+    report = materialize(class_report(preds, classes), "report")  # one row for each class
+    weighted = F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support"))
+    from_report = report.agg(F.avg("f1").alias("macro_f1"), weighted.alias("weighted_f1"))
+    brier = {f"{c}_brier": F.avg(F.pow((F.col("y_true") == c).cast("double") - F.get("proba", F.lit(k)), F.lit(2.0))) for k, c in enumerate(names)}
+    averages = preds.agg(_accuracy().alias("accuracy"), _log_loss(classes).alias("log_loss"), _coverage().alias("coverage_at_threshold"),
+                         *[value.alias(name) for name, value in brier.items()])
+
+    def as_rows(df: DataFrame) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in df.columns])))
 
-    report = class_report(preds, classes)
     per_class = report.select(F.inline(F.array(*[
         F.struct(F.concat_ws("_", "class", F.lit(m)).alias("metric"), F.col(m).alias("value"))
         for m in ("precision", "recall", "f1")])))
-    parts = [
-        named(accuracy(preds), "accuracy"), named(macro_f1(preds, classes), "macro_f1"),
-        named(weighted_f1(preds, classes), "weighted_f1"), named(log_loss(preds, classes), "log_loss"),
-        roc_auc_ovr(preds, classes).filter("class = 'macro'").select(F.lit("roc_auc_ovr").alias("metric"), F.col("auc").alias("value")),
-        coverage_at_threshold(preds).select(F.lit("coverage_at_threshold").alias("metric"), F.col("coverage").alias("value")),
-        per_class,
-        brier_per_class(preds, classes).select(F.concat_ws("_", "class", F.lit("brier")).alias("metric"), F.col("brier").alias("value")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    area = roc_auc_ovr(preds, classes).filter("class = 'macro'").select(F.lit("roc_auc_ovr").alias("metric"), F.col("auc").alias("value"))
+    out = as_rows(from_report).unionByName(as_rows(averages)).unionByName(per_class).unionByName(area)
     return round_metrics(out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -109,11 +109,14 @@ def weight_arrays(counted: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def tfidf_weights(counted: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Long form: one row per document and known term."""
-    arrays = weight_arrays(counted, vocab)
-    keep = [c for c in arrays.columns if c != "features"]
-    rows = explode_rows(arrays, F.col("features"), "x", *keep).select(*keep, "x.idx", F.col("x.w").alias("weight"))
-    return rows.join(F.broadcast(vocab.select("idx", "term")), "idx")
+    """Long form: one row per document and known term. Unknown terms go at the join with the vocabulary, before anything is
+    shuffled; a document's length is summed over its own rows, at most as many as the vocabulary has."""
+    keep = [c for c in counted.columns if c != "terms"]
+    rows = explode_rows(counted, F.col("terms"), "x", *keep).select(*keep, "x.term", "x.tf")
+    known = rows.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+    weighed = known.select(*keep, "idx", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"), "term")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weighed.select(*keep, "idx", (F.col("w") / length).alias("weight"), "term")
 
 
 def written_vectors(df: DataFrame, size: int, features: str = "features") -> DataFrame:

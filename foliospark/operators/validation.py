@@ -178,6 +178,41 @@ def validate(df: DataFrame, type_column: str = "record_type") -> DataFrame:
         .otherwise(unknown))
 
 
+# --- counts per rule, without texts -----------------------------------------------------------------------
+
+LINE_RULES = ["quantity_not_positive", "negative_unit_price", "amount_mismatch"]
+
+
+def line_facts() -> list[Column]:
+    """Aggregates over the lines of a document: how many there are, their sum, and how many break each line rule."""
+    quantity, price, amount = F.col("quantity"), F.col("unit_price"), F.col("amount")
+    broken = [quantity <= 0, price < 0, F.abs(amount - round_cents(quantity * price)) > LINE_ITEM_TOLERANCE]
+    return [F.count(F.lit(1)).alias("line_count"), exact_sum(amount).alias("line_sum"),
+            *[F.count_if(rule).alias(name) for name, rule in zip(LINE_RULES, broken)]]
+
+
+def rule_counts(documents: DataFrame) -> DataFrame:
+    """``(severity, rule, findings, documents)`` over headers that carry ``line_facts``: one row a document, plain predicates."""
+    subtotal, tax, total, count = F.col("subtotal"), F.col("tax"), F.col("total_amount"), F.col("line_count")
+    dates = documents.withColumns({"_issued": parse_date(F.col("invoice_date")), "_due": parse_date(F.col("due_date"))})
+    broken = {
+        ("error", "vendor_missing"): F.coalesce(strip(F.col("vendor_name")), F.lit("")) == "",
+        ("error", "no_line_items"): F.coalesce(count, F.lit(0)) <= 0,
+        ("error", "total_not_positive"): total <= 0,
+        ("warning", "subtotal_mismatch"): (count > 0) & (F.abs(round_cents(F.col("line_sum")) - subtotal) > TOTAL_TOLERANCE),
+        ("warning", "line_sum_out_of_range"): (count > 0) & F.col("line_sum").isNull(),
+        ("warning", "total_mismatch"): (total > 0) & (F.abs(total - round_cents(subtotal + tax)) > TOTAL_TOLERANCE),
+        ("warning", "invoice_date_unparsed"): (F.col("invoice_date") != "") & F.col("_issued").isNull(),
+        ("warning", "due_date_unparsed"): (F.col("due_date") != "") & F.col("_due").isNull(),
+        ("warning", "due_before_invoice"): F.col("_due") < F.col("_issued"),
+    }
+    found = {key: F.when(F.coalesce(rule, F.lit(False)), 1).otherwise(0).cast("bigint") for key, rule in broken.items()}
+    found |= {("warning", name): F.coalesce(F.col(name), F.lit(0)) for name in LINE_RULES}
+    sums = [F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"), F.sum(n).alias("findings"), F.count_if(n > 0).alias("documents"))
+            for (s, r), n in found.items()]
+    return dates.agg(F.array(*sums).alias("r")).select(F.inline("r")).filter("findings > 0")
+
+
 # --- flat form: one row per line, one row per header ------------------------------------------------------
 
 def line_findings(lines: DataFrame) -> DataFrame:

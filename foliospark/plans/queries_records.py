@@ -91,16 +91,9 @@ SELECT severity, rule, count(*) AS findings, count(DISTINCT document_id) AS docu
 
 @query("invoice_validation_summary", _rule_sql())
 def invoice_validation_summary(spark, sf):
-    """Findings and documents per rule over flat headers and lines.
-
-    A document's findings of one rule are first reduced to one count, so distinct documents need no second pass.
-    """
-    lines = t.plain_lines(spark, sf)
-    found = (V.line_findings(lines).select("document_id", "severity", "rule")
-             .unionByName(V.header_findings(t.invoice_headers(spark, sf), lines).select("document_id", "severity", "rule")))
-    per_document = found.groupBy("severity", "rule", "document_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_document.groupBy("severity", "rule").agg(
-        F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents"))
+    """Findings and documents per rule: the lines are read once and become one row a document, which joins its header."""
+    facts = t.plain_lines(spark, sf).groupBy("document_id").agg(F.sum("cents").alias("line_cents"), *V.line_facts())
+    return V.rule_counts(t.headers_with(spark, sf, facts))
 
 
 @query("invoice_validation", INVOICE_RESULT)

@@ -68,7 +68,10 @@ def ngram_top_terms(spark, sf):
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM (SELECT id, term, (1 + ln(tf)) * idf AS w FROM terms JOIN vocab USING (term))""",
                              _TERMS, _FREQ, _VOCAB))
 def tfidf_weights(spark, sf):
-    rows = X.tfidf_weights(_counted(spark, sf).drop("label"), _vocabulary(spark, sf))
+    counted = materialize(_counted(spark, sf).drop("label"), "terms")  # the corpus is cut into terms once
+    n = counted.count()
+    vocab = materialize(X.vocabulary(X.document_frequency(X.term_rows(counted), n), n), "vocabulary")
+    rows = X.tfidf_weights(counted, vocab)
     return rows.select("id", "term", F.round("weight", 6).alias("weight"))
 
 

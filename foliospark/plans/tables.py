@@ -106,6 +106,11 @@ def invoice_headers(spark: SparkSession, sf: str) -> DataFrame:
     return _order_headers(spark, sf, sums).select(*HEADER)
 
 
+def headers_with(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    """Flat invoices with what ``facts(document_id, line_cents, ...)`` says about their lines."""
+    return _order_headers(spark, sf, facts)
+
+
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
     """Headers with their lines as an array. One array is one document's items, which a single response has to hold.
 
