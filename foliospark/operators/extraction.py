@@ -294,12 +294,13 @@ def extract(requests: DataFrame, factory: Callable[[], Client], max_retries: int
     reads the answers and does not pay for them again.
     """
     rounds = []
+    types = materialize(requests.select("document_id", "doc_type"), "request-types")  # no text is joined to the answers
     pending = requests
     for attempt in range(1, 2 + max_retries):
         done = materialize(run_extractor(pending, factory, attempt, concurrency), "attempts")
-        checked = materialize(check_attempts(done, requests), "checked-attempts")
+        checked = materialize(check_attempts(done, types), "checked-attempts")
         rounds.append(checked)
-        pending = pending.join(checked.filter("ok").select("document_id"), "document_id", "left_anti")
+        pending = requests.join(checked.filter("not ok").select("document_id"), "document_id", "left_semi")
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,12 @@ def _problems(table: str, value: Callable[[str], Column], known: Callable[[str],
     return [*text, *size, *gone]
 
 
+def _line_unfit(x: Column) -> Column:
+    long = [F.length(x[c]) > n for c, n in LENGTH_LIMITS["line_items"].items() if c != "extraction_type"]
+    unfit = [x[c].try_cast(kind).isNull() for c, kind in DECIMAL_COLUMNS["line_items"].items()]
+    return reduce(or_, [*unfit, x["description"].isNull(), *[F.coalesce(c, F.lit(False)) for c in long]])
+
+
 def unstorable(doc_type: str, record: str) -> Column:
     """Why a record cannot be stored as a whole, its lines included; NULL when it can."""
     fields = RECORD_TYPES[doc_type].names
@@ -84,10 +92,14 @@ def unstorable(doc_type: str, record: str) -> Column:
     parts = [F.concat_ws("; ", *header)]
     if "line_items" in fields:
         names = RECORD_TYPES["invoice"]["line_items"].dataType.elementType.names
-        parts.append(F.array_join(F.array_distinct(F.flatten(F.transform(
-            F.coalesce(F.col(f"{record}.line_items"), F.array().cast(RECORD_TYPES["invoice"]["line_items"].dataType)),
-            lambda x: F.filter(F.array(*_problems("line_items", lambda c: x[c], lambda c: c in names, "line item ")), lambda m: m.isNotNull())))), "; "))
-    text = F.array_join(F.filter(F.array(*parts), lambda m: m != ""), "; ")
+        items = F.col(f"{record}.line_items")
+
+        def of(x: Column) -> list[Column]:
+            return _problems("line_items", lambda c: x[c], lambda c: c in names, "line item ")
+
+        found = F.flatten(F.transform(items, lambda x: F.filter(F.array(*of(x)), lambda m: m.isNotNull())))
+        parts.append(F.when(F.exists(items, _line_unfit), F.array_join(F.array_distinct(found), "; ")))  # texts only where one is needed
+    text = F.array_join(F.filter(F.array(*parts), lambda m: m != ""), "; ")  # drops NULL parts too
     return F.when(text != "", F.concat(F.lit("Cannot be stored: "), text))
 
 

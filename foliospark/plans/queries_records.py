@@ -15,6 +15,9 @@ from foliospark.operators import validation as V
 from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.sqlviews import cents, date, with_views
+from foliospark.schemas import RECORD_TYPES
+from foliospark.session import shared_folder
+from foliospark.sources import sinks
 
 # --- validation -------------------------------------------------------------------------------------------
 
@@ -212,6 +215,37 @@ def store_invoices(spark, sf):
     return _as_doubles(rows, "subtotal", "tax", "total_amount")
 
 
+@query("written_invoices", f"""
+SELECT {_id('invoice')} AS id, document_id, vendor_name, invoice_number, invoice_date, due_date, subtotal, tax, total_amount, currency, payment_terms
+FROM ({with_views('headers', 'SELECT * FROM headers')}) JOIN ({INVOICE_RESULT}) USING (document_id) WHERE is_valid""")
+def written_invoices(spark, sf):
+    """The stored tables of a batch, written and read back."""
+    checked = V.validate_invoice(t.invoices(spark, sf)).select("document_id", F.lit("invoice").alias("record_type"), F.col("record").alias("invoice"), "validation")
+    empty = {k: F.lit(None).cast(RECORD_TYPES[k]) for k in ("receipt", "contract")}
+    target = shared_folder(spark, "stored")
+    sinks.write_extractions(S.route_store(checked.withColumns(empty)), target)
+    rows = spark.read.parquet(f"{target}/invoice_extractions").drop("created_at", "raw_json")
+    return _as_doubles(rows, "subtotal", "tax", "total_amount")
+
+
+@query("store_rejects", f"""
+SELECT document_id, 'invoice' AS record_type, 'Cannot be stored: ' || CASE document_id % 10 WHEN 1 THEN 'total_amount out of range'
+  WHEN 2 THEN 'invoice_number longer than 100' ELSE 'line item description longer than 500; line item quantity out of range' END AS reject_reason
+FROM ({with_views('headers', 'SELECT * FROM headers')}) WHERE document_id % 10 IN (1, 2, 3) AND trim(vendor_name) <> '' AND line_count > 0
+  AND (document_id % 10 = 1 OR total_amount > 0)""")
+def store_rejects(spark, sf):
+    """Records with an amount, a text or a line that the tables cannot hold: each is rejected as a whole, with its reason."""
+    k, r = F.col("document_id") % 10, F.col("record")
+    record = (r.withField("total_amount", F.when(k == 1, F.lit(1e11)).otherwise(r["total_amount"]))
+              .withField("invoice_number", F.when(k == 2, F.repeat(F.lit("9"), F.lit(101))).otherwise(r["invoice_number"]))
+              .withField("line_items", F.when(k == 3, F.transform(r["line_items"], lambda x: x.withField("description", F.repeat(F.lit("x"), F.lit(501)))
+                                                                   .withField("quantity", F.lit(1e8)))).otherwise(r["line_items"])))
+    records = t.invoices(spark, sf).select("document_id", record.alias("record"))
+    checked = V.validate_invoice(records).select("document_id", F.lit("invoice").alias("record_type"), F.col("record").alias("invoice"), "validation")
+    empty = {c: F.lit(None).cast(RECORD_TYPES[c]) for c in ("receipt", "contract")}
+    return S.route_store(checked.withColumns(empty))["rejected"]
+
+
 @query("store_receipts", f"""
 SELECT {_id('receipt')} AS id, document_id, vendor_name, invoice_date AS receipt_date, subtotal, tax, total_amount, payment_method
 FROM ({with_views('headers', 'SELECT * FROM headers')}) JOIN ({RECEIPT_RESULT}) USING (document_id) WHERE is_valid""")

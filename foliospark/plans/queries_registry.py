@@ -127,6 +127,15 @@ def status_page(spark, sf):
     return _printed(R.list_documents(_state(spark, sf), limit=20, offset=40))
 
 
+@query("status_page_after", with_views("state", f"SELECT {_STATE} FROM state ORDER BY state.created_at DESC, document_id LIMIT 20 OFFSET 5"))
+def status_page_after(spark, sf):
+    """The page behind a first one of five rows, by its last row's key: no row of earlier pages is sorted or held again."""
+    state = _state(spark, sf)
+    first = R.list_documents(state, limit=5).collect()
+    after = (first[-1]["created_at"], first[-1]["document_id"]) if first else None
+    return _printed(R.list_documents(state, limit=20, after=after))
+
+
 @query("status_lookup", with_views("state", f"SELECT {_STATE} FROM state WHERE document_id = '42'"))
 def status_lookup(spark, sf):
     return _printed(R.get_document(_state(spark, sf), "42"))
