@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -88,17 +89,38 @@ def route_prompt(doc_type: Column) -> Column:
     return prompt.otherwise(GENERIC_PROMPT)
 
 
+def response_schema(doc_type: str) -> str:
+    """JSON schema of a record type, as text: what is optional may be null."""
+    def of(f: _Field) -> dict:
+        if f.kind == "items":
+            return {"type": "array", "items": record(_ITEM)}
+        if f.kind == "texts":
+            return {"type": "array", "items": {"type": "string"}}
+        kind = "number" if f.kind == "number" else "string"
+        return {"type": kind if f.required or f.default is not None else [kind, "null"]}
+
+    def record(fields: list[_Field]) -> dict:
+        return {"type": "object", "properties": {f.name: of(f) for f in fields}, "required": [f.name for f in fields if f.required]}
+
+    return json.dumps(record(_SPECS[doc_type]))
+
+
 def build_requests(df: DataFrame, model: str, limit: int = MAX_EXTRACT_CHARS) -> DataFrame:
     """One request per document ``(document_id, doc_type, text)`` that is long enough.
 
-    ``typed`` says that the answer must follow the schema of the type.
+    ``typed`` says that the answer must follow ``response_schema``, the JSON schema of the type; the generic prompt has none.
+    ``dropped_chars`` is how much of the text lies past ``limit`` and is not sent.
     """
     doc_type = F.col("doc_type")
+    schema = F.lit(None).cast("string")
+    for kind in EXTRACTABLE_TYPES:
+        schema = F.when(doc_type == kind, F.lit(response_schema(kind))).otherwise(schema)
     return (df.filter(extractable_error(F.col("text"), limit).isNull())
             .select("document_id", "doc_type", F.lit(SYSTEM_PROMPT).alias("system"),
                     F.replace(route_prompt(doc_type), F.lit(TEXT_SLOT), truncate_text(F.col("text"), limit)).alias("user_message"),
                     F.lit(model).alias("model"), F.lit(MAX_TOKENS).alias("max_tokens"),
-                    F.lit(TEMPERATURE).alias("temperature"), doc_type.isin(EXTRACTABLE_TYPES).alias("typed")))
+                    F.lit(TEMPERATURE).alias("temperature"), doc_type.isin(EXTRACTABLE_TYPES).alias("typed"), schema.alias("response_schema"),
+                    F.greatest(F.length("text") - limit, F.lit(0)).cast("bigint").alias("dropped_chars")))
 
 
 def run_extractor(requests: DataFrame, factory: Callable[[], Client], attempt: int = 1,

@@ -30,12 +30,18 @@ _USER = "CASE doc_id % 4 " + " ".join(
     for i, p in enumerate([X.PROMPTS["invoice"], X.PROMPTS["receipt"], X.PROMPTS["contract"], X.GENERIC_PROMPT])) + " END"
 
 
+_SCHEMA = "CASE doc_id % 4 " + " ".join(
+    f"WHEN {i} THEN md5({_sql_text(X.response_schema(kind))})" for i, kind in enumerate(("invoice", "receipt", "contract"))) + " END"
+
+
 @query("prompt_requests", f"""
 SELECT doc_id AS document_id, md5({_USER}) AS message_md5, md5({_sql_text(X.SYSTEM_PROMPT)}) AS system_md5, 'extractor-1' AS model, 4096 AS max_tokens,
-  0.0::DOUBLE AS temperature, doc_id % 4 < 3 AS typed FROM documents WHERE length({_STRIPPED}) >= 50""")
+  0.0::DOUBLE AS temperature, doc_id % 4 < 3 AS typed,
+  {_SCHEMA} AS schema_md5, greatest(length(text) - 180000, 0) AS dropped_chars FROM documents WHERE length({_STRIPPED}) >= 50""")
 def prompt_requests(spark, sf):
     r = X.build_requests(_typed_documents(spark, sf), MODEL)
-    return r.select("document_id", F.md5("user_message").alias("message_md5"), F.md5("system").alias("system_md5"), "model", "max_tokens", "temperature", "typed")
+    return r.select("document_id", F.md5("user_message").alias("message_md5"), F.md5("system").alias("system_md5"), "model", "max_tokens", "temperature", "typed",
+                    F.md5("response_schema").alias("schema_md5"), "dropped_chars")
 
 
 @query("truncate_gate", f"""
