@@ -15,7 +15,7 @@ from foliospark.session import materialize
 
 FILING_BEAM = 32  # lists looked at to file a row
 WIDTH = 8  # centroids that a search expands at once
-REGION = 32  # neighbouring lists that are searched by one task
+REGION = 128  # neighbouring lists that are searched by one task
 
 
 class Index(NamedTuple):
@@ -166,6 +166,26 @@ def probe_lists(index: Index, x: np.ndarray, sizes: np.ndarray, beam: int, ratio
     return np.concatenate(out_rows), np.concatenate(out_lists)
 
 
+def best_distinct(at: np.ndarray, ids: np.ndarray, score: np.ndarray, points: np.ndarray, query: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best different ids among the places ``at``, and their scores, ties to the smaller one; looks at the ``first`` best places, then at more.
+
+    ``score`` comes from one product for many queries, where equal vectors may differ in the last bit. So places within rounding of the
+    last one looked at are looked at too, and each of them is summed alone.
+    """
+    while True:
+        near = at
+        if len(at) > first:
+            least = np.partition(score[at], len(at) - first)[len(at) - first]
+            near = at[score[at] >= least - 1e-9 * abs(least)]
+        value = (points[near] * query).sum(axis=1)
+        order = np.lexsort((ids[near], -value))
+        _, front = np.unique(ids[near][order], return_index=True)
+        if len(front) >= k or len(near) == len(at):
+            best = order[np.sort(front)[:k]]
+            return ids[near][best], value[best]
+        first *= 4
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "vec", sample_rows: int = 32_768,
             leaf: int = 64, degree: int = 16, replicas: int = 2, closure: float = 1.01, ratio: float = 1.23, least: int = 16,
             beam: int = 1024, block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
@@ -202,9 +222,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             yield pd.DataFrame({"list": at, "id": batch["id"].to_numpy()[row], "vec": batch["vec"].to_numpy()[row]})
 
     lists = materialize(rows.select("id", "vec").mapInPandas(filed, "list int, id bigint, vec array<double>"), "ann-lists")
-    sizes = np.zeros(len(index.centroids), np.int64)
-    for r in lists.groupBy("list").count().collect():  # one row for each centroid at most
-        sizes[r["list"]] = r["count"]
+    stored_rows, sizes = np.zeros((2, len(index.centroids)), np.int64)
+    for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect():  # a row for each centroid at most
+        stored_rows[r["list"]], sizes[r["list"]] = r["n"], r["ids"]
 
     def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,7 +236,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     probes = materialize(rows.filter("asks").select("id", "vec").mapInPandas(
         asking, "region int, qid bigint, vec array<double>, lists array<int>"), "ann-probes")
-    held = np.bincount(np.arange(len(sizes)) // REGION, weights=sizes).astype(np.int64)
+    held = np.bincount(np.arange(len(stored_rows)) // REGION, weights=stored_rows).astype(np.int64)
     asked = {r["region"]: r["count"] for r in probes.groupBy("region").count().collect()}  # one row for each region at most
     split = spark.createDataFrame([(i, int(max(1, -(-n // block_rows))), int(max(1, -(-asked.get(i, 0) // query_rows)))) for i, n in enumerate(held.tolist())],
                                   "region int, blocks int, askers int")
@@ -228,26 +248,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
               .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("region", "block", "asker", "qid", "vec", "lists"))
 
     def meet(key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found_q, found_id, found_score = [], [], []
         if len(points) and len(queries):
             ids, local = points["id"].to_numpy(), points["list"].to_numpy() - int(key[0]) * REGION
             p = np.stack(points["vec"].to_numpy())
             for a in range(0, len(queries), 256):
                 part = queries.iloc[a: a + 256]
-                q = np.stack(part["vec"].to_numpy())
+                q, own = np.stack(part["vec"].to_numpy()), part["qid"].to_numpy()
                 reads = np.zeros((len(part), REGION), bool)
                 for i, chosen in enumerate(part["lists"]):
                     reads[i, np.asarray(chosen) - int(key[0]) * REGION] = True
-                score = np.where(reads[:, local] & (ids[None, :] != part["qid"].to_numpy()[:, None]), q @ p.T, -np.inf)
-                for i, qid in enumerate(part["qid"]):
+                score = np.where(reads[:, local] & (ids[None, :] != own[:, None]), q @ p.T, -np.inf)
+                for i, qid in enumerate(own):
                     at = np.flatnonzero(score[i] > -np.inf)
-                    if len(at) > k * replicas:
-                        kth = np.partition(score[i, at], len(at) - k * replicas)[len(at) - k * replicas]
-                        at = at[score[i, at] >= kth - 1e-9 * abs(kth)]
-                    value = (p[at] * q[i]).sum(axis=1)
-                    best = pd.DataFrame({"qid": qid, "id": ids[at], "score": value}).sort_values(["score", "id"], ascending=[False, True])
-                    out.append(best.drop_duplicates("id").head(k))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
+                    best, value = best_distinct(at, ids, score[i], p, q[i], k, k * replicas)
+                    found_q.append(np.full(len(best), qid))
+                    found_id.append(best)
+                    found_score.append(value)
+        empty = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"qid": np.concatenate(found_q or empty), "id": np.concatenate(found_id or empty),
+                             "score": np.concatenate(found_score or empty).astype(np.float64)})
 
     keys = ["region", "block", "asker"]
     found = stored.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(meet, "qid bigint, id bigint, score double")
