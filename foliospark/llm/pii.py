@@ -80,12 +80,10 @@ def contexts(text: str, spans: list[Span], window: int) -> list[dict]:
     for start, kind, end in spans:
         value = text[start:end].lower() if kind < 2 else re.sub("[^0-9]", "", text[start:end])
         entity = xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
-        left = [m for m in _RUN.finditer(text, max(0, start - reach), start)][-window:]
-        right = []
-        for m in _RUN.finditer(text, end, end + reach):
-            if len(right) == window:
-                break
-            right.append(m)
+        low, high = max(0, start - reach), min(len(text), end + reach)
+        whole = lambda m: (m.start() > low or not low or text[low - 1].isspace()) and (m.end() < high or high == len(text) or text[high].isspace())
+        left = [m for m in _RUN.finditer(text, low, start) if whole(m)][-window:]
+        right = [m for m in _RUN.finditer(text, end, high) if whole(m)][:window]
         near = [*left, *right]
         mark = xxhash.xxh3_64_intdigest(" ".join(m.group().lower() for m in near)) - (1 << 63)
         for m in near:
