@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,20 @@ def get_session(app_name: str = "foliospark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that their Python workers can import it from anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_foliospark_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="foliospark-")) / "foliospark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._foliospark_sent = True
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
