@@ -6,11 +6,13 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all of ``docs``; all bu
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import language, line_dedup, near_dup, packing, pii
-from foliospark.session import materialize
+from foliospark.session import materialize, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of one packed sequence.
@@ -56,13 +58,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, F.octet_length("text"), CAPACITY, cluster=F.xxhash64("text"))
 
 
-STAGES = [
+def _shipped(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (
     ("language_id", identify_language),
     ("line_dedup", drop_repeated_lines),
     ("minhash_near_dedup", drop_near_duplicates),
     ("pii", remove_personal_data),
     ("best_fit_packing", pack_sequences),
-]
+)]
 #: Language profiles, near copies and packing are not expressible in SQL.
 ORACLE_SQL = None
 
