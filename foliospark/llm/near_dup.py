@@ -101,20 +101,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: every node of ``edges(a, b)`` with the smallest node it reaches.
 
-    Every round gives a node the smallest root among its neighbours and then that root's own root, until nothing changes.
-    Each round is written to the shared folder. Stars settle in two or three rounds.
+    Every round gives a node the smallest root among its neighbours, and then that root's own root; it ends when no node's
+    neighbour has a smaller one. Each round is written to the shared folder. Stars settle in two or three rounds.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
+    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     while True:
         seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         lower = materialize(lower, "roots")
+        if lower.filter("root <> old").isEmpty():
+            return lower.select("node", "root")
         up = lower.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = materialize(lower.join(up, "root").select("node", "old", F.col("above").alias("root")), "roots")
-        if jumped.filter("root <> old").isEmpty():
-            return jumped.select("node", "root")
-        roots = jumped.select("node", "root")
+        roots = lower.join(up, "root").select("node", F.col("above").alias("root"))
 
 
 def likely_among(df: DataFrame, id_col: str, ids: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
@@ -183,20 +182,29 @@ def stars(reps: DataFrame) -> DataFrame:
         "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
-def sweep(edges: DataFrame, links: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` as pairs of the components their ends are in, those inside one component left out."""
+    for end in ("a", "b"):
+        label = parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(label, end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "bridges")
+
+
+def sweep(edges: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that could link what the stars left apart.
 
-    A family is what candidate edges hang together. Where links leave a family in several components, every document
+    A family is what candidate edges hang together, ``parts(node, root)`` are the components of the links so far. Where they leave a family in several components, every document
     outside its largest component meets the documents of the other components, in blocks; only pairs pass whose 2,048-bit maps
     allow the similarity: a bit that only one side has stands for a shingle that only that side has. That bound
     never rules out a link, and no pair that it rules out is ever a row.
     """
-    family = components(edges).withColumnRenamed("root", "family")
-    joined = components(links).select("node", F.col("root").alias("part"))
-    spread = family.join(joined, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part"))
-    spread = materialize(spread, "families")
-    parts = spread.groupBy("family", "part").agg(F.count(F.lit(1)).alias("size"))
-    split = (parts.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max("size").alias("most"),
+    apart = between(edges, parts)
+    family = components(apart).select(F.col("node").alias("part"), F.col("root").alias("family"))
+    label = parts.select("node", F.col("root").alias("part"))
+    spread = nodes.select(F.col("id").alias("node")).join(label, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+    spread = materialize(spread.join(family, "part").select("node", "family", "part"), "families")
+    sizes = spread.groupBy("family", "part").agg(F.count(F.lit(1)).alias("size"))
+    split = (sizes.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max("size").alias("most"),
                                          F.max_by("part", F.struct("size", -F.col("part"))).alias("main")).filter("parts > 1"))
 
     @F.pandas_udf("n bigint, bits binary")
@@ -211,10 +219,10 @@ def sweep(edges: DataFrame, links: DataFrame, texts: DataFrame, words: int, perc
     cuts = lambda c: F.ceil(c / SWEEP_ROWS).cast("int")
     place = F.pmod(F.xxhash64("node"), F.greatest(cuts(F.col("rows")), F.lit(1))).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(cuts(c), F.lit(1)) - 1))
-    apart = F.col("rows") - F.col("most")
-    all_rows = rows.select("family", "node", "part", "n", "bits", place.alias("block"), every(apart).alias("asker"))
+    outside = F.col("rows") - F.col("most")
+    all_rows = rows.select("family", "node", "part", "n", "bits", place.alias("block"), every(outside).alias("asker"))
     askers = rows.filter("part <> main").select(
-        "family", "node", "part", "main", "n", "bits", F.pmod(F.xxhash64("node"), F.greatest(cuts(apart), F.lit(1))).cast("int").alias("asker"), every(F.col("rows")).alias("block"))
+        "family", "node", "part", "main", "n", "bits", F.pmod(F.xxhash64("node"), F.greatest(cuts(outside), F.lit(1))).cast("int").alias("asker"), every(F.col("rows")).alias("block"))
 
     def meet(key: tuple, rest: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         found_a, found_b = [], []
@@ -252,7 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = made.filter("id is not null and n > 0")
     first = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     first = materialize(first, "distinct-sets")
-    folded = usable.select("id", "print").join(first.select("print", "rep"), "print").select("id", "rep").filter("id <> rep")
+    rep = F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")
+    placed = materialize(made.join(first.select("print", "rep"), "print", "left").select("id", "n", rep), "placed")
     reps = first.select(F.col("rep").alias("id"), "bands")
     edges = materialize(stars(reps), "candidates")
     needed = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
@@ -261,10 +270,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = likely_among(texts, "id", needed).join(needed, "id", "left_semi").distinct()
     texts = materialize(texts, "candidate-texts")
     links = materialize(confirm(edges, texts, words, percent), "links")
-    more = materialize(confirm(sweep(edges, links, texts, words, percent), texts, words, percent), "links")
-    every = links.unionByName(more).unionByName(folded.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    roots = components(every)
-    out = made.select("id", "n").join(roots, F.col("id") == F.col("node"), "left")
+    several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")  # one id, two sets
+    links = links.unionByName(placed.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    parts = components(links)
+    more = confirm(sweep(edges, needed, parts, texts, words, percent), texts, words, percent)
+    bridges = between(more, parts)  # a late link joins two components, not all their documents
+    joined = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    roots = (first.select("rep").distinct().join(parts.select(F.col("node").alias("rep"), "root"), "rep", "left")
+             .select("rep", F.coalesce("root", "rep").alias("part")).join(joined, "part", "left")
+             .select("rep", F.coalesce("whole", "part").alias("root")))
+    out = placed.join(roots, "rep", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -118,6 +118,12 @@ def test_near_duplicates(spark, odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = "one two three four five six", "uno dos tres cuatro cinco seis"
+    assert groups(near_dup.near_duplicates(docs(spark, [(5, a), (5, b), (3, a), (4, b), (6, "else")]), words=2)) == [
+        (3, 3, True), (4, 3, False), (5, 3, False), (5, 3, False), (6, 6, True)]
+
+
 def test_near_duplicate_threshold_is_exact(spark):
     a = [f"w{i}" for i in range(9)]  # nine one-word shingles
     at, under = " ".join(a[:8]), " ".join(a[:7])
