@@ -148,6 +148,7 @@ def predict(docs: DataFrame, profiles: tuple[list[str], np.ndarray], text_col: s
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = judged.asNondeterministic()  # else a filter on the outcome would judge every text twice
     return docs.withColumn("_j", judged(F.col(text_col))).select(*others, "_j.lang_pred", "_j.score")
 
 
