@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one step inside a task holds as arrays at once; a single longer text is held alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Texts of one step, so that short ones do not make a step wide.
 CHUNK_TEXTS = 1_000
 
