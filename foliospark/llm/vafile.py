@@ -78,12 +78,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     count once, and rows that share only the id are never each other's candidates. Fewer candidates than k give them all.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vec"))).withColumns(
-        {"n": F.size("vec"), "same": F.xxhash64("vec"), "pkey": F.xxhash64("id", "vec")})
+    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vec"))).withColumns({"n": F.size("vec"), "pkey": F.xxhash64("id", "vec")})
     ranges = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("asks").cast("int")).alias("asking"),
                                    F.min(F.array_min("vec")).alias("low"), F.max(F.array_max("vec")).alias("high")).limit(1001).collect()
     if len(ranges) > 1000:
         raise ValueError("vectors of more than 1000 lengths")
+    # Copies of a row would fill the places of other candidates.
+    rows = rows.groupBy("id", "pkey").agg(F.first("vec").alias("vec"), F.max("asks").alias("asks")).withColumns(
+        {"n": F.size("vec"), "same": F.xxhash64("vec")})
     shape = {r["n"]: (r["low"], -(-(r["high"] - r["low"] + 1) // cells)) for r in ranges}
     blocks = {r["n"]: -(-r["rows"] // block_rows) for r in ranges}
     askers = {r["n"]: max(1, -(-r["asking"] // query_rows)) for r in ranges}
@@ -97,7 +99,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     every = lambda table: F.explode(F.sequence(F.lit(0), pick(table) - 1))
     approximations = rows.select("n", "id", "pkey", "same", cell_bytes("vec").alias("cells"), F.pmod("pkey", pick(blocks)).cast("int").alias("block"))
     approximations = approximations.select("*", every(askers).alias("askers"))
-    asked = rows.filter("asks").select("n", F.col("id").alias("qid"), F.col("pkey").alias("qkey"), "vec").dropDuplicates(["qid", "qkey"])
+    asked = rows.filter("asks").select("n", F.col("id").alias("qid"), F.col("pkey").alias("qkey"), "vec")
     dealt = asked.withColumn("askers", F.pmod("qkey", pick(askers)).cast("int")).select("*", every(blocks).alias("block"))
 
     def meet(key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +125,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     def exact(pairs: DataFrame) -> DataFrame:
         read = pairs.join(rows.select("id", "pkey", "vec"), ["id", "pkey"])
         return (read.join(asked.select("qid", "qkey", F.col("vec").alias("asked")), ["qid", "qkey"])
-                .select("qid", "qkey", "id", "pkey", product("asked", "vec").alias("score")).distinct())
+                .select("qid", "qkey", "id", "pkey", product("asked", "vec").alias("score")))
 
     first = materialize(exact(ordered.filter(F.col("r") <= k)), "va-first")
     kth = first.groupBy("qid", "qkey").agg(F.min("score").alias("kth"))
