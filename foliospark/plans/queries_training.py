@@ -137,20 +137,17 @@ def fingerprint(spark, sf):
 
 # --- fits (no SQL twin; tests compare them with brute force on small fixtures) ------------------------------
 
-SMALL_GRID = [R.Candidate(5000, 1, 1.0), R.Candidate(5000, 1, 10.0)]
-
-
 @query("grid_results")
 def grid_results(spark, sf):
-    """Two candidates that share their vectors, two folds; the full grid of twelve is ``training.full_grid()``."""
-    scores, _ = R.grid_search(t.samples(spark, sf), SMALL_GRID, k=2)
+    """All twelve candidates over five folds."""
+    scores, _ = R.grid_search(t.samples(spark, sf), R.full_grid())
     return R.grid_results(scores)
 
 
 @query("oof_predictions", "SELECT doc_id AS id, lang AS y_true, 4 AS classes, true AS is_distribution, true AS is_largest FROM documents")
 def oof_predictions(spark, sf):
     """Every sample is predicted once, by a distribution over the classes whose largest entry names the class."""
-    rows = R.out_of_fold(t.samples(spark, sf), R.Candidate(5000, 1, 1.0), k=2)
+    rows = R.out_of_fold(t.samples(spark, sf))
     total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
     return rows.select("id", "y_true", F.size("proba").alias("classes"), (F.abs(total - 1) < 1e-9).alias("is_distribution"),
                        (F.get("proba", (F.array_position(F.array(*[F.lit(c) for c in t.LANGS]), F.col("y_pred")) - 1).cast("int"))
@@ -160,16 +157,17 @@ def oof_predictions(spark, sf):
 @query("fit_optimality", "SELECT unnest(['de', 'en', 'es', 'fr']) AS class, 0.0::DOUBLE AS intercept_residual, 0.0::DOUBLE AS coef_residual")
 def fit_optimality(spark, sf):
     """The gradient of a fit over all samples, to five places: nothing is left to gain."""
-    rows = R.optimality(t.samples(spark, sf), R.Candidate(5000, 1, 1.0))
+    rows = R.optimality(t.samples(spark, sf))
     return rows.select("class", F.round("intercept_residual", 5).alias("intercept_residual"), F.round("coef_residual", 5).alias("coef_residual"))
 
 
 @query("manifest")
 def manifest(spark, sf):
+    """The best candidate of the whole grid, with its metrics over held-out predictions."""
     samples = t.samples(spark, sf)
-    candidate = R.Candidate(5000, 1, 1.0)
-    metrics = E.compute_metrics(R.out_of_fold(samples, candidate, k=2), t.LANGS)
-    row = R.training_manifest(spark, samples, candidate, metrics, data_path="documents", k=2)
+    _, best = R.grid_search(samples, R.full_grid())
+    metrics = E.compute_metrics(R.out_of_fold(samples, best), t.LANGS)
+    row = R.training_manifest(spark, samples, best, metrics, data_path="documents")
     return row.select("data_md5", "n_samples", F.to_json("class_counts").alias("class_counts"), "cv_folds", "confidence_threshold",
                       F.to_json("best_params").alias("best_params"), F.size("metrics").alias("n_metrics"))
 
@@ -217,7 +215,7 @@ def model_round_trip(spark, sf):
 def fitted_classes(spark, sf):
     """Classes given by a model that is fitted on the same samples."""
     samples = t.samples(spark, sf)
-    return S.classify(samples, R.fit_classifier(samples, R.Candidate(5000, 1, 1.0)))
+    return S.classify(samples, R.fit_classifier(samples))
 
 
 # --- the whole way ----------------------------------------------------------------------------------------

@@ -122,3 +122,36 @@ def test_curves_do_not_depend_on_bucket_depth(spark):
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(auc["a"] - want) < 1e-12
     assert E.confusion_matrix(preds, ["a", "b"]).agg(F.sum("n")).first()[0] == 500
+
+
+class _Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name,operator,folded", [
+    ("grid_results", "grid_search", True), ("manifest", "grid_search", True), ("manifest", "out_of_fold", True), ("oof_predictions", "out_of_fold", True),
+    ("fitted_classes", "fit_classifier", False), ("fit_optimality", "optimality", False)])
+def test_registered_fits_are_the_whole_job(spark, monkeypatch, name, operator, folded):
+    """Twelve candidates, five folds, bigrams; the manifest reports the candidate that the search found."""
+    import inspect
+
+    from conftest import SF
+    from foliospark.plans import queries_training as Q
+    real, best = inspect.signature(getattr(R, operator)), R.Candidate(10000, 2, 10.0)
+
+    def asked(*args, **kwargs):
+        call = real.bind(*args, **kwargs)
+        call.apply_defaults()
+        raise _Asked(call.arguments)
+
+    if (name, operator) == ("manifest", "out_of_fold"):
+        monkeypatch.setattr(R, "grid_search", lambda *a, **b: (None, best))
+    monkeypatch.setattr(R, operator, asked)
+    with pytest.raises(_Asked) as caught:
+        getattr(Q, name)(spark, SF)
+    arguments = caught.value.args[0]
+    assert not folded or arguments["k"] == R.FOLDS == 5
+    if operator == "grid_search":
+        assert arguments["candidates"] == R.full_grid() and len(R.full_grid()) == 12
+    else:
+        assert arguments["candidate"] == (best if name == "manifest" else R.Candidate()) and arguments["candidate"].max_n == 2
