@@ -73,30 +73,46 @@ def term_of(token: str) -> str | None:
     return core.lower() if len(core) >= 4 and core.isalpha() else None
 
 
-def contexts(text: str, spans: list[Span], window: int) -> list[dict]:
-    """Terms within ``window`` words of each span, with the entity the span names and a hash of the whole window."""
-    out = []
+def entity_of(text: str, span: Span) -> int:
+    """The entity a span names: its kind and its value without case or separators, as a hash."""
+    start, kind, end = span
+    value = text[start:end].lower() if kind < 2 else re.sub("[^0-9]", "", text[start:end])
+    return xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
+
+
+def surroundings(text: str, spans: list[Span], window: int) -> dict[int, int]:
+    """Of every entity of a text, a hash of the ``window`` words on both sides of all its spans: plain copies have the same."""
+    near: dict[int, list[str]] = {}
     reach = 24 * window
     for start, kind, end in spans:
-        value = text[start:end].lower() if kind < 2 else re.sub("[^0-9]", "", text[start:end])
-        entity = xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
         low, high = max(0, start - reach), min(len(text), end + reach)
         whole = lambda m: (m.start() > low or not low or text[low - 1].isspace()) and (m.end() < high or high == len(text) or text[high].isspace())
         left = [m for m in _RUN.finditer(text, low, start) if whole(m)][-window:]
         right = [m for m in _RUN.finditer(text, end, high) if whole(m)][:window]
-        near = [*left, *right]
-        mark = xxhash.xxh3_64_intdigest(" ".join(m.group().lower() for m in near)) - (1 << 63)
-        for m in near:
-            term = term_of(m.group())
-            if term and all(m.end() <= a or m.start() >= b for a, _, b in spans):
-                out.append({"entity": entity, "term": term, "start": m.start(), "end": m.end(), "window": mark})
-    return out
+        near.setdefault(entity_of(text, (start, kind, end)), []).append(" ".join(m.group().lower() for m in [*left, *right]))
+    return {entity: xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63) for entity, words in near.items()}
+
+
+def places(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """``(term, start, end)`` of every term of a text that overlaps no span; spans are in order."""
+    taken: list[list[int]] = []
+    for start, _, end in spans:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    at = 0
+    for m in _RUN.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        term = term_of(m.group()) if at == len(taken) or m.end() <= taken[at][0] else None
+        if term:
+            yield term, m.start(), m.end()
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``(id, text_hash, base, near)`` of every row: its fixed spans, and the terms around them."""
-    shape = ("base array<struct<start: bigint, kind: int, end: bigint>>, "
-             "near array<struct<entity: bigint, term: string, start: bigint, end: bigint, window: bigint>>")
+    """``(id, text_hash, base, held)`` of every row: its fixed spans, and its entities with their surroundings."""
+    shape = "base array<struct<start: bigint, kind: int, end: bigint>>, held array<struct<entity: bigint, mark: bigint>>"
 
     @F.pandas_udf(shape)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -104,12 +120,73 @@ def detect(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
             rows = []
             for text in batch.tolist():
                 spans = base_spans(text or "")
-                rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in spans], contexts(text, spans, window) if spans else []))
-            yield pd.DataFrame(rows, columns=["base", "near"])
+                held = surroundings(text, spans, window) if spans else {}
+                rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in spans], [{"entity": e, "mark": m} for e, m in held.items()]))
+            yield pd.DataFrame(rows, columns=["base", "held"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), found(F.col(text_col)).alias("_f"))
-            .select("id", "text_hash", "_f.base", "_f.near"))
+            .select("id", "text_hash", "_f.base", "_f.held"))
+
+
+def _passes(bitmap: bytes, key: str, size: int) -> bool:
+    return all(bitmap[b >> 3] >> (b & 7) & 1 for b in _bits(xxhash.xxh3_64_intdigest(key), size))
+
+
+def entity_terms(docs: DataFrame, entities: DataFrame, text_col: str, window: int, filter_bits: int) -> DataFrame:
+    """``(entity, term, n_both, low, high)``: in how many rows each of ``entities(entity)`` and each term stand together, over
+    whole texts, and the least and largest mark of the entity's surroundings there. Tasks add up before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(entities.select(F.col("entity").cast("string").alias("term")), filter_bits))
+
+    def frame(sums: dict) -> pd.DataFrame:
+        rows = [(*pair, *value) for pair, value in sums.items()]
+        return pd.DataFrame(rows, columns=["entity", "term", "n", "low", "high"]).astype(
+            {"entity": "int64", "term": object, "n": "int64", "low": "int64", "high": "int64"})
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap, sums = shared.value, {}
+        for batch in batches:
+            for text in batch["text"].tolist():
+                spans = base_spans(text or "")
+                held = {e: m for e, m in surroundings(text, spans, window).items() if _passes(bitmap, str(e), filter_bits)} if spans else {}
+                if not held:
+                    continue
+                terms = {term for term, _, _ in places(text, spans)}
+                for entity, mark in held.items():
+                    for term in terms:
+                        n, low, high = sums.get((entity, term), (0, mark, mark))
+                        sums[entity, term] = (n + 1, min(low, mark), max(high, mark))
+                    if len(sums) > 100_000:
+                        yield frame(sums)
+                        sums = {}
+        yield frame(sums)
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(local, "entity bigint, term string, n bigint, low bigint, high bigint")
+    summed = counted.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return summed.join(entities.select("entity"), "entity", "left_semi")
+
+
+def flagged_places(docs: DataFrame, flagged: DataFrame, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+    """``(id, text_hash, start, end, ratio)``: every place of a flagged term in the rows that hold its entity."""
+    pairs = flagged.select(F.concat_ws(":", "entity", "term").alias("term"))
+    both = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs, filter_bits))
+    own = docs.sparkSession.sparkContext.broadcast(_filter_of(flagged.select(F.col("entity").cast("string").alias("term")), filter_bits))
+
+    @F.pandas_udf("array<struct<entity: bigint, term: string, start: bigint, end: bigint>>")
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = []
+            for text in batch.tolist():
+                spans = base_spans(text or "")
+                held = [e for e in {entity_of(text, s) for s in spans} if _passes(own.value, str(e), filter_bits)]
+                rows.append([{"entity": e, "term": term, "start": a, "end": b} for term, a, b in places(text, spans)
+                             for e in held if _passes(both.value, f"{e}:{term}", filter_bits)] if held else [])
+            yield pd.Series(rows, dtype=object)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), listed(F.col(text_col)).alias("found"))
+    found = found.select("id", "text_hash", F.explode("found").alias("n")).select("id", "text_hash", "n.*")
+    return (found.join(flagged, ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.max("ratio").alias("ratio")))
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str, filter_bits: int) -> DataFrame:
@@ -170,17 +247,17 @@ def _filter_of(terms: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, alpha: float, min_docs: int, filter_bits: int) -> DataFrame:
-    """``(entity, term, ratio)``: terms whose pointwise information about an entity near them is at least ``alpha`` of all
-    there is to know about it: PMI(entity; term) / IC(entity) = 1 + log(P(entity | term)) / -log(P(entity))."""
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str, alpha: float, min_docs: int, window: int, filter_bits: int) -> DataFrame:
+    """``(entity, term, ratio)``: terms whose pointwise information about an entity in the same text is at least ``alpha`` of all
+    there is to know about it: PMI(entity; term) / IC(entity) = 1 + log(P(entity | term)) / -log(P(entity)). All counts are of rows."""
     total = found.count()
-    pairs = found.select(F.explode("near").alias("n"), "id", "text_hash").select("n.entity", "n.term", "n.window", "id", "text_hash")
-    once = pairs.groupBy("entity", "term", "id", "text_hash").agg(F.min("window").alias("low"), F.max("window").alias("high"))
-    both = (once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
-            .filter((F.col("n_both") >= min_docs) & (F.col("low") < F.col("high"))).select("entity", "term", "n_both"))
-    both = materialize(both, "entity-terms")
-    entities = found.select("id", "text_hash", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity"))
+    supported = (F.col("n") >= min_docs) & (F.col("low") < F.col("high"))
+    # A pair has no more rows and surroundings than its entity.
+    entities = found.select(F.explode("held").alias("h")).groupBy("h.entity").agg(
+        F.count(F.lit(1)).alias("n"), F.min("h.mark").alias("low"), F.max("h.mark").alias("high")).filter(supported)
+    entities = materialize(entities.select("entity", F.col("n").alias("n_entity")), "entities")
+    both = entity_terms(docs, entities, text_col, window, filter_bits).withColumnRenamed("n_both", "n").filter(supported)
+    both = materialize(both.select("entity", "term", F.col("n").alias("n_both")), "entity-terms")
     df = document_frequency(docs, both.select("term").distinct(), text_col, filter_bits)
     information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
     known = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
@@ -193,18 +270,16 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                window: int = 8, filter_bits: int = 1 << 23) -> DataFrame:
     """``(id, text_hash, base, terms)`` of every row; spans are ``(start, kind, end)`` in code points, end exclusive.
 
-    ``base``: emails, addresses, cards and phones. ``terms`` (with ``ratio``): words of four letters and more within
-    ``window`` words of such a span that give its entity away: over all rows, PMI(entity; word) is at least ``alpha`` of the
-    entity's information content, shared by ``min_docs`` rows and two different surroundings at least, so that a rare
-    word or plain copies of one text prove nothing. Terms never overlap base spans, and a row without base spans has none. A null
-    text counts as empty. Rows that share id and text share their terms. ``filter_bits`` bounds what is broadcast.
+    ``base``: emails, addresses, cards and phones. ``terms`` (with ``ratio``): all places of words of four letters and more
+    that give away an entity named in the same text: over all rows, PMI(entity; word) is at least ``alpha`` of the entity's
+    information content, shared by ``min_docs`` rows and two different surroundings (``window`` words on both sides of the
+    entity's spans) at least, so that a rare word or plain copies of one text prove nothing. Terms never overlap base spans, and
+    a row without base spans has none. A null text counts as empty. Rows that share id and text share their terms. ``filter_bits`` bounds what is broadcast.
     """
     found = materialize(detect(docs, id_col, text_col, window), "pii-spans")
-    flagged = disclosing(docs, found, text_col, alpha, min_docs, filter_bits)
-    near = found.select("id", "text_hash", F.explode("near").alias("n")).select("id", "text_hash", "n.*")
-    terms = (near.join(flagged, ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.max("ratio").alias("ratio"))
-             .groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct(
-                 "start", F.lit(4).alias("kind"), "end", "ratio"))).alias("terms")))
+    flagged = materialize(disclosing(docs, found, text_col, alpha, min_docs, window, filter_bits), "flagged-terms")
+    terms = flagged_places(docs, flagged, id_col, text_col, filter_bits).groupBy("id", "text_hash").agg(
+        F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio"))).alias("terms"))
     left, right = found.select("id", "text_hash", "base").alias("l"), terms.alias("r")
     match = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.text_hash") == F.col("r.text_hash"))
     return left.join(right, match, "left").select("l.id", "l.text_hash", "base", F.coalesce(
