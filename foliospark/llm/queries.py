@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, byte_bpe, language, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
+from foliospark.llm import ann, byte_bpe, html_text, language, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
 from foliospark.llm.common import table
 from foliospark.session import ship
 
@@ -134,3 +134,18 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_nearest")
 def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, vec_col="embedding")
+
+
+# The given pages keep their article in one element of that name, without boilerplate inside.
+ARTICLE_SQL = r"""
+WITH found AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[a-z/][^>]*>', ' ', 'g') AS body FROM found),
+decoded AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(body, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS body FROM bare),
+spaced AS (SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM spaced
+"""
+
+
+@query("op11_html_text", ARTICLE_SQL)
+def op11_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
