@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, byte_bpe, html_text, language, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
+from foliospark.llm import ann, byte_bpe, html_text, language, lexical, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
 from foliospark.llm.common import table
 from foliospark.session import ship
 
@@ -149,3 +149,25 @@ SELECT page_id, url, text, length(text) AS n_chars FROM spaced
 @query("op11_html_text", ARTICLE_SQL)
 def op11_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
+
+
+RANKED_SQL = r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, row_number() OVER () AS r
+                 FROM documents WHERE doc_id IS NOT NULL),
+words AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM lowered),
+lengths AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+counts AS (SELECT r, doc_id, w, count(*) AS tf FROM words GROUP BY r, doc_id, w),
+weighed AS (SELECT w, floor(1000 * ln((2 * (SELECT docs FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM counts GROUP BY w),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+scored AS (SELECT item_id, doc_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+           FROM asked JOIN counts USING (w) JOIN weighed USING (w) JOIN lengths USING (r), whole GROUP BY item_id, doc_id, r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
