@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, byte_bpe, html_text, language, lexical, licenses, line_dedup, near_dup, packing, pii, token_counts, vafile
+from foliospark.llm import ann, byte_bpe, html_text, language, lexical, licenses, line_dedup, near_dup, packing, pii, spelling, token_counts, vafile
 from foliospark.llm.common import table
 from foliospark.session import ship
 
@@ -171,3 +171,8 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 @query("op12_ranked_search", RANKED_SQL)
 def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
