@@ -6,6 +6,8 @@ distinct score are ever sorted, never the rows themselves.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,32 +49,31 @@ def binarize_labels(preds: DataFrame, classes: list[str] | None = None) -> DataF
 
 # --- counts per class -------------------------------------------------------------------------------------
 
-def _class_grid(preds: DataFrame, classes: list[str] | None, *names: str) -> DataFrame:
-    grid = preds.sparkSession.range(1).select()
+def _class_grid(preds: DataFrame, classes: list[str] | None, *names: str, by: Sequence[str] = ()) -> DataFrame:
+    grid = preds.select(*by).distinct() if by else preds.sparkSession.range(1).select()
     for name in names:
         grid = grid.select("*", F.explode(_literal(classes)).alias(name))
     return grid
 
 
-def _pair_counts(preds: DataFrame) -> DataFrame:
-    return preds.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+def _pair_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return preds.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_report(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Precision, recall, F1 and support per class; 0 where the denominator is 0."""
-    counts = (_pair_counts(preds)
-              .select("n", F.col("y_true") == F.col("y_pred"),
+def class_report(preds: DataFrame, classes: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class; 0 where the denominator is 0. With ``by``, for each value of those columns."""
+    counts = (_pair_counts(preds, by)
+              .select(*by, "n", (F.col("y_true") == F.col("y_pred")).alias("hit"),
                       F.explode(F.array(F.struct(F.col("y_true").alias("class"), F.lit(1).alias("t"), F.lit(0).alias("p")),
                                         F.struct(F.col("y_pred").alias("class"), F.lit(0).alias("t"), F.lit(1).alias("p"))))
                       .alias("s"))
-              .toDF("n", "hit", "s")
-              .groupBy("s.class")
+              .groupBy(*by, "s.class")
               .agg(F.sum(F.when(F.col("hit"), F.col("n") * F.col("s.t")).otherwise(0)).alias("tp"),
                    F.sum(F.col("n") * F.col("s.t")).alias("support"),
                    F.sum(F.col("n") * F.col("s.p")).alias("predicted")))
     tp, support, predicted = (F.coalesce(c, F.lit(0)).cast("double") for c in ("tp", "support", "predicted"))
-    return (_class_grid(preds, classes, "class").join(counts, "class", "left")
-            .select("class", _ratio(tp, predicted).alias("precision"), _ratio(tp, support).alias("recall"),
+    return (_class_grid(preds, classes, "class", by=by).join(counts, [*by, "class"], "left")
+            .select(*by, "class", _ratio(tp, predicted).alias("precision"), _ratio(tp, support).alias("recall"),
                     _ratio(2 * tp, support + predicted).alias("f1"), support.cast("bigint").alias("support")))
 
 
@@ -104,16 +105,16 @@ def _accuracy() -> Column:
     return F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))
 
 
-def accuracy(preds: DataFrame) -> DataFrame:
-    return preds.agg(_accuracy().alias("accuracy"))
+def accuracy(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return preds.groupBy(*by).agg(_accuracy().alias("accuracy"))
 
 
-def macro_f1(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    return class_report(preds, classes).agg(F.avg("f1").alias("macro_f1"))
+def macro_f1(preds: DataFrame, classes: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return class_report(preds, classes, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
 
 
-def weighted_f1(preds: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    return class_report(preds, classes).agg(
+def weighted_f1(preds: DataFrame, classes: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return class_report(preds, classes, by).groupBy(*by).agg(
         F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
 
 

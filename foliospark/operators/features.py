@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from foliospark.functions.rows import explode_rows
 from foliospark.functions.text import bigrams, normalize_text, tokenize
-from foliospark.session import shared_folder
 
 # Limits of the term table.
 MIN_DF = 2
@@ -119,19 +116,6 @@ def tfidf_weights(counted: DataFrame, vocab: DataFrame) -> DataFrame:
     return weighed.select(*keep, "idx", (F.col("w") / length).alias("weight"), "term")
 
 
-def written_vectors(df: DataFrame, size: int, features: str = "features") -> DataFrame:
-    """``df`` with its feature array also as ML ``vector``, written once to the shared folder.
-
-    The file holds the vector's fields; read back with the vector's type they need no function on the way.
-    """
-    spark = df.sparkSession
-    fields = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col(f"{features}.idx").alias("indices"),
-                      F.col(f"{features}.w").alias("values"))
-    path = shared_folder(spark, "vectors")
-    df.withColumn("vector", fields).write.parquet(path)
-    return spark.read.schema(StructType([*df.schema.fields, StructField("vector", VectorUDT())])).parquet(path)
-
-
 def known_tokens(df: DataFrame, vocab: DataFrame, max_n: int = 2) -> DataFrame:
     """How many known terms each document has; 0 means it cannot be classified.
 

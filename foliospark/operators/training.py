@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from foliospark.functions.ordering import hash_rank, seeded_order
 from foliospark.functions.text import is_short
 from foliospark.operators import evaluation as E
-from foliospark.operators.features import document_frequency, term_rows, vocabulary, weight_arrays, with_term_counts, written_vectors
+from foliospark.operators import scoring as S
+from foliospark.operators.features import MAX_DF, MIN_DF, term_rows, top_terms, weight_arrays, with_term_counts
 from foliospark.operators.scoring import ClassifierModel
+from foliospark.operators.solver import TOLERANCE, Fit, Fitted, SparseRows, held_out, train_logreg
 from foliospark.schemas import CONFIDENCE_THRESHOLD, MIN_WORDS
 from foliospark.session import materialize
 
-# Folds, seed, solver limits and the search grid.
+# Folds, seed and the search grid.
 FOLDS = 5
 SEED = 42
-MAX_ITER = 1000
-TOLERANCE = 1e-10  # on the relative change of the loss, far tighter than a bound of 1e-4 on the gradient
+#: Terms of all rows together that one task of a fit's job works on, unless there are fewer cores.
+TASK_TERMS = 50_000
 MANIFEST = (
     "created_at timestamp, spark_version string, data_path string, data_md5 string, n_samples bigint, "
     "class_counts map<string,bigint>, cv_folds int, confidence_threshold double, random_state int, "
@@ -116,88 +121,153 @@ def fingerprint_of(digests: DataFrame) -> DataFrame:
 
 # --- fitting ----------------------------------------------------------------------------------------------
 
-def train_logreg(vectors: DataFrame, c: float):
-    """Multinomial logistic regression with an L2 penalty and balanced classes over ``(y, weight, vector)``.
+class FoldedSamples:
+    """Samples ``(id, label, text)`` with unique ids, counted into terms once and shared by every fit; rows without label take no part.
 
-    ``c`` weighs the summed loss against the penalty; Spark averages the loss, hence the division.
+    Document frequencies are kept per fold: the training counts of a fold are all counts minus its own, so no fold
+    sees a held-out text and no fold counts the corpus again. ``k`` of 0 means that all rows are training rows.
     """
-    total = vectors.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(
-        featuresCol="vector", labelCol="y", weightCol="weight", family="multinomial", standardization=False,
-        maxIter=MAX_ITER, tol=TOLERANCE, regParam=1.0 / (c * total), elasticNetParam=0.0, predictionCol="k",
-        probabilityCol="p", rawPredictionCol="margin").fit(vectors)
+
+    def __init__(self, df: DataFrame, k: int = FOLDS, seed: int = SEED, max_n: int = 2):
+        self.k, self.spark = k, df.sparkSession
+        labelled = df.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("label").isNotNull())
+        counted = with_term_counts(labelled, max_n)
+        folds = stratified_folds(labelled, k, seed).select("id", "fold") if k else None
+        self.counted = materialize(counted.join(folds, "id") if k else counted.withColumn("fold", F.lit(0)), "folded-terms")
+        self.sizes = {(r["fold"], r["label"]): r["n"] for r in self.counted.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.classes = sorted({label for _, label in self.sizes})
+        if not self.classes:
+            raise ValueError("no labelled sample to fit on")
+        kept = range(max(k, 1))
+        per_fold = [F.count_if(F.col("fold") == f).alias(f"df_{f}") for f in kept]
+        per_fold += [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("tf"))), F.lit(0)).alias(f"total_{f}") for f in kept]
+        self.frequencies = materialize(
+            term_rows(self.counted).groupBy("term", "n").agg(*per_fold), "folded-frequencies")
+
+    def train_counts(self, fold: int) -> np.ndarray:
+        """Training rows of each class when ``fold`` is left out (-1: none is)."""
+        return np.array([sum(n for (f, own), n in self.sizes.items() if own == label and f != fold) for label in self.classes], float)
+
+    def _top(self, fold: int, max_n: int, max_features: int) -> DataFrame:
+        rest = [f for f in range(max(self.k, 1)) if f != fold]
+        n = int(self.train_counts(fold).sum())
+        train = (self.frequencies.filter(F.col("n") <= max_n)
+                 .select("term", sum(F.col(f"df_{f}") for f in rest).alias("df"), sum(F.col(f"total_{f}") for f in rest).alias("total")))
+        return top_terms(train.filter((F.col("df") >= MIN_DF) & (F.col("df") <= MAX_DF * n)), max_features).select("term", "df", "total")
+
+    def rows(self, vector_sets: list[tuple[int, int, int]]) -> tuple[SparseRows, np.ndarray]:
+        """The written rows for vector sets ``(left-out fold, max_features, max_n)``, and the terms that their ``idx`` number.
+
+        A smaller vocabulary is the head of a larger one of the same fold and n, so one job finds all; the driver holds ``max_features`` terms
+        for each fold and n.
+        """
+        widest: dict[tuple[int, int], int] = {}
+        for fold, max_features, max_n in vector_sets:
+            widest[fold, max_n] = max(max_features, widest.get((fold, max_n), 0))
+        tops = [self._top(fold, max_n, most).select(F.lit(fold).alias("fold"), F.lit(max_n).alias("max_n"), "term", "df", "total")
+                for (fold, max_n), most in sorted(widest.items())]
+        found: dict[tuple[int, int], list] = {key: [] for key in widest}
+        for r in reduce(DataFrame.unionByName, tops).collect():
+            found[r["fold"], r["max_n"]].append((-r["total"], r["term"], r["df"]))
+        terms = np.array(sorted({term for rows in found.values() for _, term, _ in rows}), object)
+        place = {term: i for i, term in enumerate(terms)}
+        idf = np.zeros((len(vector_sets), len(terms)))
+        for s, (fold, max_features, max_n) in enumerate(vector_sets):
+            n = self.train_counts(fold).sum()
+            for _, term, df in sorted(found[fold, max_n])[:max_features]:
+                idf[s, place[term]] = np.log((n + 1) / (df + 1)) + 1
+        return self._written(terms, idf), terms
+
+    def _written(self, terms: np.ndarray, idf: np.ndarray) -> SparseRows:
+        counts = np.stack([self.train_counts(f) for f in [*range(self.k), -1]])
+        totals = counts.sum(axis=1)
+        present = (counts > 0).sum(axis=1)  # classes that a fit has rows of
+        weights = np.divide(totals[:, None], present[:, None] * counts, out=np.zeros_like(counts), where=counts > 0)
+        names = F.array(*[F.lit(c) for c in self.classes])
+        labelled = self.counted.select("id", "label", (F.array_position(names, F.col("label")) - 1).cast("int").alias("y"),
+                                       F.col("fold").cast("int").alias("fold"), F.col("terms.term").alias("term"), F.col("terms.tf").alias("tf"))
+        shared = self.spark.sparkContext.broadcast((terms, idf))
+        numbers = ArrayType(DoubleType())
+        schema = labelled.select("id", "label", "y", "fold").schema.add("idx", ArrayType(IntegerType())).add("tf", numbers).add("norms", numbers)
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, idf = shared.value
+            known = pa.array(terms, pa.string())
+            for whole in batches:
+                for first in range(0, whole.num_rows, 256):
+                    batch = whole.slice(first, 256)
+                    place = pc.index_in(batch.column(4).flatten().cast(pa.string()), known).fill_null(-1).to_numpy(zero_copy_only=False)
+                    owner = np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy(zero_copy_only=False))
+                    tf = 1 + np.log(batch.column(5).flatten().to_numpy(zero_copy_only=False))
+                    at = np.flatnonzero(place >= 0)
+                    place, owner, tf = place[at], owner[at], tf[at]
+                    norms = np.zeros((batch.num_rows, len(idf)))
+                    for s, weight in enumerate(idf):
+                        norms[:, s] = np.sqrt(np.bincount(owner, (tf * weight[place])**2, batch.num_rows))
+                    ends = pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))), pa.int32())
+                    sets = pa.array(np.arange(0, norms.size + 1, len(idf)), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i) for i in range(4)), pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())),
+                         pa.ListArray.from_arrays(ends, pa.array(tf)), pa.ListArray.from_arrays(sets, pa.array(norms.ravel()))], schema.names)
+
+        size = self.counted.agg(F.sum(F.size("terms"))).first()[0] or 0
+        tasks = max(1, min(-(-size // TASK_TERMS), self.spark.sparkContext.defaultParallelism))
+        table = materialize(labelled.mapInArrow(vectors, schema).repartition(tasks), "sparse-rows")
+        return SparseRows(table, self.classes, idf, weights, totals)
+
+    def fit_all(self, candidates: list[Candidate], folds: list[int], tolerance: float = TOLERANCE) -> tuple[SparseRows, np.ndarray, list[Fit], list[Fitted]]:
+        """Every candidate on every left-out fold, candidates first; all in step."""
+        sets = sorted({(fold, c.max_features, c.max_n) for c in candidates for fold in folds})
+        rows, terms = self.rows(sets)
+        fits = [Fit(sets.index((fold, c.max_features, c.max_n)), fold, c.c) for c in candidates for fold in folds]
+        return rows, terms, fits, train_logreg(rows, fits, tolerance)
+
+    def predictions(self, rows: SparseRows, fits: list[Fit], fitted: list[Fitted]) -> DataFrame:
+        """``(fit, id, y_true, y_pred, proba)`` of held-out rows."""
+        names = F.array(*[F.lit(c) for c in self.classes])
+        return held_out(rows, fits, fitted).select(
+            "fit", "id", F.col("label").alias("y_true"), E.predicted_label(F.col("proba"), names).alias("y_pred"), "proba")
+
+
+def fit_classifier(df: DataFrame, candidate: Candidate = Candidate()) -> ClassifierModel:
+    """Fit one candidate on all samples ``(id, label, text)``."""
+    samples = FoldedSamples(df, 0, max_n=candidate.max_n)
+    rows, terms, _, (fitted,) = samples.fit_all([candidate], [-1])
+    listed = [(str(term), i, float(rows.idf[0, i]), fitted.coef[i].tolist()) for i, term in enumerate(terms)]
+    table = samples.spark.createDataFrame(listed, "term string, idx int, idf double, coef array<double>")
+    return ClassifierModel(materialize(table, "model"), fitted.intercept.tolist(), samples.classes, candidate.params())
 
 
 def optimality(df: DataFrame, candidate: Candidate = Candidate()) -> DataFrame:
     """How far a fit on ``df`` is from its optimum: ``(class, intercept_residual, coef_residual)``, the largest absolute gradient.
 
     At the optimum the weighted errors of a class add up to 0, and a coefficient is -C times the weighted errors times its feature.
+    The probabilities are those of ``scoring``, so the check shares no code with the solver.
     """
-    counted = materialize(with_term_counts(df.select("id", "label", "text"), candidate.max_n), "terms")
-    n, classes = counted.count(), _classes(counted)
-    vocab = materialize(vocabulary(document_frequency(term_rows(counted), n), n, candidate.max_features), "vocabulary")
-    vectors = _weighted(_labelled(weight_arrays(counted, vocab), classes, vocab.count()))
-    fitted = train_logreg(vectors, candidate.c)
-    total = vectors.agg(F.sum("weight")).first()[0]
-    p = vector_to_array("p")
-    errors = [((p[k] - F.when(F.col("y") == k, 1.0).otherwise(0.0)) * F.col("weight") / total).alias(f"e{k}") for k in range(len(classes))]
-    scored = materialize(fitted.transform(vectors).select("features", *errors), "errors")
-    names = F.array(*[F.lit(c) for c in classes])
-    free = scored.select(F.posexplode(F.array(*[f"e{k}" for k in range(len(classes))])).alias("k", "e")).groupBy("k").agg(
+    model = fit_classifier(df, candidate)
+    k = len(model.classes)
+    weights = balanced_weights(df).agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("w"), F.sum(F.col("n") * F.col("weight")).alias("total"))
+    by_label, total = weights.first()
+    counted = with_term_counts(df.select("id", "label", "text"), candidate.max_n)
+    proba = S.predict_proba(S.vectorize(df, model), model).select("id", "proba")
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in by_label.items() for x in pair]), F.col("label"))
+    errors = [((F.get("proba", F.lit(j)) - (F.col("label") == F.lit(c)).cast("double")) * weight / total).alias(f"e{j}") for j, c in enumerate(model.classes)]
+    scored = materialize(weight_arrays(counted, model.terms).join(proba, "id").select("features", *errors), "errors")
+    names = F.array(*[F.lit(c) for c in model.classes])
+    free = scored.select(F.posexplode(F.array(*[f"e{j}" for j in range(k)])).alias("k", "e")).groupBy("k").agg(
         F.abs(F.sum("e")).alias("intercept_residual"))
-    matrix = fitted.coefficientMatrix.toArray()
-    coef = df.sparkSession.createDataFrame([(i, matrix[:, i].tolist()) for i in range(matrix.shape[1])], "idx int, coef array<double>")
-    slope = (scored.select(F.explode("features").alias("x"), *[f"e{k}" for k in range(len(classes))])
-             .groupBy(F.col("x.idx").alias("idx")).agg(F.array(*[F.sum(F.col(f"e{k}") * F.col("x.w")) for k in range(len(classes))]).alias("g")))
-    bound = (coef.join(slope, "idx", "left").select(F.posexplode(F.zip_with(
-        "coef", F.coalesce("g", F.array_repeat(F.lit(0.0), len(classes))), lambda c, g: F.abs(c / (candidate.c * total) + g))).alias("k", "r"))
+    slope = (scored.select(F.explode("features").alias("x"), *[f"e{j}" for j in range(k)])
+             .groupBy(F.col("x.idx").alias("idx")).agg(F.array(*[F.sum(F.col(f"e{j}") * F.col("x.w")) for j in range(k)]).alias("g")))
+    bound = (model.terms.select("idx", "coef").join(slope, "idx", "left").select(F.posexplode(F.zip_with(
+        "coef", F.coalesce("g", F.array_repeat(F.lit(0.0), k)), lambda c, g: F.abs(c / (candidate.c * total) + g))).alias("k", "r"))
         .groupBy("k").agg(F.max("r").alias("coef_residual")))
     return free.join(bound, "k").select(F.get(names, "k").alias("class"), "intercept_residual", "coef_residual")
 
 
-def _weighted(vectors: DataFrame) -> DataFrame:
-    return vectors.join(F.broadcast(balanced_weights(vectors).select("label", "weight")), "label")
-
-
-def _labelled(vectors: DataFrame, classes: list[str], size: int) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in classes])
-    return written_vectors(vectors.select("*", (F.array_position(names, F.col("label")) - 1).cast("double").alias("y")), size)
-
-
-def _predictions(fitted, held_out: DataFrame, classes: list[str]) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in classes])
-    proba = fitted.transform(held_out).select("id", F.col("label").alias("y_true"), vector_to_array("p").alias("proba"))
-    return proba.select("id", "y_true", E.predicted_label(F.col("proba"), names).alias("y_pred"), "proba")
-
-
-def _classes(df: DataFrame) -> list[str]:
-    return sorted(r["label"] for r in df.select("label").distinct().collect())
-
-
-def fit_classifier(df: DataFrame, candidate: Candidate = Candidate()) -> ClassifierModel:
-    """Fit one candidate on all samples ``(id, label, text)``."""
-    spark = df.sparkSession
-    counted = materialize(with_term_counts(df.select("id", "label", "text"), candidate.max_n), "terms")
-    n = counted.count()
-    classes = _classes(counted)
-    vocab = materialize(vocabulary(document_frequency(term_rows(counted), n), n, candidate.max_features), "vocabulary")
-    size = vocab.count()
-    vectors = _weighted(_labelled(weight_arrays(counted, vocab), classes, size))
-    fitted = train_logreg(vectors, candidate.c)
-    matrix = fitted.coefficientMatrix.toArray()
-    coef = spark.createDataFrame([(i, matrix[:, i].tolist()) for i in range(size)], "idx int, coef array<double>")
-    terms = materialize(vocab.join(F.broadcast(coef), "idx").select("term", "idx", "idf", "coef"), "model")
-    return ClassifierModel(terms, fitted.interceptVector.toArray().tolist(), classes, candidate.params())
-
-
 class MetricEvaluator(Evaluator):
     """Score a prediction table by the name of its metric."""
 
-    scorers = {
-        "f1_macro": lambda preds, classes: E.macro_f1(preds, classes).select("macro_f1"),
-        "f1_weighted": lambda preds, classes: E.weighted_f1(preds, classes).select("weighted_f1"),
-        "accuracy": lambda preds, classes: E.accuracy(preds).select("accuracy"),
-    }
+    scorers = {"f1_macro": E.macro_f1, "f1_weighted": E.weighted_f1, "accuracy": lambda preds, classes, by=(): E.accuracy(preds, by)}
 
     def __init__(self, metric: str = "f1_macro", classes: list[str] | None = None):
         super().__init__()
@@ -206,72 +276,30 @@ class MetricEvaluator(Evaluator):
     def _evaluate(self, dataset: DataFrame) -> float:
         return float(self.scorers[self.metric](dataset, self.classes).first()[0])
 
-
-class FoldedSamples:
-    """Counted terms with their fold, written once and shared by every fit of a search.
-
-    Document frequencies are kept per fold: the training counts of a fold are all counts minus its own, so no fold
-    sees a held-out text and no fold counts the corpus again.
-    """
-
-    def __init__(self, df: DataFrame, k: int = FOLDS, seed: int = SEED, max_n: int = 2):
-        self.k = k
-        folds = stratified_folds(df, k, seed).select("id", "fold")
-        self.counted = materialize(
-            with_term_counts(df.select("id", "label", "text"), max_n).join(folds, "id"), "folded-terms")
-        sizes = {r["fold"]: r["n"] for r in self.counted.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.n = sum(sizes.values())
-        self.train_size = {f: self.n - sizes.get(f, 0) for f in range(k)}
-        self.classes = _classes(self.counted)
-        per_fold = [F.count_if(F.col("fold") == f).alias(f"df_{f}") for f in range(k)]
-        per_fold += [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("tf"))), F.lit(0)).alias(f"total_{f}") for f in range(k)]
-        self.frequencies = materialize(
-            term_rows(self.counted).groupBy("term", "n").agg(*per_fold), "folded-frequencies")
-
-    def vectors(self, fold: int, max_features: int, max_n: int) -> tuple[DataFrame, int]:
-        """Weighted vectors of all samples, built from the vocabulary and IDF of the other folds."""
-        rest = [f for f in range(self.k) if f != fold]
-        train = (self.frequencies.filter(F.col("n") <= max_n)
-                 .select("term", "n", sum(F.col(f"df_{f}") for f in rest).alias("df"),
-                         sum(F.col(f"total_{f}") for f in rest).alias("total")))
-        n = self.train_size[fold]
-        kept = train.filter((F.col("df") >= 2) & (F.col("df") <= 0.5 * n))
-        vocab = materialize(vocabulary(kept, n, max_features), "fold-vocabulary")
-        size = vocab.count()
-        return _labelled(weight_arrays(self.counted, vocab), self.classes, size), size
-
-    def held_out(self, fold: int, vectors: DataFrame, c: float) -> DataFrame:
-        fitted = train_logreg(_weighted(vectors.filter(F.col("fold") != fold)), c)
-        return _predictions(fitted, vectors.filter(F.col("fold") == fold), self.classes)
+    def by(self, dataset: DataFrame, *keys: str) -> DataFrame:
+        """One row ``(*keys, score)`` for each value of ``keys``, all in one pass."""
+        return self.scorers[self.metric](dataset, self.classes, keys).toDF(*keys, "score")
 
 
-def out_of_fold(df: DataFrame, candidate: Candidate = Candidate(), k: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Every sample predicted by a model that never saw it: ``(id, y_true, y_pred, proba)``."""
+def out_of_fold(df: DataFrame, candidate: Candidate = Candidate(), k: int = FOLDS, seed: int = SEED, tolerance: float = TOLERANCE) -> DataFrame:
+    """Every sample predicted by a model that never saw it: ``(id, y_true, y_pred, proba)``. The folds are fitted in step."""
     samples = FoldedSamples(df, k, seed, candidate.max_n)
-    parts = []
-    for fold in range(k):
-        vectors, _ = samples.vectors(fold, candidate.max_features, candidate.max_n)
-        parts.append(samples.held_out(fold, vectors, candidate.c))
-    return materialize(reduce(DataFrame.unionByName, parts), "held-out")
+    rows, _, fits, fitted = samples.fit_all([candidate], list(range(k)), tolerance)
+    return materialize(samples.predictions(rows, fits, fitted).drop("fit"), "held-out")
 
 
 def grid_search(df: DataFrame, candidates: list[Candidate] | None = None, k: int = FOLDS, seed: int = SEED,
                 scoring: str = "f1_macro") -> tuple[DataFrame, Candidate]:
     """Score every candidate on every fold: ``(candidate, max_features, max_n, c, fold, score)`` and the best one.
 
-    Candidates that share a vocabulary share the vectors of a fold. The driver holds one number per fit.
+    All fits are in step: one job for each round of the solver, whatever the number of candidates and folds, and one job for all scores.
     """
     candidates = candidates or full_grid()
     samples = FoldedSamples(df, k, seed, max(c.max_n for c in candidates))
-    evaluator = MetricEvaluator(scoring, samples.classes)
-    scores = []
-    for max_features, max_n in sorted({(c.max_features, c.max_n) for c in candidates}):
-        for fold in range(k):
-            vectors, _ = samples.vectors(fold, max_features, max_n)
-            for i, candidate in enumerate(candidates):
-                if (candidate.max_features, candidate.max_n) == (max_features, max_n):
-                    score = evaluator.evaluate(samples.held_out(fold, vectors, candidate.c))
-                    scores.append((i, max_features, max_n, candidate.c, fold, score))
+    rows, _, fits, fitted = samples.fit_all(candidates, list(range(k)))
+    scored = MetricEvaluator(scoring, samples.classes).by(materialize(samples.predictions(rows, fits, fitted), "grid-predictions"), "fit")
+    by_fit = {r["fit"]: float(r["score"]) for r in scored.collect()}
+    scores = [(j // k, candidates[j // k].max_features, candidates[j // k].max_n, candidates[j // k].c, fit.fold, by_fit.get(j, 0.0)) for j, fit in enumerate(fits)]
     mean = {i: sum(s[5] for s in scores if s[0] == i) / k for i in range(len(candidates))}
     best = candidates[max(mean, key=lambda i: (mean[i], -i))]
     table = df.sparkSession.createDataFrame(
