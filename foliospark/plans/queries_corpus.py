@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.operators import quality as Q
 from foliospark.operators import scoring
+from foliospark.operators import similarity
 from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.sqlviews import clean, token_set, with_views, words
@@ -44,6 +45,19 @@ def near_duplicate_rate(spark, sf):
     return Q.near_duplicate_rate(t.samples(spark, sf))
 
 
+@query("near_copies", with_views("samples", f"""
+SELECT label, sum(copies)::BIGINT AS texts, sum(CASE WHEN copies > 1 THEN copies ELSE 0 END)::BIGINT AS with_copy,
+  sum(CASE WHEN copies > 1 OR linked.rep IS NOT NULL THEN copies ELSE 0 END)::BIGINT AS near_copies,
+  sum(CASE WHEN copies > 1 OR linked.rep IS NOT NULL THEN copies ELSE 0 END) * 100.0::DOUBLE / sum(copies) AS percent
+FROM sets LEFT JOIN (SELECT a AS rep FROM pairs UNION SELECT b FROM pairs) linked USING (rep) GROUP BY label""", f"""
+sets AS MATERIALIZED (SELECT label, min(id) AS rep, s, len(s) AS size, count(*) AS copies FROM (SELECT id, label, list_sort({token_set('text')}) AS s FROM samples) WHERE len(s) > 0 GROUP BY label, s),
+places AS MATERIALIZED (SELECT label, rep, size, unnest(s) AS token FROM sets),
+pairs AS (SELECT x.rep AS a, y.rep AS b FROM places x JOIN places y ON x.label = y.label AND x.token = y.token AND x.rep < y.rep AND 100 * least(x.size, y.size) > 85 * greatest(x.size, y.size)
+  GROUP BY x.rep, y.rep, x.size, y.size HAVING 100 * count(*) > 85 * (x.size + y.size - count(*)))"""))
+def near_copies(spark, sf):
+    return similarity.near_copies(t.samples(spark, sf))
+
+
 _TOKENS = f"SELECT id, label, unnest({token_set('text')}) AS token FROM samples"
 
 
