@@ -24,11 +24,12 @@ class Processed:
 
 def process_documents(texts: DataFrame, known: DataFrame, model: ClassifierModel,
                       factory: Callable[[], extraction.Client], extractor_model: str, max_retries: int = MAX_RETRIES,
-                      concurrency: int | None = None) -> Processed:
+                      concurrency: int | None = None, ledger: extraction.Ledger | None = None) -> Processed:
     """Run ``texts(document_id, text)`` against the registry ``known(document_id)``.
 
     Failures are rows; a record that its tables cannot hold fails as a whole, with the reason. Documents of no interest are filtered before the calls; the calls are written before their
-    results fan out to the tables and the status log.
+    results fan out to the tables and the status log, and a ``ledger`` keeps them for a replay. Long texts are read in parts and
+    become one record.
     """
     registered = texts.join(known.select("document_id"), "document_id", "left_semi")
     labels = materialize(
@@ -37,15 +38,15 @@ def process_documents(texts: DataFrame, known: DataFrame, model: ClassifierModel
     wanted, _ = scoring.route(labels)
     to_read = registered.join(wanted.select("document_id", "doc_type"), "document_id")
     requests = extraction.build_requests(to_read, extractor_model)
-    attempts = extraction.extract(requests, factory, max_retries, concurrency)
+    attempts = extraction.extract(requests, factory, max_retries, concurrency, ledger)
 
-    first_ok = extraction.resolve_attempts(attempts, max_retries).select("document_id", "attempt")
-    records = (attempts.filter("ok").join(first_ok, ["document_id", "attempt"])
-               .withColumnRenamed("doc_type", "record_type"))
-    checked = materialize(storage.with_reject_reason(validation.validate(records)), "validated")
+    records = materialize(extraction.merged_records(attempts, max_retries), "records")
+    checked = materialize(storage.with_reject_reason(validation.validate(records.filter(F.col("parse_error").isNull()).drop("parse_error"))), "validated")
+    incomplete = records.filter(F.col("parse_error").isNotNull()).select(
+        "document_id", F.concat(F.lit(f"Extraction failed after {1 + max_retries} attempts: "), "parse_error").alias("error"))
     too_short = (to_read.select("document_id", extraction.extractable_error(F.col("text")).alias("exception"))
                  .filter(F.col("exception").isNotNull()))
-    failed = extraction.extraction_failures(attempts, max_retries).withColumnRenamed("error", "exception")
+    failed = extraction.extraction_failures(attempts, max_retries).unionByName(incomplete).withColumnRenamed("error", "exception")
     rejected = checked.filter(F.col("reject_reason").isNotNull()).select(
         "document_id", F.col("reject_reason").alias("exception"), F.lit("validating").alias("stage"))
     stopped = too_short.unionByName(failed).withColumn("stage", F.lit("extracting")).unionByName(rejected)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from foliospark.operators import extraction as X
@@ -9,6 +12,7 @@ from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.sqlviews import with_views
 from foliospark.functions.text import SPACE
+from foliospark.schemas import MAX_EXTRACT_CHARS, PART_OVERLAP
 
 MODEL = "extractor-1"
 
@@ -25,25 +29,68 @@ def _sql_text(s: str) -> str:
 
 
 _STRIPPED = f"regexp_replace(left(text, 5000), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+_WHOLE = f"regexp_replace(coalesce(text, ''), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 _USER = "CASE doc_id % 4 " + " ".join(
-    f"WHEN {i} THEN replace({_sql_text(p)}, '{{text}}', left(text, 180000))"
+    f"WHEN {i} THEN replace({_sql_text(p)}, '{{text}}', t)"
     for i, p in enumerate([X.PROMPTS["invoice"], X.PROMPTS["receipt"], X.PROMPTS["contract"], X.GENERIC_PROMPT])) + " END"
 
 
+def _parts_sql(limit: int = MAX_EXTRACT_CHARS, overlap: int = PART_OVERLAP) -> str:
+    """``(doc_id, part, parts, t)`` of the documents that are long enough."""
+    return f"""
+SELECT doc_id, part::INT AS part, parts, substr(text, part * {limit - overlap} + 1, {limit}) AS t FROM (
+  SELECT *, unnest(range(parts)) AS part FROM (
+    SELECT doc_id, text, greatest(ceil((length(text) - {overlap})::DOUBLE / {limit - overlap}), 1)::BIGINT AS parts FROM documents WHERE length({_WHOLE}) >= 50))"""
+
+
 _SCHEMA = "CASE doc_id % 4 " + " ".join(
     f"WHEN {i} THEN md5({_sql_text(X.response_schema(kind))})" for i, kind in enumerate(("invoice", "receipt", "contract"))) + " END"
 
 
 @query("prompt_requests", f"""
-SELECT doc_id AS document_id, md5({_USER}) AS message_md5, md5({_sql_text(X.SYSTEM_PROMPT)}) AS system_md5, 'extractor-1' AS model, 4096 AS max_tokens,
+SELECT doc_id AS document_id, part, md5({_USER}) AS message_md5, md5({_sql_text(X.SYSTEM_PROMPT)}) AS system_md5, 'extractor-1' AS model, 4096 AS max_tokens,
   0.0::DOUBLE AS temperature, doc_id % 4 < 3 AS typed,
-  {_SCHEMA} AS schema_md5, greatest(length(text) - 180000, 0) AS dropped_chars FROM documents WHERE length({_STRIPPED}) >= 50""")
+  {_SCHEMA} AS schema_md5, 0::BIGINT AS dropped_chars FROM ({_parts_sql()})""")
 def prompt_requests(spark, sf):
     r = X.build_requests(_typed_documents(spark, sf), MODEL)
-    return r.select("document_id", F.md5("user_message").alias("message_md5"), F.md5("system").alias("system_md5"), "model", "max_tokens", "temperature", "typed",
+    return r.select("document_id", "part", F.md5("user_message").alias("message_md5"), F.md5("system").alias("system_md5"), "model", "max_tokens", "temperature", "typed",
                     F.md5("response_schema").alias("schema_md5"), "dropped_chars")
 
 
+#: Parts so short that half of the texts need several.
+PART, SHARED = 1_000, 100
+
+
+def word_client():
+    """Factory of a stand-in client that names the long words of its part, and refuses some lengths."""
+    def factory():
+        def client(request: dict) -> tuple[str, int, int]:
+            text = request["user_message"].split("DOCUMENT TEXT:\n", 1)[1]
+            if len(text) % 7 == 0:
+                raise RuntimeError(f"busy at {len(text)}")
+            return json.dumps({"parties": list(dict.fromkeys(re.findall("[a-z]{9,}", text))), "summary": str(len(text))}), len(text), 1
+        return client
+    return factory
+
+
+@query("long_text_parts", f"""
+SELECT doc_id AS document_id, any_value(parts) AS parts, CASE WHEN bool_and(ok) THEN arg_min(n, part)::VARCHAR END AS summary,
+  CASE WHEN bool_and(ok) THEN coalesce(len(list_distinct(flatten(list(words)))), 0) END AS n_words,
+  CASE WHEN bool_and(ok) THEN md5(array_to_string(list_sort(list_distinct(flatten(list(words)))), ' ')) END AS words_md5,
+  CASE WHEN NOT bool_and(ok) THEN 'Extraction failed after 2 attempts: busy at ' || arg_min(n, part) FILTER (NOT ok) END AS error
+FROM (SELECT *, length(t) AS n, length(t) % 7 <> 0 AS ok, regexp_extract_all(t, '[a-z]{{9,}}') AS words FROM ({_parts_sql(PART, SHARED)})) GROUP BY doc_id""")
+def long_text_parts(spark, sf):
+    """Texts read in parts of a thousand characters: one record a document, or the error of its first part that failed."""
+    docs = t.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("contract").alias("doc_type"), "text")
+    requests = X.build_requests(docs, MODEL, PART, SHARED)
+    attempts = X.extract(requests, word_client())
+    records = X.merged_records(attempts).select("document_id", "contract")
+    told = records.join(X.extraction_failures(attempts), "document_id", "full").join(requests.filter("part = 0").select("document_id", "parts"), "document_id")
+    words = F.array_sort(F.col("contract.parties"))
+    return told.select(F.col("document_id").cast("bigint").alias("document_id"), F.col("parts").cast("bigint").alias("parts"), "contract.summary",
+                       F.when(words.isNotNull(), F.size(words)).cast("bigint").alias("n_words"), F.md5(F.array_join(words, " ")).alias("words_md5"), "error")
+
+
 @query("truncate_gate", f"""
 SELECT doc_id AS document_id, least(length(text), 5000) AS chars, CASE WHEN length({_STRIPPED}) < 50 THEN 'Document text too short for extraction' END AS error FROM documents""")
 def truncate_gate(spark, sf):
@@ -127,11 +174,11 @@ def echo_client():
 
 
 @query("run_stub_extractor", f"""
-SELECT document_id, 1 AS attempt, n % 5 <> 0 AS ok, CASE WHEN n % 5 <> 0 THEN '{{"summary": "' || n || ' characters"}}' END AS response,
+SELECT document_id, part, 1 AS attempt, n % 5 <> 0 AS ok, CASE WHEN n % 5 <> 0 THEN '{{"summary": "' || n || ' characters"}}' END AS response,
   CASE WHEN n % 5 = 0 THEN 'busy at ' || n END AS error, CASE WHEN n % 5 <> 0 THEN n ELSE 0 END AS input_tokens FROM (
-  SELECT doc_id AS document_id, length({_USER}) AS n FROM documents WHERE length(regexp_replace(left(text, 180000), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) >= 50)""")
+  SELECT doc_id AS document_id, part, length({_USER}) AS n FROM ({_parts_sql()}))""")
 def run_stub_extractor(spark, sf):
     """One call per request through an injected client; refusals are rows."""
     requests = X.build_requests(_typed_documents(spark, sf), MODEL)
     return X.run_extractor(requests.withColumn("document_id", F.col("document_id").cast("string")), echo_client()).select(
-        F.col("document_id").cast("bigint").alias("document_id"), "attempt", "ok", "response", "error", "input_tokens")
+        F.col("document_id").cast("bigint").alias("document_id"), "part", "attempt", "ok", "response", "error", "input_tokens")

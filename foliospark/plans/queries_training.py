@@ -10,13 +10,14 @@ from foliospark.operators import evaluation as E
 from foliospark.operators import features as X
 from foliospark.operators import scoring as S
 from foliospark.operators import training as R
-from foliospark.operators.extraction import PROMPTS, TOO_SHORT
+from foliospark.operators.extraction import PROMPTS, TOO_SHORT, Ledger
 from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.process import process_documents
 from foliospark.plans.sqlviews import clean, tokens, with_views, words
 from foliospark.schemas import EXTRACTABLE_TYPES
 from foliospark.session import materialize, shared_folder
+from foliospark.sources import sinks
 from foliospark.streaming import streams
 
 # --- features ---------------------------------------------------------------------------------------------
@@ -310,13 +311,40 @@ def process_outcomes(spark, sf):
 
 @query("stream_process", _OUTCOMES)
 def stream_process(spark, sf):
-    """The same over a stream of the document file, through the per-batch sinks."""
+    """The same over a stream of the document file, with a ledger of calls, read back as published."""
     model = formula_model(spark, sf, CLASSES)
     schema = t.table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     texts = arriving.select(F.col("doc_id").cast("string").alias("document_id"), "text")
     target = shared_folder(spark, "processed")
-    streams.stream_process(texts, lambda batch: process_documents(batch, batch, model, record_client(), "extractor-1"), target,
-                           shared_folder(spark, "process-checkpoint")).awaitTermination()
-    outcomes = spark.read.parquet(f"{target}/outcomes")
+    streams.stream_process(texts, lambda batch, ledger: process_documents(batch, batch, model, record_client(), "extractor-1", ledger=ledger), target,
+                           shared_folder(spark, "process-checkpoint"), shared_folder(spark, "ledger")).awaitTermination()
+    outcomes = sinks.published(spark, target, "outcomes")
     return outcomes.groupBy("doc_type", "outcome", "error_message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("replayed_batch", f"SELECT sum(n)::BIGINT AS documents, true AS same_outcomes, 0::BIGINT AS calls_paid_twice FROM ({_OUTCOMES})")
+def replayed_batch(spark, sf):
+    """A batch that is stopped between two of its tables, then run again and once more: every document once, no call twice."""
+    model, target, ledger = formula_model(spark, sf, CLASSES), shared_folder(spark, "replayed"), Ledger(shared_folder(spark, "ledger"), 7)
+    texts = t.samples(spark, sf).select(F.col("id").cast("string").alias("document_id"), "text")
+
+    def refuse():
+        raise RuntimeError("a call was paid again")
+
+    def outputs(factory):
+        done = process_documents(texts, texts, model, factory, "extractor-1", ledger=ledger)
+        return {**done.tables, "outcomes": done.outcomes}, done.attempts
+
+    tables, attempts = outputs(record_client())
+    stopped = dict(list(tables.items())[:2])
+    for name, df in stopped.items():  # what a run leaves that ends before its manifest
+        df.write.parquet(f"{target}/{name}/batch=7/run=stopped")
+    paid = attempts.count()
+    for _ in range(2):
+        again, calls = outputs(refuse)
+        sinks.publish(again, target, 7)
+    kept = sinks.published(spark, target, "outcomes")
+    first = tables["outcomes"].select("document_id", F.col("outcome").alias("first"))
+    same = kept.join(first, "document_id").agg(F.count(F.lit(1)).alias("documents"), F.bool_and(F.col("outcome") == F.col("first")).alias("same_outcomes"))
+    return same.withColumn("calls_paid_twice", F.lit(calls.count() - paid).cast("bigint"))

@@ -13,6 +13,7 @@ CONFIDENCE_THRESHOLD = 0.75
 MIN_WORDS = 10
 MIN_EXTRACT_CHARS = 50
 MAX_EXTRACT_CHARS = 180_000
+PART_OVERLAP = 2_000  # characters that a part of a long text shares with the one before it
 MAX_RETRIES = 1
 LINE_ITEM_TOLERANCE = 0.05
 TOTAL_TOLERANCE = 0.50
@@ -49,7 +50,7 @@ STATUS_EVENT = _fields(
     ("classification_confidence", S), ("error_message", S), ("event_time", T.TimestampType()), ("seq", T.IntegerType()),
 )
 ATTEMPT = _fields(
-    ("document_id", S), ("attempt", T.IntegerType()), ("ok", T.BooleanType()), ("response", S), ("error", S),
+    ("document_id", S), ("part", T.IntegerType()), ("attempt", T.IntegerType()), ("ok", T.BooleanType()), ("response", S), ("error", S),
     ("model", S), ("input_tokens", T.LongType()), ("output_tokens", T.LongType()),
 )
 

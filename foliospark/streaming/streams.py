@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foliospark.operators.extraction import Ledger
 from foliospark.operators.registry import current_status
 from foliospark.plans.process import Processed
+from foliospark.session import materialize
 from foliospark.sources.documents import BINARY_FILE, PDF_GLOB, split_document_key
+from foliospark.sources.sinks import publish
 
 
 def stream_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -46,17 +49,17 @@ def latest_state(spark: SparkSession, target: str) -> DataFrame:
     return changes.groupBy("document_id").agg(row).select("document_id", "r.*")
 
 
-def stream_process(documents: DataFrame, process: Callable[[DataFrame], Processed], target: str,
-                   checkpoint: str) -> StreamingQuery:
-    """Run every micro-batch of ``documents`` through the batch operators and write its tables and events.
+def stream_process(documents: DataFrame, process: Callable[..., Processed], target: str,
+                   checkpoint: str, ledger: str | None = None) -> StreamingQuery:
+    """Run every micro-batch of ``documents`` through ``process(batch)`` and publish its tables, events and outcomes together.
 
-    Each batch owns its folders, so a replay after a lost driver leaves nothing twice.
+    A batch is read from its source once. With a ``ledger`` folder ``process`` is called as ``process(batch, Ledger)``, so that a replayed
+    batch finds the calls it has paid for; ``sinks.published`` reads each batch once, however often it ran.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        result = process(batch)
-        outputs = {**result.tables, "status_events": result.events, "outcomes": result.outcomes}
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+        held = materialize(batch, "micro-batch")
+        result = process(held, Ledger(ledger, batch_id)) if ledger else process(held)
+        publish({**result.tables, "status_events": result.events, "outcomes": result.outcomes}, target, batch_id)
 
     return (documents.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(run).trigger(availableNow=True).start())
