@@ -97,6 +97,17 @@ def first_ranks(keys: DataFrame, group: list[str], order: str, n: int) -> DataFr
     return ranked.filter(F.col("_rank") <= n).select(*group, order)
 
 
+def global_rank(keys: DataFrame, group: list[str], order: str, name: str = "rank") -> DataFrame:
+    """1-based rank of every row inside its group by ``order``; only one bucket between two quantiles is sorted at a time. Groups are few."""
+    cut = with_value_bucket(keys, group, order)
+    counts = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy(*group, "_bucket").orderBy(order)
+    ranked = cut.join(offsets, [*group, "_bucket"]).withColumn(name, F.row_number().over(local) + F.col("_before"))
+    return ranked.drop("_bucket", "_before")
+
+
 def running_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], sums: dict[str, str],
                  descending: bool = False) -> DataFrame:
     """Running sums inside ``group``: ``sums`` maps a value column to the name of its running total.

@@ -41,9 +41,10 @@ def with_line_amount(lines: DataFrame) -> DataFrame:
 
 
 def _with_subtotals(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Headers with the sum of their lines, 0 without any."""
-    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("subtotal"))
-    return headers.join(sums, "document_id", "left").withColumn("subtotal", F.coalesce("subtotal", F.lit(0.0)))
+    """Headers with the sum of their lines: 0 without any, NULL where the sum is out of range, so that nothing counts as a total then."""
+    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("subtotal"), F.count("amount").alias("_amounts"))
+    none = F.coalesce("_amounts", F.lit(0)) == 0
+    return headers.join(sums, "document_id", "left").withColumn("subtotal", F.when(none, 0.0).otherwise(F.col("subtotal"))).drop("_amounts")
 
 
 def invoice_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:

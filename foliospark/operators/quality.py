@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.functions.dates import parse_date
 from foliospark.functions.numbers import exact_sum
-from foliospark.functions.ordering import first_ranks, hash_rank, seeded_order
+from foliospark.functions.ordering import first_ranks, global_rank, hash_rank, running_sums, seeded_order
 from foliospark.functions.rows import explode_rows
+from foliospark.session import materialize
 
 # Thresholds of the quality checks.
 NEAR_DUPLICATE = 0.85
 SAMPLE_PAIRS = 200
 NON_PRINTABLE_SHARE = 0.05
+#: Ranks of one block of a curve's running sum.
+CURVE_BLOCK = 65_536
 CASH_LIKE = ["Cash", "Apple Pay", "Google Pay"]
 
 
@@ -84,6 +87,22 @@ def vocabulary_growth(df: DataFrame, small: int = 100, large: int = 500) -> Data
     return counts.withColumn("growth", F.col("large_vocabulary") / F.greatest("small_vocabulary", F.lit(1)))
 
 
+def vocabulary_curve(df: DataFrame) -> DataFrame:
+    """The vocabulary of the first 1, 2, ... samples of each class by ``id``, up to the whole class: ``(label, size, vocabulary)``.
+
+    A token counts from the first sample that has it, so the curve is a running sum of first occurrences: samples are ranked by key alone,
+    each token keeps its lowest rank, and ranks are summed up in blocks. Samples of one id share a rank's place in any order.
+    """
+    keys = materialize(global_rank(df.select("label", "id"), ["label"], "id"), "sample-ranks")
+    tokens = explode_rows(df, T.token_set(F.col("text")), "token", "label", "id")
+    # The rank of a sample is the same for all its tokens, so the lowest id decides before any join.
+    first = tokens.groupBy("label", "token").agg(F.min("id").alias("id"))
+    fresh = first.groupBy("label", "id").agg(F.count(F.lit(1)).alias("fresh"))
+    points = keys.join(fresh, ["label", "id"], "left").select("label", F.col("rank").alias("size"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
+    points = points.withColumn("block", F.floor(F.col("size") / CURVE_BLOCK))
+    return running_sums(points, ["label"], "block", [F.col("size")], {"fresh": "vocabulary"}).select("label", "size", "vocabulary")
+
+
 def class_overlap(df: DataFrame, classes: list[str], n: int | None = None) -> DataFrame:
     """Similarity of class vocabularies: one flag per class and token, then counts; no self join."""
     flags = [F.bool_or(F.col("label") == c).alias(f"_{i}") for i, c in enumerate(classes)]
@@ -151,11 +170,15 @@ def non_printable(df: DataFrame, share: float = NON_PRINTABLE_SHARE) -> DataFram
 
 
 def totals_add_up(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Records whose line amounts do not add up to the subtotal within a cent; without lines the sum is 0."""
-    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("line_sum"))
+    """Records whose line amounts do not add up to the subtotal within a cent; without lines the sum is 0.
+
+    A sum out of range is NULL, and the record is among them whatever its subtotal says.
+    """
+    sums = lines.groupBy("document_id").agg(exact_sum(F.col("amount")).alias("line_sum"), F.count("amount").alias("_amounts"))
+    line_sum = F.when(F.coalesce("_amounts", F.lit(0)) == 0, 0.0).otherwise(F.col("line_sum"))
     return (headers.join(sums, "document_id", "left")
-            .select("document_id", "subtotal", F.coalesce("line_sum", F.lit(0.0)).alias("line_sum"))
-            .filter(~(F.abs(F.col("line_sum") - F.col("subtotal")) < 0.01)))
+            .select("document_id", "subtotal", line_sum.alias("line_sum"))
+            .filter(F.col("line_sum").isNull() | ~(F.abs(F.col("line_sum") - F.col("subtotal")) < 0.01)))
 
 
 def required_fields(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -80,6 +80,14 @@ def vocab_growth(spark, sf):
     return Q.vocabulary_growth(t.samples(spark, sf))
 
 
+@query("vocab_curve", with_views("samples", f"""
+SELECT label, size, sum(coalesce(fresh, 0)) OVER (PARTITION BY label ORDER BY size)::BIGINT AS vocabulary
+FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS size FROM samples)
+LEFT JOIN (SELECT label, id, count(*) AS fresh FROM (SELECT label, token, min(id) AS id FROM ({_TOKENS}) GROUP BY label, token) GROUP BY label, id) USING (label, id)"""))
+def vocab_curve(spark, sf):
+    return Q.vocabulary_curve(t.samples(spark, sf))
+
+
 @query("class_overlap", with_views("samples", f"""
 SELECT a.label AS class_a, b.label AS class_b, count(*) FILTER (a.token = b.token) AS common, any_value(na + nb) - count(*) FILTER (a.token = b.token) AS combined,
   count(*) FILTER (a.token = b.token)::DOUBLE / greatest(any_value(na + nb) - count(*) FILTER (a.token = b.token), 1) AS jaccard

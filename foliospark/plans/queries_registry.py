@@ -13,6 +13,8 @@ from foliospark.plans.sqlviews import with_views
 from foliospark.session import shared_folder
 from foliospark.sources import documents as docs
 from foliospark.sources import samples as smp
+from foliospark.sources import sinks
+from foliospark.sources.status_store import StatusStore
 from foliospark.streaming import streams
 
 # --- objects, vocabulary, samples -------------------------------------------------------------------------
@@ -147,6 +149,51 @@ def status_delete(spark, sf):
     return _printed(R.delete_documents(_state(spark, sf), ids))
 
 
+def _store(spark, sf) -> StatusStore:
+    """Events in three batches that are not in their order, the first two compacted, then deletions and a batch that is written twice."""
+    events, store = t.status_log(spark, sf), StatusStore(spark, shared_folder(spark, "status-store"), 16)
+    batch = F.pmod(F.xxhash64("event_time"), F.lit(3))
+    for i in range(2):
+        store.write(events.filter(batch == i), i)
+    store.compact(1)
+    store.delete(t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("document_id")), 2)
+    for _ in range(2):
+        store.write(events.filter(batch == 2), 3)
+    return store
+
+
+@query("status_store", with_views("state", f"SELECT {_STATE} FROM state WHERE document_id NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)"))
+def status_store(spark, sf):
+    """The state of a store in files, with a base, later batches, late events and deletions."""
+    return _printed(_store(spark, sf).state())
+
+
+@query("status_store_lookup", with_views("state", f"SELECT {_STATE} FROM state WHERE document_id = '42' AND document_id NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)"))
+def status_store_lookup(spark, sf):
+    """One document, read from one bucket, after another compaction."""
+    store = _store(spark, sf)
+    store.compact(3)
+    return _printed(store.lookup("42"))
+
+
+@query("report_file", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
+def report_file(spark, sf):
+    """A report written as a JSON file and read back."""
+    path = shared_folder(spark, "report")
+    sinks.write_report(t.samples(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("label string, n bigint").json(path)
+
+
+@query("status_appended", with_views("state", f"SELECT {_STATE} FROM state"))
+def status_appended(spark, sf):
+    """Events appended in two writes, folded on read."""
+    path, events = shared_folder(spark, "status-log"), t.status_log(spark, sf)
+    odd = F.pmod(F.xxhash64("event_time"), F.lit(2))
+    for i in (1, 0):
+        sinks.write_status(events.filter(odd == i), path)
+    return _printed(R.current_status(spark.read.schema(events.schema).parquet(path)))
+
+
 @query("document_detail", with_views("state", """
 SELECT document_id, coalesce(filename, '') AS filename, coalesce(s3_key, '') AS s3_key, doc_type, coalesce(status, 'uploaded') AS status,
   TRY_CAST(classification_confidence AS DOUBLE) AS classification_confidence, created_at::VARCHAR AS created_at, updated_at::VARCHAR AS updated_at, error_message
