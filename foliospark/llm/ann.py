@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,7 @@ from foliospark.session import materialize
 FILING_BEAM = 32  # lists looked at to file a row
 WIDTH = 8  # centroids that a search expands at once
 REGION = 128  # neighbouring lists that are searched by one task
+SAMPLE_BYTES = 64 << 20  # of the vectors that the driver fits centroids on
 
 
 class Index(NamedTuple):
@@ -191,28 +193,42 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             beam: int = 1024, block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, id, score)``: for each query, the k largest inner products found among all rows but its own.
 
-    Centroids come from a sample of at most ``sample_rows`` rows, split evenly down to ``leaf`` rows; every row of the table is then filed
+    Vectors of different lengths have no product together, so there is an index for each length (a thousand at most) and a query is
+    answered by those of its own. Centroids come from a sample of at most ``sample_rows`` rows and ``SAMPLE_BYTES``, split evenly down to
+    ``leaf`` rows; every row of the table is then filed
     under its nearest centroid and, near a boundary, under up to ``replicas`` ones within ``closure`` of that distance. A graph over the
     centroids, held by every task (at most ``2 * sample_rows / leaf`` of them), finds the lists of rows and queries. A query
     reads lists up to ``ratio`` times the distance of its nearest one, ``least`` at least, and goes on while its lists could hold fewer than k
     other rows; the walk finds ``beam`` lists at most. Large lists are searched in blocks, so none has to fit a task. Scores are inner products of the original vectors
     in double precision.
 
-    Rows with a null id or a vector that is null, zero, or has a null or non-finite component take no part; neither do vectors of
-    another length than the most common one (ties: the longer). Ties go to the smaller id. Rows that share an id are not each other's candidates,
-    and an id is found once, by its best row. Fewer candidates than k give them all. An empty table gives no rows.
+    Rows with a null id or a vector that is null, zero, or has a null or non-finite component take no part. Ties go to the smaller id. Rows
+    that share an id are not each other's candidates, and an id is found once, by its best row; a query whose id has rows of several lengths
+    is asked by all of them. Fewer candidates than k give them all. An empty table gives no rows; other columns are not carried.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vec"))).filter(F.exists("vec", lambda c: c != 0))
-    length = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)
-    stats = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("limit")).orderBy(
-        F.desc("rows"), F.desc("n")).first()
-    shape = f"query_id bigint, rank int, `{id_col}` bigint, score double"
-    if stats is None:
-        return spark.createDataFrame([], shape)
-    rows = rows.filter(F.size("vec") == stats["n"])
-    index = fit(rows, stats["rows"], stats["limit"], sample_rows, leaf, degree)
+    square = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(square).alias("limit"), F.count_if("asks").alias("asking"))
+    lengths = lengths.orderBy("n").limit(1001).collect()
+    if len(lengths) > 1000:
+        raise ValueError("vectors of more than 1000 lengths")
+    parts = [found_of_length(rows.filter(F.size("vec") == of["n"]), of["n"], of["rows"], of["limit"], k, sample_rows, leaf, degree, replicas, closure, ratio, least,
+                             beam, block_rows, query_rows) for of in lengths if of["asking"]]
+    if not parts:
+        return spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score double")
+    best = reduce(DataFrame.unionByName, parts).groupBy("qid", "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score"))
+
+
+def found_of_length(rows: DataFrame, dimensions: int, n_rows: int, limit: float, k: int, sample_rows: int, leaf: int, degree: int, replicas: int, closure: float,
+                    ratio: float, least: int, beam: int, block_rows: int, query_rows: int) -> DataFrame:
+    """``(qid, id, score)`` among rows ``(id, vec, asks)`` of one length: of every query the best of each block that it reads."""
+    spark = rows.sparkSession
+    index = fit(rows, n_rows, limit, max(leaf, min(sample_rows, SAMPLE_BYTES // (8 * dimensions))), leaf, degree)
     shared = spark.sparkContext.broadcast(index)
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,8 +286,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                              "score": np.concatenate(found_score or empty).astype(np.float64)})
 
     keys = ["region", "block", "asker"]
-    found = stored.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(meet, "qid bigint, id bigint, score double")
-    best = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score"))
+    return stored.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(meet, "qid bigint, id bigint, score double")
