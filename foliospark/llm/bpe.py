@@ -13,8 +13,8 @@ import numpy as np
 from foliospark.llm.common import utf8
 
 NONE = np.int64(1) << 40  # rank of a pair that does not merge
-#: Entries a cache of pre-tokens keeps; it starts anew when it is full.
-CACHE_SIZE = 400_000
+#: Entries and characters that a cache of pre-tokens keeps beside those of the step at hand; it starts anew when it is full.
+CACHE_SIZE, CACHE_CHARS = 400_000, 8_000_000
 
 
 class Merges(NamedTuple):
@@ -142,12 +142,25 @@ def merge_all(m: Merges, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.bincount(word, minlength=len(words))
 
 
-def fill(cache: dict[str, object], m: Merges, words: Iterable[str], value) -> None:
-    """Merge the words the cache does not know; ``value(ids, counts)`` gives what is kept, one entry for each word."""
+class Cache(dict):
+    """What is known of pre-tokens, and how many characters they have together."""
+
+    chars = 0
+
+
+def fill(cache: Cache, m: Merges, words: Iterable[str], value) -> None:
+    """Merge the words the cache does not know; ``value(ids, counts)`` gives what is kept, one entry for each word.
+
+    The cache never holds more than its bounds and the words of one step, so a corpus of long strings that never come again costs
+    no memory beyond that.
+    """
     new = list(set(words).difference(cache))
-    if len(cache) + len(new) > CACHE_SIZE:
+    chars = sum(map(len, new))
+    if len(cache) + len(new) > CACHE_SIZE or cache.chars + chars > CACHE_CHARS:
         cache.clear()
         new = list(set(words))
+        cache.chars, chars = 0, sum(map(len, new))
+    cache.chars += chars
     for at in range(0, len(new), 200_000):
         part = new[at: at + 200_000]
         cache.update(zip(part, value(*merge_all(m, [utf8(w) for w in part]))))

@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.bpe import fill, load_ranks
+from foliospark.llm.bpe import Cache, fill, load_ranks
 from foliospark.llm.common import chunks
 from foliospark.llm.pretokens import pretokens
 
-_CACHES: dict[str, dict[str, bytes]] = {}
+_CACHES: dict[str, Cache] = {}
 
 
 def _pieces(ids: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
@@ -27,7 +27,7 @@ def _pieces(ids: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
 def encode_texts(texts: list[str | None], ranks: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
     merges = load_ranks(ranks)
-    cache = _CACHES.setdefault(ranks, {})
+    cache = _CACHES.setdefault(ranks, Cache())
     for part in chunks(texts):
         words, of_text = pretokens(part)
         fill(cache, merges, words, _pieces)

@@ -9,17 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.bpe import fill, load_json
+from foliospark.llm.bpe import Cache, fill, load_json
 from foliospark.llm.common import chunks
 from foliospark.llm.pretokens import pretokens
 
-_CACHES: dict[str, dict[str, int]] = {}
+_CACHES: dict[str, Cache] = {}
 
 
 def counts(texts: list[str | None], vocabulary: str) -> np.ndarray:
     """Tokens of each text. A special string inside a text is one token, and splits the text."""
     merges = load_json(vocabulary)
-    cache = _CACHES.setdefault(vocabulary, {})
+    cache = _CACHES.setdefault(vocabulary, Cache())
     out = []
     for part in chunks(texts):
         pieces, owner, extra = part, np.arange(len(part)), np.zeros(len(part), np.int64)
