@@ -32,14 +32,43 @@ TEMPLATES = {
                "<<beginOptional>><<var;words=0-8>><<endOptional>> version 3",
     "gpl-2.0": "<<beginOptional>>licensed under the<<endOptional>> <<beginOptional>>GNU<<endOptional>> General Public License "
                "<<beginOptional>><<var;words=0-8>><<endOptional>> version 2",
+    "lgpl-3.0": "<<beginOptional>>licensed under the<<endOptional>> <<beginOptional>>GNU<<endOptional>> Lesser General Public License "
+                "<<beginOptional>><<var;words=0-8>><<endOptional>> version 3",
+    "lgpl-2.1": "<<beginOptional>>licensed under the<<endOptional>> <<beginOptional>>GNU<<endOptional>> Lesser General Public License "
+                "<<beginOptional>><<var;words=0-8>><<endOptional>> version 2.1",
+    "agpl-3.0": "<<beginOptional>>licensed under the<<endOptional>> <<beginOptional>>GNU<<endOptional>> Affero General Public License "
+                "<<beginOptional>><<var;words=0-8>><<endOptional>> version 3",
     "cc-by-nc-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY-NC 4.0",
     "cc-by-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY 4.0",
     "cc-by-sa-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY-SA 4.0",
+    "cc-by-nd-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY-ND 4.0",
+    "cc-by-nc-sa-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY-NC-SA 4.0",
+    "cc-by-nc-nd-4.0": "<<beginOptional>>licensed under<<endOptional>> CC BY-NC-ND 4.0",
+    "mit-disclaimer": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the "
+                      "warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the "
+                      "authors or copyright holders be liable for any claim, damages or other liability, whether in an action of "
+                      "contract, tort or otherwise, arising from, out of or in connection with the software or the use or other "
+                      "dealings in the software.",
+    "apache-2.0-terms": "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+                        "<<beginOptional>><<beginAlternative>>http<<or>>https<<endAlternative>><<endOptional>> <<beginOptional>>www.<<endOptional>>apache.org/licenses/LICENSE-2.0"
+                        "<<beginOptional>>.html<<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the "
+                        "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                    "conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, "
+                    "this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must "
+                    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+                    "other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of <<beginOptional>>the<<endOptional>> <<var;words=1-8>> nor the names of its contributors may be used to "
+                    "endorse or promote products derived from this software without specific prior written permission.",
     "bsd-3-clause-notice": "<<beginOptional>>use of this source code is<<endOptional>> governed by a BSD-style license",
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
     "copyright": "Copyright <<beginOptional>>(c)<<endOptional>> <<var;words=1-12>> all rights reserved",
 }
 
+#: A match right behind one of these words is part of another licence's name, or denied; one right before one of those is a narrower licence.
+BEFORE = {"gpl-3.0": "lesser affero library", "gpl-2.0": "lesser affero library", "mit-notice": "not never", "apache-2.0": "not never"}
+AFTER = {"cc-by-4.0": "nd nc sa", "cc-by-nc-4.0": "nd sa", "cc-by-sa-4.0": "nc nd"}
+
 _WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
                     for c in range(256))
 
@@ -136,6 +165,12 @@ def _compiled(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str,
             [(label, tokens(phrase)) for phrase, label in phrases])
 
 
+def guarded(label: str, words: list[bytes], start: int, end: int) -> bool:
+    """Whether the words around a match make it something else."""
+    before, after = (words[start - 1] if start else b""), (words[end] if end < len(words) else b"")
+    return before in tokens(BEFORE.get(label)) or after in tokens(AFTER.get(label))
+
+
 def scan_text(text: str | None, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]):
     """``(n_words, [(label, start, end)] of phrases, [(label, start, end)] of templates)`` in words from 0."""
     automata, bases = _compiled(templates, phrases)
@@ -157,8 +192,9 @@ def scan_text(text: str | None, templates: tuple[tuple[str, str], ...], phrases:
             taken = 0
             for i in sorted(i for w in a.first for i in places.get(w, ())):
                 if i >= taken and (end := longest_match(a, words, i)) > i:
-                    found.append((label, i, end))
                     taken = end
+                    if not guarded(label, words, i, end):
+                        found.append((label, i, end))
     return len(words), base, found
 
 
@@ -167,9 +203,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Licence wording of every row: ``(id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches)``.
 
     ``n_base`` counts every place of a phrase, overlapping ones too; ``matches`` lists the template matches as
-    ``(label, start, end)`` in words; each template takes the leftmost longest match and goes on behind it. ``score`` is the share
+    ``(label, start, end)`` in words; each template takes the leftmost longest match and goes on behind it, and
+    a match whose neighbouring word makes it another licence's (``BEFORE``, ``AFTER``) is none. ``score`` is the share
     of the text's words inside a phrase or match, 0 for a text without words. A null or empty text has no words, empty
-    labels and null positions. Repeated rows and null ids give a row each; other columns are not carried. No shuffle.
+    labels and null positions. Repeated rows and null ids give a row each, an empty table none; other columns are not carried. No shuffle.
     """
     marks = tuple((TEMPLATES if templates is None else templates).items())
     bases = tuple((BASE if phrases is None else phrases).items())
