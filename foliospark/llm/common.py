@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task holds as arrays at once; a single longer text is held alone.
 CHUNK_CHARS = 500_000
@@ -36,28 +35,9 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-#: A key with more than this share of all rows is hot; there are fewer such keys than its inverse.
-HOT_SHARE = 2048
-
-
-def skew_join(rows: DataFrame, rules: DataFrame, key: str, rule_key: str, size: str, take: list[str], broadcast_bytes: int) -> DataFrame:
-    """``rows`` with the columns ``take`` of ``rules``, null where a key has no rule.
-
-    ``rules`` has one row for each key, read from a written table; its column ``size`` says how many rows have the key. Rules that fit in
-    ``broadcast_bytes`` are broadcast whole. Otherwise the rules of hot keys are broadcast (fewer than ``HOT_SHARE``), so that no rows
-    of a hot key are shuffled, and the rest are joined by a shuffle in which no key has more than that share.
-    """
-    width = F.octet_length(F.to_json(F.struct(rule_key, *take)))
-    held = rules.agg(F.sum(width).alias("bytes"), F.sum(size).alias("rows")).first()
-    needed = rules.select(F.col(rule_key).alias("_rule_key"), *take)
-    if (held["bytes"] or 0) <= broadcast_bytes:
-        return rows.join(F.broadcast(needed), F.col(key) == F.col("_rule_key"), "left").drop("_rule_key")
-    is_hot = F.col(size) * HOT_SHARE > F.lit(held["rows"])
-    hot = rules.filter(is_hot).select(F.col(rule_key).alias("_rule_key"), *take)
-    cold = rules.filter(~is_hot).select(F.col(rule_key).alias("_rule_key"), *take)
-    same = F.col(key) == F.col("_rule_key")
-    by_hot = rows.join(F.broadcast(hot), same).drop("_rule_key")
-    rest = rows.join(F.broadcast(hot.select("_rule_key")), same, "left_anti")
-    keyless = rest.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in take])
-    by_cold = rest.filter(F.col(key).isNotNull()).join(cold.hint("merge"), same, "left").drop("_rule_key")
-    return by_hot.unionByName(by_cold).unionByName(keyless)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import skew_join
+from foliospark.functions.joins import salted_join
 from foliospark.session import materialize
 
 # Element names and words of class names, by what they mean for the text.
@@ -222,19 +222,30 @@ def host_paths(pages: DataFrame, host_col: str = "_host") -> DataFrame:
     return ranked.select("host", F.col("p.path").alias("paths"), "pages")
 
 
+def with_paths(rows: DataFrame, rules: DataFrame, broadcast_bytes: int, **hot: int) -> DataFrame:
+    """``rows`` with the ``paths`` of their ``_host``, null where there are none: by broadcast while the rules fit, else by a salted join."""
+    size = rules.agg(F.sum(F.octet_length(F.to_json(F.struct("host", "paths"))))).first()[0] or 0
+    needed = rules.select(F.col("host").alias("_host"), "paths")
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(needed), "_host", "left")
+    counts = rules.select(F.col("host").alias("_host"), F.col("pages").alias("n"))
+    known = salted_join(rows.filter(F.col("_host").isNotNull()), needed, ["_host"], F.xxhash64("page_id", "url"), "left", counts, **hot)
+    return known.unionByName(rows.filter(F.col("_host").isNull()).withColumn("paths", F.lit(None).cast("array<string>")))
+
+
 def extract(pages: DataFrame, id_col: str | Column = "page_id", url_col: str | Column = "url", html_col: str | Column = "html",
             broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row: the article's blocks in page order, white space (any that Unicode knows) as single spaces.
 
     A null or empty html, or one without text, gives the empty text. A page whose URL has no host goes by its own best container and votes for
     nobody. Repeated rows each vote and each come back; an empty table gives an empty one; other columns are not carried, so their names
-    cannot clash. A page is read whole, whatever its length. Host rules are broadcast up to ``broadcast_bytes``; past that, the rules of
-    hosts with more than a 2,048th of all pages are, and the rest are joined.
+    cannot clash. A page is read whole, whatever its length. Host rules are broadcast up to ``broadcast_bytes``; past that they are
+    joined, with the pages of large hosts dealt over several tasks.
     """
     column = lambda c: F.col(c) if isinstance(c, str) else c
     rows = pages.select(column(id_col).alias("page_id"), column(url_col).alias("url"), column(html_col).alias("html")).withColumn("_host", host(F.col("url")))
     rules = materialize(host_paths(rows), "host-paths")
-    joined = skew_join(rows, rules, "_host", "host", "pages", ["paths"], broadcast_bytes)
+    joined = with_paths(rows, rules, broadcast_bytes)
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

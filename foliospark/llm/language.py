@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import chunks
+from foliospark.llm.common import chunks, fresh
 from foliospark.llm.pretokens import LETTER, class_table
 
 GRAM_BLOCK = 8192  # distinct n-grams whose vectors are held at once
@@ -149,7 +149,8 @@ def predict(docs: DataFrame, profiles: tuple[list[str], np.ndarray], text_col: s
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     judged = judged.asNondeterministic()  # else a filter on the outcome would judge every text twice
-    return docs.withColumn("_j", judged(F.col(text_col))).select(*others, "_j.lang_pred", "_j.score")
+    result = fresh(docs, "_judged")
+    return docs.withColumn(result, judged(F.col(text_col))).select(*others, f"{result}.lang_pred", f"{result}.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import utf8
+from foliospark.functions.joins import salted_join
+from foliospark.llm.common import fresh, utf8
 from foliospark.session import materialize
 
 #: Bits of one slice of a filter; all bits of a line lie in the slice that the head of its hash names.
@@ -122,14 +123,16 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows of the largest id that hold it (every one of its places there stays). Keys are confirmed by 128-bit digests of
     whole keys; the filters only choose which lines have to be counted, so their size never changes the result. A null or
     empty text is one empty line and comes back empty. A row without id counts as a holder but keeps its lines; rows that
-    share an id each count, and keep what either of them keeps. Other columns pass through. ``max_filter_bits`` bounds
+    share an id each count, and keep what either of them keeps. Other columns pass through, and an empty table comes back empty. ``max_filter_bits`` bounds
     what is broadcast (256 MiB); past it more lines are suspected.
     """
     found = materialize(suspects(docs, id_col, text_col, min_chars, max_filter_bits, slice_bits), "line-suspects")
-    repeated = (found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-                .filter(F.col("n") >= min_docs).select("digest", "last"))
-    lost = (found.join(repeated, "digest").filter(F.col("id") != F.col("last"))
-            .groupBy(F.col("id").alias("_lost_id")).agg(F.collect_set("digest").alias("_lost")))
+    repeated = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+                           .filter(F.col("n") >= min_docs), "repeated-lines")
+    counts = repeated.select("digest", "n")
+    lost_id, lost_lines, result = (fresh(docs, name) for name in ("_lost_id", "_lost", "_kept"))
+    lost = (salted_join(found, repeated.drop("n"), ["digest"], F.col("id"), counts=counts).filter(F.col("id") != F.col("last"))
+            .groupBy(F.col("id").alias(lost_id)).agg(F.collect_set("digest").alias(lost_lines)))
 
     @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -146,7 +149,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append(("\n".join(stay), len(lines), len(lines) - len(stay)))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(lost, docs[id_col].cast("bigint") == F.col("_lost_id"), "left")
+    joined = docs.join(lost, docs[id_col].cast("bigint") == F.col(lost_id), "left")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return (joined.withColumn("_kept", kept(F.col(text_col), F.col("_lost")))
-            .select(*others, F.col("_kept.text").alias(text_col), "_kept.n_lines", "_kept.n_dropped"))
+    return (joined.withColumn(result, kept(F.col(text_col), F.col(lost_lines)))
+            .select(*others, F.col(f"{result}.text").alias(text_col), f"{result}.n_lines", f"{result}.n_dropped"))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import fresh
 from foliospark.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -299,7 +300,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     becomes ``[TERM]``, or nothing where its ratio is ``remove_at`` or more. Texts without spans and null texts stay as they are.
     """
     spans = find_spans(docs, id_col, text_col, **params).filter((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["id", "text_hash"])
-    spans = spans.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
+    own_id, own_hash, own_base, own_terms = (fresh(docs, name) for name in ("_id", "_hash", "_base", "_terms"))
+    spans = spans.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("base").alias(own_base), F.col("terms").alias(own_terms))
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -307,8 +309,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
             yield pd.Series([x if b is None else redact(x, [(s["start"], s["kind"], s["end"]) for s in b], [
                 (s["start"], s["end"], s["ratio"] >= remove_at) for s in t]) for x, b, t in zip(texts, bases, terms)], dtype=object)
 
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
-    joined = docs.join(spans, match, "left").withColumn(text_col, cleaned(F.col(text_col), F.col("_base"), F.col("_terms")))
+    match = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(own_hash))
+    joined = docs.join(spans, match, "left").withColumn(text_col, cleaned(F.col(text_col), F.col(own_base), F.col(own_terms)))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
