@@ -60,7 +60,8 @@ def site():
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_hosts_agree(spark, broadcast_bytes, monkeypatch):
-    monkeypatch.setattr("foliospark.llm.common.HOT_SHARE", 2)  # the big host is hot, the others are not
+    real = html_text.with_paths  # the big host is hot, the others are not
+    monkeypatch.setattr(html_text, "with_paths", lambda *a: real(*a, share=2, least=1))
     pages = spark.createDataFrame(site(), "page_id bigint, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "host", "_host", "paths", "pages")})
     got = [tuple(r) for r in html_text.extract(pages, broadcast_bytes=broadcast_bytes).collect()]
     want = [(i, f"https://Big.example.org/{i}", f"T{i} Story {i} is told here in a few words.") for i in range(6)]
