@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.joins import salted_join
 from foliospark.llm.common import utf8
 from foliospark.session import materialize
 
 BINS, ROWS = 128, 4  # 32 bands of 4: two sets of similarity 0.8 share no band once in 20 million pairs
+#: Least bits of the closing sweep's map of a set; a larger set has the next power of two from twice its size.
 BITMAP_BITS = 2048
 #: Documents on either side of one block of the closing sweep.
 SWEEP_ROWS = 1024
@@ -79,11 +81,19 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    out = np.zeros(BITMAP_BITS, bool)
-    out[(hashes % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    """One bit for each hash, in so many bits that unrelated sets of any size differ in most of theirs."""
+    bits = max(BITMAP_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else BITMAP_BITS
+    out = np.zeros(bits, bool)
+    out[(hashes % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out).tobytes()
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The maps (words in the last axis) of the same sets in half as many bits."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``(id, n, print, bands)``: size of the set, a 128-bit print of it, and its bands (none for the empty set)."""
     @F.pandas_udf("n bigint, print binary, bands array<bigint>")
@@ -144,7 +154,10 @@ def linked(a: set, b: set, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough; ``texts(id, text)`` holds every text of their documents."""
+    """The pairs ``(a, b)`` whose full sets are similar enough; ``texts(id, text)`` holds every text of their documents.
+
+    ``pairs`` is a written table. A star's centre has its text repeated over several tasks.
+    """
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
@@ -161,7 +174,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 out.append(linked(held[x], shingles(y, words), percent))
             yield pd.Series(out)
 
-    return pairs.join(left, "b").join(right, "a").filter(similar("text_a", "text_b")).select("a", "b").distinct()
+    centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    both = salted_join(pairs.join(left, "b"), right, ["a"], F.col("b"), counts=centres)
+    return both.filter(similar("text_a", "text_b")).select("a", "b").distinct()
 
 
 def stars(reps: DataFrame) -> DataFrame:
@@ -171,12 +186,14 @@ def stars(reps: DataFrame) -> DataFrame:
     """
     placed = reps.select("id", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
-    members = materialize(placed.join(shared, "band"), "bucket-members")
+    shared = materialize(shared, "shared-buckets")
+    sizes = shared.select("band", F.col("size").alias("n"))
+    members = materialize(salted_join(placed, shared, ["band"], F.col("id"), counts=sizes), "bucket-members")
     central = members.groupBy("id").agg(F.sum("size").alias("reach"))
     members = members.join(central, "id")
     middle = members.groupBy("band").agg(F.max_by("id", F.struct("reach", -F.col("id"))).alias("middle"))
     once = members.select(F.col("first").alias("a"), F.col("id").alias("b"))
-    again = members.join(middle, "band").select(F.col("middle").alias("a"), F.col("id").alias("b"))
+    again = salted_join(members, middle, ["band"], F.col("id"), counts=sizes).select(F.col("middle").alias("a"), F.col("id").alias("b"))
     edges = once.unionByName(again).filter("a <> b")
     return edges.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("a").alias("a")).select(
         "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
@@ -194,7 +211,7 @@ def sweep(edges: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame
     """Pairs ``(a, b)`` that could link what the stars left apart.
 
     A family is what candidate edges hang together, ``parts(node, root)`` are the components of the links so far. Where they leave a family in several components, every document
-    outside its largest component meets the documents of the other components, in blocks; only pairs pass whose 2,048-bit maps
+    outside its largest component meets the documents of the other components, in blocks; only pairs pass whose bit maps
     allow the similarity: a bit that only one side has stands for a shingle that only that side has. That bound
     never rules out a link, and no pair that it rules out is ever a row.
     """
@@ -227,18 +244,25 @@ def sweep(edges: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame
     def meet(key: tuple, rest: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         found_a, found_b = [], []
         if len(rest) and len(ask):
-            bits = np.stack([np.frombuffer(b, np.uint64) for b in rest["bits"]])
-            n, part, node = (rest[c].to_numpy() for c in ("n", "part", "node"))
-            for u, up, main, un, ub in zip(*(ask[c] for c in ("node", "part", "main", "n", "bits"))):
-                # of two askers only the smaller id asks
-                at = np.flatnonzero((part != up) & ((part == main) | (node > u)) & (100 * np.minimum(n, un) >= percent * np.maximum(n, un)))
-                mine = np.frombuffer(ub, np.uint64)
-                only = np.bitwise_count(mine & ~bits[at]).sum(axis=1, dtype=np.int64)
-                theirs = np.bitwise_count(bits[at] & ~mine).sum(axis=1, dtype=np.int64)
-                most = np.minimum(un - only, n[at] - theirs)
-                at = at[100 * most >= percent * (un + n[at] - most)]
-                found_a += node[at].tolist()
-                found_b += [u] * len(at)
+            for size, same in rest.groupby(rest["bits"].map(len)):
+                whole = np.stack([np.frombuffer(b, np.uint64) for b in same["bits"]])
+                maps = {8 * whole.shape[1]: whole, 4 * whole.shape[1]: folded(whole)}  # sets alike enough differ by one step at most
+                n, part, node = (same[c].to_numpy() for c in ("n", "part", "node"))
+                for u, up, main, un, ub in zip(*(ask[c] for c in ("node", "part", "main", "n", "bits"))):
+                    # of two askers only the smaller id asks
+                    at = np.flatnonzero((part != up) & ((part == main) | (node > u)) & (100 * np.minimum(n, un) >= percent * np.maximum(n, un)))
+                    if not len(at):
+                        continue
+                    mine = np.frombuffer(ub, np.uint64)
+                    if len(ub) > size:
+                        mine = folded(mine)
+                    bits = maps[8 * len(mine)][at]
+                    only = np.bitwise_count(mine & ~bits).sum(axis=1, dtype=np.int64)
+                    theirs = np.bitwise_count(bits & ~mine).sum(axis=1, dtype=np.int64)
+                    most = np.minimum(un - only, n[at] - theirs)
+                    at = at[100 * most >= percent * (un + n[at] - most)]
+                    found_a += node[at].tolist()
+                    found_b += [u] * len(at)
         return pd.DataFrame({"a": found_a, "b": found_b}, dtype="int64")
 
     keys = ["family", "block", "asker"]
@@ -254,14 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give candidates, and a closing sweep looks at what they left apart, so a link is lost only if two similar sets share none of 32 bands.
 
     A text that is null or without words has an empty set and links with nothing. Rows that share an id are one document: what any
-    of them links to, all do. A row without id is alone: its component is null and it is kept. Repeated rows come back as often.
+    of them links to, all do. An empty table gives an empty one; other columns are not carried. A row without id is alone: its component is null and it is kept. Repeated rows come back as often.
     """
     made = materialize(sketch(docs, id_col, text_col, words), "sketches")
     usable = made.filter("id is not null and n > 0")
-    first = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    first = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     first = materialize(first, "distinct-sets")
-    rep = F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")
-    placed = materialize(made.join(first.select("print", "rep"), "print", "left").select("id", "n", rep), "placed")
+    copies = first.select("print", F.col("copies").alias("n"))
+    sets = salted_join(usable.select("id", F.col("n").alias("size"), "print"), first.select("print", "rep"), ["print"], F.col("id"), counts=copies)
+    bare = made.filter("id is null or n = 0").select("id", "n", F.lit(None).cast("bigint").alias("rep"))
+    placed = materialize(sets.select("id", F.col("size").alias("n"), "rep").unionByName(bare), "placed")
     reps = first.select(F.col("rep").alias("id"), "bands")
     edges = materialize(stars(reps), "candidates")
     needed = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
@@ -273,13 +299,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")  # one id, two sets
     links = links.unionByName(placed.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(links)
-    more = confirm(sweep(edges, needed, parts, texts, words, percent), texts, words, percent)
+    more = confirm(materialize(sweep(edges, needed, parts, texts, words, percent), "sweep-pairs"), texts, words, percent)
     bridges = between(more, parts)  # a late link joins two components, not all their documents
     joined = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
     roots = (first.select("rep").distinct().join(parts.select(F.col("node").alias("rep"), "root"), "rep", "left")
              .select("rep", F.coalesce("root", "rep").alias("part")).join(joined, "part", "left")
              .select("rep", F.coalesce("whole", "part").alias("root")))
-    out = placed.join(roots, "rep", "left")
+    held = first.groupBy("rep").agg(F.sum("copies").alias("n"))
+    known = salted_join(placed.filter("rep is not null").withColumnRenamed("n", "size"), roots, ["rep"], F.col("id"), "left", held)
+    out = known.withColumnRenamed("size", "n").unionByName(placed.filter("rep is null").withColumn("root", F.lit(None).cast("bigint")))
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
