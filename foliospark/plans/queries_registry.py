@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from foliospark.operators import registry as R
@@ -16,6 +18,8 @@ from foliospark.sources import samples as smp
 from foliospark.sources import sinks
 from foliospark.sources.status_store import StatusStore
 from foliospark.streaming import streams
+from foliospark.streaming.registration import deletions, registrations, write_registrations
+from foliospark.streaming.registration import stream_registrations as stream_registrations_of
 
 # --- objects, vocabulary, samples -------------------------------------------------------------------------
 
@@ -119,6 +123,21 @@ def stream_status(spark, sf):
     return _printed(streams.latest_state(spark, target))
 
 
+@query("stream_registrations", with_views("state", f"SELECT {_STATE} FROM state WHERE document_id NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)"))
+def stream_registrations(spark, sf):
+    """Status events in three shuffled parts and deletions between them, each part a run of one stream whose state lives on between the runs."""
+    log = t.status_log(spark, sf).withColumn("deleted", F.lit(False))
+    gone = deletions(t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("document_id")), F.lit("2024-01-15").cast("timestamp"))  # in the middle of the events
+    arrived, target, checkpoint = (shared_folder(spark, name) for name in ("arrivals", "registrations", "registrations-checkpoint"))
+    month = timedelta(days=31)  # events are shuffled over their whole span, and go on after a deletion
+    for part in range(3):
+        rows = log.filter(F.pmod(F.xxhash64("event_time", "seq"), F.lit(3)) == part)
+        (rows.unionByName(gone) if part == 1 else rows).write.mode("append").parquet(arrived)
+        changes = stream_registrations_of(spark.readStream.schema(spark.read.parquet(arrived).schema).parquet(arrived), lateness=month, retention=month)
+        write_registrations(changes, target, checkpoint).awaitTermination()
+    return _printed(registrations(spark, target))
+
+
 @query("status_by_status_top20", with_views("state", f"SELECT {_STATE} FROM state WHERE status = 'error' ORDER BY state.created_at DESC, document_id LIMIT 20"))
 def status_by_status_top20(spark, sf):
     return _printed(R.query_by_status(_state(spark, sf), "error", 20))
