@@ -229,10 +229,10 @@ class FoldedSamples:
             "fit", "id", F.col("label").alias("y_true"), E.predicted_label(F.col("proba"), names).alias("y_pred"), "proba")
 
 
-def fit_classifier(df: DataFrame, candidate: Candidate = Candidate()) -> ClassifierModel:
+def fit_classifier(df: DataFrame, candidate: Candidate = Candidate(), tolerance: float = TOLERANCE) -> ClassifierModel:
     """Fit one candidate on all samples ``(id, label, text)``."""
     samples = FoldedSamples(df, 0, max_n=candidate.max_n)
-    rows, terms, _, (fitted,) = samples.fit_all([candidate], [-1])
+    rows, terms, _, (fitted,) = samples.fit_all([candidate], [-1], tolerance)
     listed = [(str(term), i, float(rows.idf[0, i]), fitted.coef[i].tolist()) for i, term in enumerate(terms)]
     table = samples.spark.createDataFrame(listed, "term string, idx int, idf double, coef array<double>")
     return ClassifierModel(materialize(table, "model"), fitted.intercept.tolist(), samples.classes, candidate.params())
@@ -313,8 +313,9 @@ def grid_results(scores: DataFrame) -> DataFrame:
         F.round(F.avg("score"), 4).alias("cv_f1_mean"), F.round(F.stddev_pop("score"), 4).alias("cv_f1_std"))
 
 
-def refit_best(df: DataFrame, best: Candidate) -> ClassifierModel:
-    return fit_classifier(df, best)
+def refit_best(df: DataFrame, best: Candidate, tolerance: float = TOLERANCE) -> ClassifierModel:
+    """The candidate that a search found, fitted on all samples."""
+    return fit_classifier(df, best, tolerance)
 
 
 def training_manifest(spark: SparkSession, df: DataFrame, best: Candidate, metrics: DataFrame, data_path: str = "",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from foliospark.operators import evaluation as E
@@ -11,6 +13,7 @@ from foliospark.operators import features as X
 from foliospark.operators import scoring as S
 from foliospark.operators import training as R
 from foliospark.operators.extraction import PROMPTS, TOO_SHORT, Ledger
+from foliospark.operators.stages import DocumentClassifierModel
 from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.process import process_documents
@@ -160,18 +163,19 @@ SMALL = R.Candidate(5, 1, 0.01)
 _STEPS = 300
 
 
-def _oof_sql() -> str:
-    """Five fits by gradient descent: vocabulary, IDF and class weights of each fold's training rows, steps on lists of 4 x 6 numbers."""
+def _descent_sql(left_out: str, scored: str) -> str:
+    """Fits by gradient descent, one for each left-out fold (-1: none is): vocabulary, IDF and class weights of the training rows, steps on
+    lists of 4 x 6 numbers. ``scored`` says which rows a fit gives probabilities for."""
     d = SMALL.max_features + 1
     dot = f"list_inner_product(b[{d} * c + 1:{d} * c + {d}], x)"
     sql = with_views("samples", f"""
 SELECT id, y_true, list_transform(p, lambda v: round(v, 4)) AS proba FROM (
   SELECT id, label AS y_true, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (
     SELECT id, label, list_transform(range(4), lambda c: exp({dot})) AS e
-    FROM points JOIN (SELECT f, b FROM descent WHERE step = {_STEPS}) USING (f) WHERE fold = f))""", f"""
+    FROM points JOIN (SELECT f, b FROM descent WHERE step = {_STEPS}) USING (f) WHERE {scored}))""", f"""
 toks AS (SELECT id, label, {tokens('text')} AS t FROM samples),
 folded AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42'), id) - 1) % 5)::INT AS fold FROM samples),
-lefts AS (SELECT unnest(range(5))::INT AS f),
+lefts AS (SELECT unnest({left_out})::INT AS f),
 counted AS (SELECT id, fold, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM toks) JOIN folded USING (id) GROUP BY ALL),
 sizes AS (SELECT f, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY f) AS total, count(*) OVER (PARTITION BY f) AS k FROM folded JOIN lefts ON fold <> f GROUP BY f, label),
 chosen AS (SELECT f, term, ln((1 + total)::DOUBLE / (1 + df)) + 1 AS idf, row_number() OVER (PARTITION BY f ORDER BY seen DESC, term) AS place FROM (
@@ -190,13 +194,23 @@ descent AS (SELECT f, 0 AS step, list_transform(range({4 * d}), lambda j: 0.0::D
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("oof_probabilities", _oof_sql())
+@query("oof_probabilities", _descent_sql("range(5)", "fold = f"))
 def oof_probabilities(spark, sf):
     """Held-out probabilities of five fits, to four places; the twin fits the same models by another method."""
     rows = R.out_of_fold(t.samples(spark, sf), SMALL, tolerance=1e-12)
     return rows.select("id", "y_true", F.transform("proba", lambda v: F.round(v, 4)).alias("proba"))
 
 
+@query("refit_best", _descent_sql("[-1]", "true"))
+def refit_best(spark, sf):
+    """The better of two candidates over five folds, fitted on all samples: their probabilities, to four places."""
+    samples = t.samples(spark, sf)
+    _, best = R.grid_search(samples, [SMALL, R.Candidate(1, 1, SMALL.c)])
+    model = R.refit_best(samples, best, tolerance=1e-12)
+    scored = S.predict_proba(S.vectorize(samples, model), model).select("id", F.transform("proba", lambda v: F.round(v, 4)).alias("proba"))
+    return samples.select("id", F.col("label").alias("y_true")).join(scored, "id")
+
+
 @query("fit_optimality", "SELECT unnest(['de', 'en', 'es', 'fr']) AS class, 0.0::DOUBLE AS intercept_residual, 0.0::DOUBLE AS coef_residual")
 def fit_optimality(spark, sf):
     """The gradient of a fit over all samples, to five places: nothing is left to gain."""
@@ -254,6 +268,16 @@ def model_round_trip(spark, sf):
     return both.groupBy("doc_type", (F.col("doc_type") == F.col("reloaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("classifier_pipeline", _sql("SELECT id, doc_type, round(confidence, 6) AS confidence FROM scored", _TERMS, _FREQ, _VOCAB, *_scored_sql(t.LANGS)))
+def classifier_pipeline(spark, sf):
+    """The classifier as a stage behind one of Spark ML's own, in a pipeline that is written, read back and applied."""
+    path = shared_folder(spark, "pipeline")
+    columns = SQLTransformer(statement="SELECT doc_id AS id, text FROM __THIS__")
+    PipelineModel([columns, DocumentClassifierModel(formula_model(spark, sf, t.LANGS))]).write().save(path)
+    scored = PipelineModel.load(path).transform(t.table(spark, sf, "documents"))
+    return scored.select("id", "doc_type", F.round("confidence", 6).alias("confidence"))
+
+
 @query("fitted_classes")
 def fitted_classes(spark, sf):
     """Classes given by a model that is fitted on the same samples."""
