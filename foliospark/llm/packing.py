@@ -47,6 +47,11 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return placed
 
 
+def copies(text: Column) -> Column:
+    """The cluster of a text's plain copies; null and empty texts are in none."""
+    return F.when(F.octet_length(text) > 0, F.xxhash64(text))
+
+
 def pack(docs: DataFrame, size: Column, capacity: int, id_col: str = "doc_id", source_col: str | None = "source",
          cluster: Column | None = None, shard_rows: int = 8192, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(bin_id, id, piece, start, size, bin_offset)``: every row in bins of ``capacity``, none cut off or dropped.

@@ -24,7 +24,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"\S+")
-_EDGE = "\"'.,;:!?()[]{}<>«»“”‘’…*#%&$|/\\-–—_=+~^`@0123456789"
+_EDGE = "\"'.,;:!?()[]{}<>«»“”‘’…*#%&$|/\\-–—_=+~^`@"
+_WORD = re.compile(r"[^\W_](?:['’-]?[^\W_])*+")
 
 Span = tuple[int, int, int]  # (start, kind, end)
 
@@ -68,10 +69,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def term_of(token: str) -> str | None:
-    """The term a run of non-blank characters stands for: its letters without edge signs, lowered, from four on."""
+def _core(token: str) -> str:
     core = token.strip(_EDGE)
-    return core.lower() if len(core) >= 4 and core.isalpha() else None
+    return core[:-2] if core[-2:] in ("'s", "’s", "'S", "’S") else core
+
+
+def term_of(token: str) -> str | None:
+    """The term a run of non-blank characters stands for, lowered: letters and digits, joined by single apostrophes or hyphens, without
+    edge signs and a closing 's. It has a letter, and four characters or else two with a capital or a digit among them (Ann, IBM, A7)."""
+    core = _core(token)
+    if len(core) < 2 or not (core.isalpha() or _WORD.fullmatch(core) and any(map(str.isalpha, core))):
+        return None
+    return core.lower() if len(core) >= 4 or core != core.lower() or any(map(str.isdigit, core)) else None
+
+
+def general_form(token: str) -> str:
+    """The class that stands in for a term: a code (with digits), an acronym (capitals), a name (a capital first) or any other term."""
+    core = _core(token)
+    if any(map(str.isdigit, core)):
+        return "[CODE]"
+    if core.isupper() and len(core) > 1:
+        return "[ACRONYM]"
+    return "[NAME]" if core[:1].isupper() else "[TERM]"
 
 
 def entity_of(text: str, span: Span) -> int:
@@ -82,15 +101,14 @@ def entity_of(text: str, span: Span) -> int:
 
 
 def surroundings(text: str, spans: list[Span], window: int) -> dict[int, int]:
-    """Of every entity of a text, a hash of the ``window`` words on both sides of all its spans: plain copies have the same."""
+    """Of every entity of a text, a hash of the ``window`` words on both sides of all its spans, as far as 24 characters a word reach:
+    plain copies have the same."""
     near: dict[int, list[str]] = {}
     reach = 24 * window
     for start, kind, end in spans:
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        whole = lambda m: (m.start() > low or not low or text[low - 1].isspace()) and (m.end() < high or high == len(text) or text[high].isspace())
-        left = [m for m in _RUN.finditer(text, low, start) if whole(m)][-window:]
-        right = [m for m in _RUN.finditer(text, end, high) if whole(m)][:window]
-        near.setdefault(entity_of(text, (start, kind, end)), []).append(" ".join(m.group().lower() for m in [*left, *right]))
+        left = _RUN.findall(text, max(0, start - reach), start)[-window:]
+        right = _RUN.findall(text, end, min(len(text), end + reach))[:window]
+        near.setdefault(entity_of(text, (start, kind, end)), []).append(" ".join(left + right).lower())
     return {entity: xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63) for entity, words in near.items()}
 
 
@@ -271,11 +289,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                window: int = 8, filter_bits: int = 1 << 23) -> DataFrame:
     """``(id, text_hash, base, terms)`` of every row; spans are ``(start, kind, end)`` in code points, end exclusive.
 
-    ``base``: emails, addresses, cards and phones. ``terms`` (with ``ratio``): all places of words of four letters and more
+    ``base``: emails, addresses, cards and phones. ``terms`` (with ``ratio``): all places of words (``term_of``)
     that give away an entity named in the same text: over all rows, PMI(entity; word) is at least ``alpha`` of the entity's
     information content, shared by ``min_docs`` rows and two different surroundings (``window`` words on both sides of the
     entity's spans) at least, so that a rare word or plain copies of one text prove nothing. Terms never overlap base spans, and
-    a row without base spans has none. A null text counts as empty. Rows that share id and text share their terms. ``filter_bits`` bounds what is broadcast.
+    a row without base spans has none. A null text counts as empty, an empty table gives no rows, other columns are not carried.
+    Rows that share id and text share their terms. ``filter_bits`` bounds what is broadcast.
     """
     found = materialize(detect(docs, id_col, text_col, window), "pii-spans")
     flagged = materialize(disclosing(docs, found, text_col, alpha, min_docs, window, filter_bits), "flagged-terms")
@@ -297,7 +316,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """``docs`` with personal data replaced in ``text``, all other columns as they were.
 
     A base span becomes its kind in brackets; of overlapping ones the union takes the first one's kind. A disclosing term
-    becomes ``[TERM]``, or nothing where its ratio is ``remove_at`` or more. Texts without spans and null texts stay as they are.
+    is generalised to its class (``general_form``), or removed where its ratio is ``remove_at`` or more. Texts without spans and null texts stay as they are.
     """
     spans = find_spans(docs, id_col, text_col, **params).filter((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["id", "text_hash"])
     own_id, own_hash, own_base, own_terms = (fresh(docs, name) for name in ("_id", "_hash", "_base", "_terms"))
@@ -321,7 +340,7 @@ def redact(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> s
             cuts[-1][1] = max(cuts[-1][1], end)
         else:
             cuts.append([start, end, f"[{KINDS[kind].upper()}]"])
-    cuts += [[start, end, "" if gone else "[TERM]"] for start, end, gone in terms]
+    cuts += [[start, end, "" if gone else general_form(text[start:end])] for start, end, gone in terms]
     out, at = [], 0
     for start, end, label in sorted(cuts):
         out += [text[at:start], label]

@@ -118,7 +118,7 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Byte-level sequences of 8,192; copies of a text are a cluster."""
     docs = table(spark, sf, "documents")
-    return packing.pack(docs, F.octet_length("text"), 8192, cluster=F.xxhash64("text"))
+    return packing.pack(docs, F.octet_length("text"), 8192, cluster=packing.copies(F.col("text")))
 
 
 @query("op8_byte_bpe")
