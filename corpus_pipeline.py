@@ -55,7 +55,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in byte sequences of fixed size: ``(bin_id, doc_id, piece, start, size, bin_offset)``."""
-    return packing.pack(docs, F.octet_length("text"), CAPACITY, cluster=F.xxhash64("text"))
+    return packing.pack(docs, F.octet_length("text"), CAPACITY, cluster=packing.copies(F.col("text")))
 
 
 def _shipped(stage):
