@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import exact_sum, line_amount, money_text, number_text, percent_of, round_cents
 from foliospark.functions.ordering import hash_rank, running_sums, seeded_order, with_even_bucket
+from foliospark.functions.text import address_line
 
 # Price and quantity ranges per category, and the range of every other category.
 ITEM_BANDS = {
@@ -147,6 +148,41 @@ def sample_ids(df: DataFrame, number: str = "n") -> DataFrame:
 
 # --- records as document text -----------------------------------------------------------------------------
 
+class Details:
+    """Optional parts of a rendered document, by name: the fields of a struct column. A part that the struct has not is NULL, as a
+    field without value is, and its line is left out."""
+
+    def __init__(self, column: Column | None = None, names: list[str] | None = None):
+        self.column, self.names = column, set(names or [])
+
+    def __getitem__(self, name: str) -> Column:
+        return self.column[name] if name in self.names else F.lit(None)
+
+    def text(self, name: str) -> Column:
+        value = self[name].cast("string")
+        return F.when(F.trim(value) != "", value)
+
+    def money(self, label: Column | str, name: str, sign: str = "") -> Column:
+        """A labelled amount; none where it is missing or zero."""
+        amount, label = self[name].cast("double"), F.lit(label) if isinstance(label, str) else label
+        return F.when(amount != 0, F.concat(label, F.lit(f": {sign}"), _dollars(amount)))
+
+    def address(self, prefix: str) -> Column:
+        """Street and city on a line each: ``12 Main St``, ``Springfield, IL 62701``; NULL without either."""
+        place = F.concat_ws(", ", self.text(f"{prefix}_city"), _joined(" ", self.text(f"{prefix}_state"), self.text(f"{prefix}_zip")))
+        return _joined("\n", address_line(self.text(f"{prefix}_address")), F.when(place != "", place))
+
+    def party(self, label: str, prefix: str) -> Column:
+        """Whom a document is billed or sent to; the block needs a name."""
+        name = self.text(f"{prefix}_name")
+        return F.when(name.isNotNull(), F.concat_ws("\n", F.lit(f"{label}:"), name, self.text(f"{prefix}_company"), self.address(prefix)))
+
+
+def _joined(mark: str, *parts: Column) -> Column:
+    text = F.concat_ws(mark, *parts)
+    return F.when(text != "", text)
+
+
 def _dollars(c: Column) -> Column:
     return F.concat(F.lit("$"), money_text(c))
 
@@ -155,29 +191,42 @@ def _labelled(label: str, c: Column) -> Column:
     return F.concat(F.lit(f"{label}: "), c)
 
 
-def render_invoice(r: Column) -> Column:
+def _with_note(label: str, note: Column) -> Column:
+    return F.concat(F.lit(label), F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit("")))
+
+
+def _rate(c: Column) -> Column:
+    return F.concat(number_text(c.cast("double")), F.lit("%"))
+
+
+def render_invoice(r: Column, more: Details = Details()) -> Column:
     """An invoice record as text, one line per part; parts that are missing are left out."""
     items = F.transform(r["line_items"], lambda x: F.concat_ws(
         " ", x["description"], number_text(x["quantity"]), _dollars(x["unit_price"]), _dollars(x["amount"])))
     return F.concat_ws(
-        "\n", r["vendor_name"], F.lit("INVOICE"), _labelled("Invoice #", r["invoice_number"]),
-        _labelled("Date", r["invoice_date"]), _labelled("Due Date", r["due_date"]),
+        "\n", r["vendor_name"], more.address("vendor"), more.text("vendor_phone"), more.text("vendor_email"), _labelled("Tax ID", more.text("vendor_tax_id")),
+        F.lit("INVOICE"), _labelled("Invoice #", r["invoice_number"]),
+        _labelled("Date", r["invoice_date"]), _labelled("Due Date", r["due_date"]), _labelled("PO #", more.text("po_number")),
+        more.party("Bill To", "bill_to"), more.party("Ship To", "ship_to"),
         F.lit("Description Qty Unit Price Amount"), items,
-        _labelled("Subtotal", _dollars(r["subtotal"])), _labelled("Tax", _dollars(r["tax"])),
-        _labelled("Total Due", _dollars(r["total_amount"])), _labelled("Payment Terms", r["payment_terms"]))
+        _labelled("Subtotal", _dollars(r["subtotal"])), more.money(_with_note("Discount", _rate(more["discount_pct"])), "discount", "-"),
+        more.money("Shipping", "shipping"), F.concat(_with_note("Tax", _rate(more["tax_rate"])), F.lit(": "), _dollars(r["tax"])),
+        _labelled("Total Due", _dollars(r["total_amount"])), _labelled("Payment Terms", r["payment_terms"]), more.text("notes"))
 
 
-def render_receipt(r: Column) -> Column:
+def render_receipt(r: Column, more: Details = Details()) -> Column:
     """A receipt record as text; a quantity above one is shown after the item."""
     items = F.transform(r["line_items"], lambda x: F.concat_ws(
         " ", x["description"],
         F.when(x["quantity"] > 1, F.concat(F.lit("x"), F.regexp_replace(number_text(x["quantity"]), r"\.0$", ""))),
         _dollars(x["amount"])))
+    paid = F.concat(r["payment_method"], F.coalesce(F.concat(F.lit(" ending "), more.text("card_last_four")), F.lit("")))
     return F.concat_ws(
-        "\n", r["vendor_name"], _labelled("Date", r["receipt_date"]), items,
-        _labelled("Subtotal", _dollars(r["subtotal"])),
-        F.when(r["tax"] > 0, _labelled("Tax", _dollars(r["tax"]))),
-        _labelled("TOTAL", _dollars(r["total_amount"])), r["payment_method"])
+        "\n", r["vendor_name"], more.address("vendor"), more.text("vendor_phone"), _labelled("Date", r["receipt_date"]),
+        _labelled("Time", more.text("transaction_time")), _labelled("Cashier", more.text("cashier")), items,
+        _labelled("Subtotal", _dollars(r["subtotal"])), more.money(_with_note("Discount", more.text("discount_desc")), "discount", "-"),
+        F.when(r["tax"] > 0, F.concat(_with_note("Tax", _rate(more["tax_rate"])), F.lit(": "), _dollars(r["tax"]))),
+        more.money("Tip", "tip"), _labelled("TOTAL", _dollars(r["total_amount"])), paid, more.money("Change", "change_due"))
 
 
 def render_contract(r: Column) -> Column:
@@ -191,6 +240,11 @@ def render_contract(r: Column) -> Column:
         r["summary"], F.lit("IN WITNESS WHEREOF, each party shall sign this Agreement."))
 
 
-def render_text(df: DataFrame, doc_type: str, record: str = "record") -> DataFrame:
-    render = {"invoice": render_invoice, "receipt": render_receipt, "contract": render_contract}[doc_type]
-    return df.withColumn("text", render(F.col(record)))
+def render_text(df: DataFrame, doc_type: str, record: str = "record", details: str | None = None) -> DataFrame:
+    """Add ``text``. ``details`` names a struct column of optional parts of invoices and receipts: address parts of ``vendor``, ``bill_to``
+    and ``ship_to``, discount, shipping, tip, rates, contact and payment data (``Details``)."""
+    if doc_type == "contract":
+        return df.withColumn("text", render_contract(F.col(record)))
+    more = Details(F.col(details), df.schema[details].dataType.names) if details else Details()
+    render = {"invoice": render_invoice, "receipt": render_receipt}[doc_type]
+    return df.withColumn("text", render(F.col(record), more))

@@ -588,6 +588,58 @@ def render_contracts(spark, sf):
     return D.render_text(t.contracts(spark, sf), "contract").select(F.col("document_id").alias("id"), "text")
 
 
+def _detailed(spark, sf, records):
+    """Optional parts by formula of the order: buyer and nation, discount, shipping and tip, some of them missing or zero."""
+    orders, customer = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
+    nations = F.broadcast(t.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
+    k = F.col("o_orderkey")
+    parts = {
+        "vendor_address": F.when(k % 2 == 0, F.concat((k % 90 + 1).cast("string"), F.lit(" Main St\nFloor 2"))), "vendor_city": F.when(k % 5 != 0, F.lit("Port")),
+        "vendor_state": F.when(k % 3 == 0, F.lit("WA")), "vendor_zip": F.when(k % 10 != 0, F.lpad((k % 1000).cast("string"), 5, "0")),
+        "vendor_phone": F.when(k % 3 == 1, F.lit("555-0100")), "bill_to_name": F.col("c_name"), "bill_to_city": F.col("n_name"),
+        "ship_to_name": F.when(k % 4 == 0, F.col("c_name")), "discount": (k % 3) * 1250.5, "discount_pct": F.when(k % 2 == 1, F.lit(2.5)),
+        "discount_desc": F.when(k % 2 == 0, F.lit("member")), "shipping": F.when(k % 5 > 1, (k % 5 - 2) * 10.0), "tax_rate": F.when(k % 7 != 0, F.lit(8.0)),
+        "tip": F.when(k % 2 == 0, k % 4 * 1.5), "card_last_four": F.when(k % 6 == 0, F.lpad((k % 10000).cast("string"), 4, "0"))}
+    details = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nations, "c_nationkey", "left")
+               .select(k.alias("document_id"), F.struct(*[c.alias(n) for n, c in parts.items()]).alias("details")))
+    return records.join(details, "document_id")
+
+
+_PLACE = """nullif(concat_ws(chr(10), CASE WHEN k % 2 = 0 THEN (k % 90 + 1)::VARCHAR || ' Main St, Floor 2' END,
+    nullif(concat_ws(', ', CASE WHEN k % 5 <> 0 THEN 'Port' END,
+                     nullif(concat_ws(' ', CASE WHEN k % 3 = 0 THEN 'WA' END, CASE WHEN k % 10 <> 0 THEN lpad((k % 1000)::VARCHAR, 5, '0') END), '')), '')), '')"""
+_RATE = "'Tax' || CASE WHEN k % 7 <> 0 THEN ' (8.0%)' ELSE '' END || ': $' || format('{:,.2f}', tax)"
+_PHONE = "CASE WHEN k % 3 = 1 THEN '555-0100' END"
+
+
+@query("render_invoice_details", with_views("lines headers", f"""
+SELECT document_id AS id, concat_ws(chr(10), vendor_name, {_PLACE}, {_PHONE}, 'INVOICE', 'Invoice #: ' || invoice_number, 'Date: ' || invoice_date, 'Due Date: ' || due_date,
+  CASE WHEN c_name IS NOT NULL THEN concat_ws(chr(10), 'Bill To:', c_name, n_name) END, CASE WHEN k % 4 = 0 AND c_name IS NOT NULL THEN 'Ship To:' || chr(10) || c_name END,
+  'Description Qty Unit Price Amount', items, 'Subtotal: $' || format('{{:,.2f}}', subtotal),
+  CASE WHEN k % 3 <> 0 THEN 'Discount' || CASE WHEN k % 2 = 1 THEN ' (2.5%)' ELSE '' END || ': -$' || format('{{:,.2f}}', ((k % 3) * 1250.5)::DOUBLE) END,
+  CASE WHEN k % 5 > 2 THEN 'Shipping: $' || format('{{:,.2f}}', ((k % 5 - 2) * 10)::DOUBLE) END, {_RATE},
+  'Total Due: $' || format('{{:,.2f}}', total_amount), 'Payment Terms: ' || payment_terms) AS text
+FROM (SELECT *, document_id AS k FROM headers) LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (
+  SELECT document_id, string_agg(concat_ws(' ', description, quantity::VARCHAR, '$' || format('{{:,.2f}}', unit_price), '$' || format('{{:,.2f}}', amount)),
+         chr(10) ORDER BY item_no) AS items FROM lines GROUP BY document_id) USING (document_id)"""))
+def render_invoice_details(spark, sf):
+    """Invoices with addresses, buyer, discount and shipping where an order has them."""
+    return D.render_text(_detailed(spark, sf, t.invoices(spark, sf)), "invoice", details="details").select(F.col("document_id").alias("id"), "text")
+
+
+@query("render_receipt_details", with_views("lines headers", f"""
+SELECT document_id AS id, concat_ws(chr(10), vendor_name, {_PLACE}, {_PHONE}, 'Date: ' || invoice_date, items, 'Subtotal: $' || format('{{:,.2f}}', subtotal),
+  CASE WHEN k % 3 <> 0 THEN 'Discount' || CASE WHEN k % 2 = 0 THEN ' (member)' ELSE '' END || ': -$' || format('{{:,.2f}}', ((k % 3) * 1250.5)::DOUBLE) END,
+  CASE WHEN tax > 0 THEN {_RATE} END, CASE WHEN k % 4 = 2 THEN 'Tip: $3.00' END, 'TOTAL: $' || format('{{:,.2f}}', total_amount),
+  payment_method || CASE WHEN k % 6 = 0 THEN ' ending ' || lpad((k % 10000)::VARCHAR, 4, '0') ELSE '' END) AS text
+FROM (SELECT *, document_id AS k FROM headers) LEFT JOIN (
+  SELECT document_id, string_agg(concat_ws(' ', description, CASE WHEN quantity > 1 THEN 'x' || quantity::BIGINT END, '$' || format('{{:,.2f}}', amount)),
+         chr(10) ORDER BY item_no) AS items FROM lines GROUP BY document_id) USING (document_id) WHERE o_orderstatus = 'P'"""))
+def render_receipt_details(spark, sf):
+    """Receipts with address, discount, tip and card where an order has them."""
+    return D.render_text(_detailed(spark, sf, t.receipts(spark, sf)), "receipt", details="details").select(F.col("document_id").alias("id"), "text")
+
+
 # --- money and fields in documents ------------------------------------------------------------------------
 
 _AMOUNTS = r"regexp_extract_all(text, '\$[\d,.]+')"

@@ -70,6 +70,15 @@ def vocab_explode(spark, sf):
     return smp.explode_vocab(_vocab(spark, sf, "p_name"), exclude=["SMALL"]).distinct()
 
 
+@query("vocab_files", "SELECT DISTINCT p_type AS category, p_brand AS item FROM part WHERE p_type NOT IN ('SMALL')")
+def vocab_files(spark, sf):
+    """Vocabulary files, one JSON object a category with its brands, read back without the excluded one."""
+    brands, path = t.table(spark, sf, "part").select("p_type", "p_brand").distinct(), shared_folder(spark, "vocabulary")
+    listed = brands.groupBy("p_type").agg(F.sort_array(F.collect_list("p_brand")).alias("items"))
+    listed.select(F.to_json(F.create_map("p_type", "items"))).write.option("maxRecordsPerFile", 1).text(path)
+    return smp.load_vocab(spark, path, exclude=["SMALL"])
+
+
 @query("vocab_merge", "SELECT p_type AS category, p_name AS item FROM part UNION SELECT p_type, p_brand FROM part")
 def vocab_merge(spark, sf):
     return smp.merge_vocab(smp.explode_vocab(_vocab(spark, sf, "p_name")), smp.explode_vocab(_vocab(spark, sf, "p_brand")))
