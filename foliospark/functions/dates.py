@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from foliospark.functions.numbers import let
+from foliospark.functions.numbers import let_sql
 from foliospark.functions.text import SPACE
 
 # The accepted layouts, as the shape of the text and the pattern that reads it.
@@ -24,17 +23,19 @@ SHORT_YEAR = r"^\d{1,2}/\d{1,2}/\d{2}$"
 FIRST_YEAR_OF_1900S = 69
 
 
+def _layouts() -> str:
+    shapes = "\n".join(f"WHEN t RLIKE r'{shape}' THEN try_to_date(t, '{pattern}')" for shape, pattern in LAYOUTS)
+    return f"""t -> CASE
+      WHEN t RLIKE r'{SHORT_YEAR}' THEN try_to_date(concat(substring_index(t, '/', 2), '/',
+        CASE WHEN try_cast(right(t, 2) AS INT) >= {FIRST_YEAR_OF_1900S} THEN '19' ELSE '20' END, right(t, 2)), 'M/d/yyyy')
+      {shapes} END"""
+
+
+_PARSE_DATE = f"""
+d -> CASE WHEN NOT d RLIKE r'^[{SPACE}]|[{SPACE}]$'
+  THEN get(transform(array(regexp_replace(d, r'[{SPACE}]+', ' ')), {_layouts()}), 0) END"""
+
+
 def parse_date(c: Column) -> Column:
     """The date a text stands for, or NULL. The shape is checked first, so each text is parsed at most once."""
-    outer_space = c.rlike(f"^[{SPACE}]|[{SPACE}]$")
-    return F.when(~outer_space, let(F.regexp_replace(c, f"[{SPACE}]+", " "), _parse))
-
-
-def _parse(text: Column) -> Column:
-    yy = F.right(text, F.lit(2))
-    century = F.when(yy.try_cast("int") >= FIRST_YEAR_OF_1900S, "19").otherwise("20")
-    full = F.concat(F.substring_index(text, "/", 2), F.lit("/"), century, yy)
-    parsed = F.when(text.rlike(SHORT_YEAR), F.try_to_date(full, "M/d/yyyy"))
-    for shape, pattern in LAYOUTS:
-        parsed = parsed.when(text.rlike(shape), F.try_to_date(text, pattern))
-    return parsed
+    return let_sql(c, _PARSE_DATE)

@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from foliospark.schemas import DECIMAL_COLUMNS, LENGTH_LIMITS, MONEY, QUANTITY, RECORD_TYPES, REQUIRED_COLUMNS
 
@@ -22,7 +23,7 @@ def to_quantity(c: Column) -> Column:
     return c.try_cast(QUANTITY)
 
 
-def extraction_id(doc_type: str) -> Column:
+def extraction_id(doc_type: str | Column) -> Column:
     """A uuid-shaped id fixed by document and type, so that a rerun writes the same id."""
     h = F.md5(F.concat_ws("|", F.col("document_id"), F.lit(doc_type)))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
@@ -58,8 +59,12 @@ def contract_rows(df: DataFrame, record: str = "record") -> DataFrame:
 
 def line_item_rows(df: DataFrame, doc_type: str, record: str = "record") -> DataFrame:
     """One row per line item, tagged with its extraction and that extraction's type."""
-    return (df.select(extraction_id(doc_type).alias("extraction_id"), F.posexplode(f"{record}.line_items").alias("pos", "x"))
-            .select("extraction_id", F.lit(doc_type).alias("extraction_type"), (F.col("pos") + 1).alias("item_no"),
+    return _item_rows(df, F.lit(doc_type), F.col(f"{record}.line_items"))
+
+
+def _item_rows(df: DataFrame, kind: Column, items: Column) -> DataFrame:
+    return (df.select(extraction_id(kind).alias("extraction_id"), kind.alias("extraction_type"), F.posexplode(items).alias("pos", "x"))
+            .select("extraction_id", "extraction_type", (F.col("pos") + 1).alias("item_no"),
                     "x.description", to_quantity(F.col("x.quantity")).alias("quantity"),
                     to_money(F.col("x.unit_price")).alias("unit_price"), to_money(F.col("x.amount")).alias("amount"),
                     "x.category"))
@@ -70,10 +75,16 @@ def keep_raw(df: DataFrame, record: str = "record") -> DataFrame:
     return df.withColumn("raw_json", F.to_json(record))
 
 
+def _out_of_range(number: Column, kind: DecimalType) -> Column:
+    """Whether a double does not fit a stored number. Only those near its limit, and NaN, which is above all numbers, are cast."""
+    near = F.abs(number) >= 0.99 * 10.0 ** (kind.precision - kind.scale)
+    return near & number.try_cast(kind).isNull()
+
+
 def _problems(table: str, value: Callable[[str], Column], known: Callable[[str], bool], label: str = "") -> list[Column]:
     """One message or NULL for each width, number range and missing value of a stored table."""
     text = [F.when(F.length(value(c)) > n, F.lit(f"{label}{c} longer than {n}")) for c, n in LENGTH_LIMITS[table].items() if known(c)]
-    size = [F.when(value(c).isNotNull() & value(c).try_cast(kind).isNull(), F.lit(f"{label}{c} out of range"))
+    size = [F.when(_out_of_range(value(c), kind), F.lit(f"{label}{c} out of range"))
             for c, kind in DECIMAL_COLUMNS[table].items()]
     gone = [F.when(value(c).isNull(), F.lit(f"{label}{c} missing")) for c in REQUIRED_COLUMNS[table] if known(c)]
     return [*text, *size, *gone]
@@ -81,7 +92,8 @@ def _problems(table: str, value: Callable[[str], Column], known: Callable[[str],
 
 def _line_unfit(x: Column) -> Column:
     long = [F.length(x[c]) > n for c, n in LENGTH_LIMITS["line_items"].items() if c != "extraction_type"]
-    unfit = [x[c].try_cast(kind).isNull() for c, kind in DECIMAL_COLUMNS["line_items"].items()]
+    numbers = DECIMAL_COLUMNS["line_items"]
+    unfit = [F.coalesce(_out_of_range(x[c], kind), F.lit(True)) for c, kind in numbers.items()]
     return reduce(or_, [*unfit, x["description"].isNull(), *[F.coalesce(c, F.lit(False)) for c in long]])
 
 
@@ -115,17 +127,18 @@ def route_store(df: DataFrame) -> dict[str, DataFrame]:
     """Valid records of mixed type to the four tables, and ``rejected(document_id, record_type, reject_reason)``.
 
     A record that violates a width, a number range or a required column is stored in no part. Generic and unknown records are
-    stored nowhere.
+    stored nowhere. Lines of both purchase types leave in one pass.
     """
     df = df if "reject_reason" in df.columns else with_reject_reason(df)
     valid = store_gate(df).filter(F.col("reject_reason").isNull())
     of = {t: valid.filter(F.col("record_type") == t) for t in ("invoice", "receipt", "contract")}
+    kind = F.col("record_type")
+    items = F.when(kind == "invoice", F.col("invoice.line_items")).otherwise(F.col("receipt.line_items"))
     return {
         "invoice_extractions": invoice_rows(of["invoice"], "invoice"),
         "receipt_extractions": receipt_rows(of["receipt"], "receipt"),
         "contract_extractions": contract_rows(of["contract"], "contract"),
-        "line_items": line_item_rows(of["invoice"], "invoice", "invoice").unionByName(
-            line_item_rows(of["receipt"], "receipt", "receipt")),
+        "line_items": _item_rows(valid.filter(kind.isin("invoice", "receipt")), kind, items),
         "rejected": df.filter(F.col("reject_reason").isNotNull()).select("document_id", "record_type", "reject_reason"),
     }
 

@@ -130,21 +130,33 @@ def _purchase_warnings(r: Column, *dates: Column) -> Column:
                   total_mismatch(r["subtotal"], r["tax"], r["total_amount"]), *dates))
 
 
-def invoice_result(r: Column) -> Column:
-    return _result(_purchase_errors(r), _purchase_warnings(
+def _invoice_messages(r: Column) -> tuple[Column, Column]:
+    return _purchase_errors(r), _purchase_warnings(
         r, unparsed_date("invoice", r["invoice_date"]), unparsed_date("due", r["due_date"]),
-        due_before_invoice(r["due_date"], r["invoice_date"])))
+        due_before_invoice(r["due_date"], r["invoice_date"]))
 
 
-def receipt_result(r: Column) -> Column:
-    return _result(_purchase_errors(r), _purchase_warnings(r, unparsed_date("receipt", r["receipt_date"])))
+def _receipt_messages(r: Column) -> tuple[Column, Column]:
+    return _purchase_errors(r), _purchase_warnings(r, unparsed_date("receipt", r["receipt_date"]))
 
 
-def contract_result(r: Column) -> Column:
-    return _result(_messages(no_parties(r["parties"])), _messages(
+def _contract_messages(r: Column) -> tuple[Column, Column]:
+    return _messages(no_parties(r["parties"])), _messages(
         negative_value(r["contract_value"]), unparsed_date("effective", r["effective_date"]),
         unparsed_date("expiration", r["expiration_date"]),
-        expires_before_effective(r["expiration_date"], r["effective_date"])))
+        expires_before_effective(r["expiration_date"], r["effective_date"]))
+
+
+def invoice_result(r: Column) -> Column:
+    return _result(*_invoice_messages(r))
+
+
+def receipt_result(r: Column) -> Column:
+    return _result(*_receipt_messages(r))
+
+
+def contract_result(r: Column) -> Column:
+    return _result(*_contract_messages(r))
 
 
 def validate_invoice(df: DataFrame, record: str = "record") -> DataFrame:
@@ -163,19 +175,19 @@ def validate_contract(df: DataFrame, record: str = "record") -> DataFrame:
 def validate(df: DataFrame, type_column: str = "record_type") -> DataFrame:
     """Check rows of mixed type: struct columns ``invoice``, ``receipt``, ``contract``, chosen by ``record_type``.
 
-    A ``generic`` record always passes; any other type is an error.
+    A ``generic`` record always passes; any other type is an error. Errors and warnings are chosen by type apart: who only
+    asks for ``is_valid`` makes no warnings.
     """
     kind = F.col(type_column)
-    passed = _result(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    unknown = _result(F.array(F.concat(F.lit("Unknown extraction type: "), F.coalesce(kind, F.lit("NULL")))),
-                      F.array().cast("array<string>"))
-    return df.withColumn(
-        "validation",
-        F.when(kind == "invoice", invoice_result(F.col("invoice")))
-        .when(kind == "receipt", receipt_result(F.col("receipt")))
-        .when(kind == "contract", contract_result(F.col("contract")))
-        .when(kind == "generic", passed)
-        .otherwise(unknown))
+    none = F.array().cast("array<string>")
+    errors = F.array(F.concat(F.lit("Unknown extraction type: "), F.coalesce(kind, F.lit("NULL"))))
+    warnings = none
+    messages = {"generic": (none, none), "contract": _contract_messages(F.col("contract")),
+                "receipt": _receipt_messages(F.col("receipt")), "invoice": _invoice_messages(F.col("invoice"))}
+    for name, (wrong, odd) in messages.items():
+        errors = F.when(kind == name, wrong).otherwise(errors)
+        warnings = F.when(kind == name, odd).otherwise(warnings)
+    return df.withColumn("validation", _result(errors, warnings))
 
 
 # --- counts per rule, without texts -----------------------------------------------------------------------

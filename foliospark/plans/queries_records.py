@@ -176,8 +176,7 @@ def _mixed(spark, sf) -> DataFrame:
 
     other = t.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("document_id"), F.when(F.col("s_suppkey") % 4 == 0, "memo").otherwise("generic").alias("record_type"))
-    return (typed(t.invoices(spark, sf), "invoice")
-            .unionByName(typed(t.receipts(spark, sf), "receipt"), allowMissingColumns=True)
+    return (t.purchases(spark, sf)
             .unionByName(typed(t.contracts(spark, sf), "contract"), allowMissingColumns=True)
             .unionByName(other, allowMissingColumns=True))
 

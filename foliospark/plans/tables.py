@@ -5,7 +5,7 @@ Each view has a twin in ``sqlviews.py``. Money is computed in whole cents, so bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import number_text
@@ -36,16 +36,18 @@ def date_text(day: Column, key: Column) -> Column:
     return text
 
 
+#: Lines of an order follow each other by all of their columns.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+              "l_linestatus", "l_shipdate"]
+ITEM = ["description", "quantity", "unit_price", "amount", "category"]
+
+
 def invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as invoice lines, numbered inside their order by every column."""
-    li = table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate")
-    return (li.withColumn("item_no", F.row_number().over(order))
+    """Order lines as invoice lines, with the columns that order them inside their document: row-wise, no shuffle."""
+    return (table(spark, sf, "lineitem")
             .withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
             .withColumn("q", F.col("l_quantity").cast("bigint"))
-            .select(F.col("l_orderkey").alias("document_id"), "item_no",
+            .select(F.col("l_orderkey").alias("document_id"), *LINE_ORDER,
                     F.concat(F.lit("Part "), F.col("l_partkey")).alias("description"),
                     F.col("q").cast("double").alias("quantity"),
                     (F.expr("(2 * cents + q) div (2 * q)") / F.lit(100.0)).alias("unit_price"),
@@ -111,17 +113,24 @@ def headers_with(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
     return _order_headers(spark, sf, facts)
 
 
-def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Headers with their lines as an array. One array is one document's items, which a single response has to hold.
+def _nested(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
+    """Headers with their lines as an array, of one order status or of all. One array is one document's items, which a single
+    response has to hold.
 
-    The numbered lines are already placed by document; gathering them needs no second shuffle. The join is told to
-    shuffle the orders to them: a table of whole documents is nothing to broadcast.
+    Each document's lines are sorted inside its array, by a struct that leads with their order. Lines of other statuses
+    go before anything is gathered. The join is told to shuffle the orders to the lists: a table of whole documents is
+    nothing to broadcast.
     """
-    item = F.struct("item_no", "description", "quantity", "unit_price", "amount", "category")
-    lists = invoice_lines(spark, sf).groupBy("document_id").agg(
-        F.sum("cents").alias("line_cents"), F.sort_array(F.collect_list(item)).alias("items"))
-    return _order_headers(spark, sf, lists.hint("merge")).withColumn("line_items", F.transform("items", lambda x: F.struct(
-        *[x[c].alias(c) for c in ("description", "quantity", "unit_price", "amount", "category")])))
+    lines = invoice_lines(spark, sf)
+    if status is not None:
+        wanted = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("document_id"))
+        lines = lines.join(wanted, "document_id", "left_semi")
+    lists = lines.groupBy("document_id").agg(
+        F.sum("cents").alias("line_cents"), F.sort_array(F.collect_list(F.struct(*LINE_ORDER, *ITEM))).alias("items"))
+    headers = _order_headers(spark, sf, lists.hint("merge"))
+    if status is not None:
+        headers = headers.filter(F.col("o_orderstatus") == status)
+    return headers.withColumn("line_items", F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in ITEM])))
 
 
 def invoices(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,8 +140,19 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of status P as receipts."""
-    return (_nested(spark, sf).filter("o_orderstatus = 'P'")
-            .select("document_id", F.struct(*RECEIPT.names).alias("record")))
+    return _nested(spark, sf, "P").select("document_id", F.struct(*RECEIPT.names).alias("record"))
+
+
+def purchases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as an invoice, those of status P as a receipt too: ``(document_id, record_type, invoice, receipt)``.
+
+    Lines are gathered once for both.
+    """
+    kinds = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("invoice"), F.lit("receipt"))).otherwise(F.array(F.lit("invoice")))
+    both = _nested(spark, sf).withColumn("record_type", F.explode(kinds))
+    structs = [F.when(F.col("record_type") == kind, F.struct(*names)).alias(kind)
+               for kind, names in (("invoice", INVOICE.names), ("receipt", RECEIPT.names))]
+    return both.select("document_id", "record_type", *structs)
 
 
 def contracts(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,7 @@ def get_session(app_name: str = "foliospark", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every Column call also records where it was made
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
