@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from foliospark.functions.text import strip
+from foliospark.functions.text import spans
 from foliospark.schemas import (
     ATTEMPT, EXTRACTABLE_TYPES, INVOICE, LINE_ITEM, MAX_EXTRACT_CHARS, MAX_RETRIES, MIN_EXTRACT_CHARS, PART_OVERLAP, RECORD_TYPES,
 )
@@ -80,8 +80,7 @@ def truncate_text(c: Column, limit: int = MAX_EXTRACT_CHARS) -> Column:
 def extractable_error(c: Column, limit: int | None = None, least: int = MIN_EXTRACT_CHARS) -> Column:
     """The error of a text that is too short once it is stripped, else NULL. The whole text counts unless a ``limit`` cuts it."""
     text = F.coalesce(c, F.lit(""))
-    stripped = strip(text if limit is None else truncate_text(text, limit))
-    return F.when(F.length(stripped) < least, F.lit(TOO_SHORT))
+    return F.when(~spans(text if limit is None else truncate_text(text, limit), least), F.lit(TOO_SHORT))
 
 
 def text_parts(df: DataFrame, limit: int = MAX_EXTRACT_CHARS, overlap: int = PART_OVERLAP) -> DataFrame:
