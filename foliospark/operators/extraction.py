@@ -429,8 +429,11 @@ class Ledger:
 
     def run(self, requests: DataFrame, factory: Callable[[], Client], attempt: int, concurrency: int | None) -> DataFrame:
         """The attempt of every request; those that are not written yet are called and written."""
+        keys = requests.select("document_id", "part")
         paid = self.calls(requests, attempt).select("document_id", "part")
-        missing = materialize(requests.join(paid, ["document_id", "part"], "left_anti"), "unpaid-requests")
+        missing = requests
+        if not paid.isEmpty():  # only keys are compared: in a replay no message moves
+            missing = requests.join(materialize(keys.join(paid, ["document_id", "part"], "left_anti"), "unpaid-requests"), ["document_id", "part"], "left_semi")
         # Each task's file appears when the task ends, not when the job does.
         (run_extractor(missing, factory, attempt, concurrency).write.mode("append")
          .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self._folder(attempt)))
@@ -452,7 +455,9 @@ def extract(requests: DataFrame, factory: Callable[[], Client], max_retries: int
                 else materialize(run_extractor(pending, factory, attempt, concurrency), "attempts"))
         checked = materialize(check_attempts(done, types), "checked-attempts")
         rounds.append(checked)
-        pending = requests.join(checked.filter("not ok").select("document_id", "part"), ["document_id", "part"], "left_semi")
+        if attempt <= max_retries:
+            failed = materialize(checked.filter("not ok").select("document_id", "part"), "failed-requests")
+            pending = requests.join(failed, ["document_id", "part"], "left_semi")
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

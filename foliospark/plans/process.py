@@ -36,7 +36,8 @@ def process_documents(texts: DataFrame, known: DataFrame, model: ClassifierModel
         scoring.classify(registered.withColumnRenamed("document_id", "id"), model).withColumnRenamed("id", "document_id"),
         "labels")
     wanted, _ = scoring.route(labels)
-    to_read = registered.join(wanted.select("document_id", "doc_type"), "document_id")
+    # Written once: requests, retries and the test for short texts then read rows and move no text.
+    to_read = materialize(registered.join(wanted.select("document_id", "doc_type"), "document_id"), "to-read")
     requests = extraction.build_requests(to_read, extractor_model)
     attempts = extraction.extract(requests, factory, max_retries, concurrency, ledger)
 
