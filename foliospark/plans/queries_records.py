@@ -16,7 +16,7 @@ from foliospark.plans import tables as t
 from foliospark.plans.catalogue import query
 from foliospark.plans.sqlviews import cents, date, with_views
 from foliospark.schemas import RECORD_TYPES
-from foliospark.session import shared_folder
+from foliospark.session import materialize, shared_folder
 from foliospark.sources import sinks
 
 # --- validation -------------------------------------------------------------------------------------------
@@ -222,7 +222,9 @@ def written_invoices(spark, sf):
     checked = V.validate_invoice(t.invoices(spark, sf)).select("document_id", F.lit("invoice").alias("record_type"), F.col("record").alias("invoice"), "validation")
     empty = {k: F.lit(None).cast(RECORD_TYPES[k]) for k in ("receipt", "contract")}
     target = shared_folder(spark, "stored")
-    sinks.write_extractions(S.route_store(checked.withColumns(empty)), target)
+    # Written once, or every stored table would gather and check all records again. No table has the messages: without them no warning is made.
+    judged = S.with_reject_reason(checked.withColumns(empty).withColumn("validation", F.struct("validation.is_valid")))
+    sinks.write_extractions(S.route_store(materialize(judged, "judged")), target)
     rows = spark.read.parquet(f"{target}/invoice_extractions").drop("created_at", "raw_json")
     return _as_doubles(rows, "subtotal", "tax", "total_amount")
 
