@@ -202,16 +202,23 @@ _SPECS = {
 }
 
 
-_TYPES = {"text": "string", "number": "double", "texts": "array<variant>", "items": "array<variant>"}
+def _variants(fields: list[_Field]) -> str:
+    return f"struct<{', '.join(f'{f.name}: variant' for f in fields)}>"
+
+
+_TYPES = {"text": "string", "number": "double", "texts": "array<variant>", "items": f"array<{_variants(_ITEM)}>"}
 
 
 def _probe(v: Column, fields: list[_Field]) -> list[Column]:
-    """Kind and value of every field of a variant object, each read once. The kind is NULL for an absent key."""
+    """Kind and value of every field of an object, a struct of variants, each read once. The kind is NULL for an absent key.
+
+    Only a text needs its type by name. Of a list ``schema_of_variant`` would merge the types of all its elements.
+    """
     out = []
     for f in fields:
-        path = f"$.{f.name}"
-        out.append(F.schema_of_variant(F.try_variant_get(v, path, "variant")).alias(f"k_{f.name}"))
-        out.append(F.try_variant_get(v, path, _TYPES[f.kind]).alias(f"v_{f.name}"))
+        kind = F.schema_of_variant(v[f.name]) if f.kind == "text" else F.when(v[f.name].isNotNull(), F.when(F.is_variant_null(v[f.name]), "VOID").otherwise("OTHER"))
+        out.append(kind.alias(f"k_{f.name}"))
+        out.append(F.try_variant_get(v[f.name], "$", _TYPES[f.kind]).alias(f"v_{f.name}"))
     return out
 
 
@@ -240,13 +247,13 @@ def _value(f: _Field, kind: Column, value: Column, partial: Column | None = None
 
 
 def _probe_item(x: Column) -> Column:
-    return F.struct(F.schema_of_variant(x).alias("shape"), *_probe(x, _ITEM))
+    return F.struct(x.isNotNull().alias("object"), *_probe(x, _ITEM))
 
 
 def _read_item(p: Column) -> Column:
     """A probed line item as a typed struct with its first problem."""
     found = {f.name: (f, p[f"k_{f.name}"], p[f"v_{f.name}"]) for f in _ITEM}
-    not_object = F.when(~p["shape"].startswith("OBJECT"), F.lit("line_items: not an object"))
+    not_object = F.when(~p["object"], F.lit("line_items: not an object"))
     return F.struct(
         F.struct(*[_value(*found[n]).alias(n) for n in LINE_ITEM.names]).alias("item"),
         F.coalesce(not_object, *[_problem(*x) for x in found.values()]).alias("problem"))
@@ -260,9 +267,10 @@ def parse_typed(df: DataFrame, doc_type: str, raw: str = "response", partial: Co
     """
     keep, fields = df.columns, _SPECS[doc_type]
     is_part = None if partial is None else F.col("_partial")
-    probed = df.withColumn("_v", F.try_parse_json(raw)).withColumn("_partial", F.lit(False) if partial is None else partial).select(
-        *keep, "_partial", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)).alias("_object"),
-        *_probe(F.col("_v"), fields))
+    # What is no object is no struct: the type of the whole answer, its lines included, need not be found for that.
+    whole = F.try_variant_get(F.try_parse_json(raw), "$", _variants(fields))
+    probed = df.withColumn("_v", whole).withColumn("_partial", F.lit(False) if partial is None else partial).select(
+        *keep, "_partial", F.col("_v").isNotNull().alias("_object"), *_probe(F.col("_v"), fields))
     problem = F.coalesce(F.when(~F.col("_object"), F.lit("response is not a JSON object")),
                          *[_problem(f, F.col(f"k_{f.name}"), F.col(f"v_{f.name}"), is_part) for f in fields])
     values = {f.name: _value(f, F.col(f"k_{f.name}"), F.col(f"v_{f.name}"), is_part) for f in fields}
