@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.joins import salted_join
 from foliospark.llm.common import utf8
-from foliospark.session import materialize
+from foliospark.session import materialize, text_batches
 
 BINS, ROWS = 128, 4  # 32 bands of 4: two sets of similarity 0.8 share no band once in 20 million pairs
 #: Least bits of the closing sweep's map of a set; a larger set has the next power of two from twice its size.
@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text that is null or without words has an empty set and links with nothing. Rows that share an id are one document: what any
     of them links to, all do. An empty table gives an empty one; other columns are not carried. A row without id is alone: its component is null and it is kept. Repeated rows come back as often.
     """
-    made = materialize(sketch(docs, id_col, text_col, words), "sketches")
+    spark = docs.sparkSession
+    with text_batches(spark):
+        made = materialize(sketch(docs, id_col, text_col, words), "sketches")
     usable = made.filter("id is not null and n > 0")
     first = usable.groupBy("print").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     first = materialize(first, "distinct-sets")
@@ -295,12 +297,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     texts = likely_among(texts, "id", needed).join(needed, "id", "left_semi").distinct()
     texts = materialize(texts, "candidate-texts")
-    links = materialize(confirm(edges, texts, words, percent), "links")
+    with text_batches(spark):
+        links = materialize(confirm(edges, texts, words, percent), "links")
     several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")  # one id, two sets
     links = links.unionByName(placed.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(links)
-    more = confirm(materialize(sweep(edges, needed, parts, texts, words, percent), "sweep-pairs"), texts, words, percent)
-    bridges = between(more, parts)  # a late link joins two components, not all their documents
+    with text_batches(spark):
+        late = materialize(sweep(edges, needed, parts, texts, words, percent), "sweep-pairs")
+        bridges = between(confirm(late, texts, words, percent), parts)  # a late link joins two components, not all their documents
     joined = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
     roots = (first.select("rep").distinct().join(parts.select(F.col("node").alias("rep"), "root"), "rep", "left")
              .select("rep", F.coalesce("root", "rep").alias("part")).join(joined, "part", "left")
