@@ -303,7 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(placed.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(links)
     with text_batches(spark):
-        late = materialize(sweep(edges, needed, parts, texts, words, percent), "sweep-pairs")
+        late = sweep(edges, needed, parts, texts, words, percent)
+    late = materialize(late, "sweep-pairs")  # its blocks hold no text, and are not split
+    with text_batches(spark):
         bridges = between(confirm(late, texts, words, percent), parts)  # a late link joins two components, not all their documents
     joined = components(bridges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
     roots = (first.select("rep").distinct().join(parts.select(F.col("node").alias("rep"), "root"), "rep", "left")
